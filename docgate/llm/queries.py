@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgate.llm import bpe
 from docgate.llm.chat import format_chats, read_back, unescape
 from docgate.llm.exact_dedup import exact_duplicates
+from docgate.llm.packing import pack_documents
+from docgate.llm.secrets import find_secrets, said
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +44,45 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin("assign", "access", "hex"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        number("assign"),
+        number("access"),
+        number("hex"),
+        F.sha2(said(base), 256).alias("base_sha256"),
+        said(F.col("secrets")).alias("spans"),
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 ids, a row per piece."""
+    docs = _table(spark, sf_dir, "documents")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=0, with_ids=False)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and decoded from the ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    counted = bpe.digest(ids.withColumn("to_decode", F.col("ids")))
+    decoded = bpe.decode(counted.withColumnRenamed("to_decode", "ids"), path)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are exact copies, and which of each group stays."""
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_secret_scan, op5_packing, op6_bpe, op9_exact_dedup)}
 
 _CHAT_SQL = r"""
 WITH rows AS (
