@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from docgate.llm import bpe
 from docgate.llm.chat import format_chats, read_back, unescape
 from docgate.llm.exact_dedup import exact_duplicates
+from docgate.llm.langid import identify, train
 from docgate.llm.packing import pack_documents
 from docgate.llm.secrets import find_secrets, said
+from docgate.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +79,30 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=3, within=3)
+
+
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four folds of five."""
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.filter(_fold(5) != 0))
+    return identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are exact copies, and which of each group stays."""
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_secret_scan, op5_packing, op6_bpe, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_secret_scan, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup)}
 
 _CHAT_SQL = r"""
 WITH rows AS (
