@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgate.llm import bpe
+from docgate.llm import bpe, lm
 from docgate.llm.chat import format_chats, read_back, unescape
 from docgate.llm.exact_dedup import exact_duplicates
 from docgate.llm.langid import identify, train
@@ -102,7 +102,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_secret_scan, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, learned from six folds of seven."""
+    return lm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_secret_scan, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup, op10_lm_score)}
 
 _CHAT_SQL = r"""
 WITH rows AS (
