@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgate.llm import bpe, lm
+from docgate.llm.ann import nearest
 from docgate.llm.chat import format_chats, read_back, unescape
 from docgate.llm.exact_dedup import exact_duplicates
 from docgate.llm.langid import identify, train
@@ -46,6 +47,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one."""
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, dim=64)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     found = find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -107,7 +113,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_secret_scan, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_nearest, op3_secret_scan, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup, op10_lm_score)}
 
 _CHAT_SQL = r"""
 WITH rows AS (
