@@ -10,6 +10,7 @@ from docgate.llm import bpe, lm
 from docgate.llm.ann import nearest
 from docgate.llm.chat import format_chats, read_back, unescape
 from docgate.llm.exact_dedup import exact_duplicates
+from docgate.llm.html import extract_text
 from docgate.llm.langid import identify, train
 from docgate.llm.packing import pack_documents
 from docgate.llm.secrets import find_secrets, said
@@ -70,6 +71,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 ids, a row per piece."""
     docs = _table(spark, sf_dir, "documents")
@@ -113,7 +119,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_nearest, op3_secret_scan, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_nearest, op3_secret_scan, op4_html_text, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup, op10_lm_score)}
 
 _CHAT_SQL = r"""
 WITH rows AS (
