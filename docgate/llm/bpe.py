@@ -232,10 +232,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return rest.mapInArrow(run, T.StructType(rest.schema.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def decode(docs: DataFrame, path: str) -> DataFrame:
+def decode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """The columns of docs but `ids`, and `decoded`, the text that the ids stand for (null ids: empty; an id outside the
-    vocabulary fails)."""
-    rest = docs.drop("decoded")
+    vocabulary fails). With `digests` also n_tokens, and ids_sha256 of the ids as little-endian unsigned 32-bit integers."""
+    added = ["decoded", "n_tokens", "ids_sha256"] if digests else ["decoded"]
+    rest = docs.drop(*added)
     names = [c for c in rest.columns if c != "ids"]
 
     def run(batches):
@@ -246,30 +247,18 @@ def decode(docs: DataFrame, path: str) -> DataFrame:
                 ids, offsets = listed(part.column("ids"))
                 if len(ids) and not 0 <= ids.min() <= ids.max() < own.size:
                     raise ValueError("an id is not in the vocabulary")
-                texts = pa.array(own.decode(ids, offsets), pa.string())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), texts], [*names, "decoded"])
+                columns = [*(part.column(c) for c in names), pa.array(own.decode(ids, offsets), pa.string())]
+                if digests:
+                    data, ends = ids.astype("<u4").tobytes(), (offsets * 4).tolist()
+                    hashes = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    columns += [pa.array(np.diff(offsets)), pa.array(hashes, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    fields = [f for f in rest.schema.fields if f.name != "ids"]
-    return rest.mapInArrow(run, T.StructType([*fields, T.StructField("decoded", T.StringType())]))
+    kinds = {"decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType()}
+    return rest.mapInArrow(run, T.StructType([f for f in rest.schema.fields if f.name != "ids"] + [T.StructField(c, kinds[c]) for c in added]))
 
 
 def listed(column) -> tuple[np.ndarray, np.ndarray]:
     """The values of an Arrow list column in one array (null: empty), and where each list begins."""
     sizes = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
     return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
-
-
-def digest(docs: DataFrame) -> DataFrame:
-    """The columns of docs but `ids`, and n_tokens and ids_sha256 of the ids as little-endian unsigned 32-bit integers."""
-    names = [c for c in docs.columns if c not in ("ids", "n_tokens", "ids_sha256")]
-
-    def run(batches):
-        for batch in batches:
-            ids, offsets = listed(batch.column("ids"))
-            data, ends = ids.astype("<u4").tobytes(), (offsets * 4).tolist()
-            hashes = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            columns = [*(batch.column(c) for c in names), pa.array(np.diff(offsets)), pa.array(hashes, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", "ids_sha256"])
-
-    fields = [docs.schema[c] for c in names]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]))

@@ -53,3 +53,13 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", salts: int = SALTS)
         ((F.col("pos") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """docs with one document of each group of exact duplicates, the one that exact_duplicates() keeps.
+
+    Of repeated rows, which share identifier and normalised text, any one stays. Columns and other rows are unchanged."""
+    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
+    kept = exact_duplicates(docs, keep).filter("kept").select(key(F.col("text_sha256")).alias("_key"))
+    keyed = docs.withColumn("_key", key(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

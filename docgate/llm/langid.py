@@ -93,11 +93,12 @@ def train(docs: DataFrame, order: int = 4, sample: int = 1000, contexts: int = 8
 
     About `sample` documents of each language are read whole, chosen by a hash of doc_id: the bound on what the model is
     fitted on, whatever the size of docs. Strings of up to order + 1 bytes are counted by Spark. The driver gets those
-    of the `contexts` most frequent contexts, and builds the tree over all languages from them."""
+    of the `contexts` most frequent contexts, and builds the tree over all languages from them. Without labelled texts the
+    model knows no language."""
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {lang: n for lang, n in docs.filter("text is not null and lang is not null").groupBy("lang").count().collect()}
     if not sizes:
-        raise ValueError("no labelled text to learn from")
+        return Model((), order, np.zeros(256, np.uint8), 1, np.zeros(2, np.int32), np.zeros((1, 0), np.float32))
     langs = tuple(sorted(sizes))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, sample / sizes[lang]))])
@@ -151,7 +152,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs and lang_pred, score.
 
     lang_pred is the language under which the text's code is shortest (ties: the first by name), `und` where the text is
-    null or has no letter. score is that language's share of the probability of the text, 0 for `und`. Columns named
+    null or has no letter, and null for other texts if the model knows no language. score is that language's share of the probability of the text, 0 for `und`. Columns named
     lang_pred or score are replaced. No shuffle; whole texts are read in parts of about a megabyte."""
     rest = docs.drop("lang_pred", "score")
     names = rest.columns
@@ -163,12 +164,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = part.column("text").fill_null("").to_pylist()
-                lengths = own.lengths(texts)
-                best = lengths.argmin(axis=1)
-                less = np.exp2(np.maximum(lengths.min(axis=1, keepdims=True) - lengths, -1000))
-                score = 1 / less.sum(axis=1)
                 real = np.array([_has_letter(t) for t in texts], bool)
-                found = np.where(real, langs[best], UNKNOWN)
+                if len(langs):
+                    lengths = own.lengths(texts)
+                    less = np.exp2(np.maximum(lengths.min(axis=1, keepdims=True) - lengths, -1000))
+                    score = 1 / less.sum(axis=1)
+                    found = np.where(real, langs[lengths.argmin(axis=1)], UNKNOWN)
+                else:
+                    score, found = np.zeros(len(texts)), np.where(real, None, UNKNOWN)
                 columns = [*part.columns, pa.array(found.tolist(), pa.string()), pa.array(np.where(real, score, 0.0))]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
 

@@ -86,8 +86,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded from the ids."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    counted = bpe.digest(ids.withColumn("to_decode", F.col("ids")))
-    decoded = bpe.decode(counted.withColumnRenamed("to_decode", "ids"), path)
+    decoded = bpe.decode(ids, path, digests=True)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

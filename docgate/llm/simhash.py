@@ -211,3 +211,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, within: int = 3) -> DataFra
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, within: int = 3) -> DataFrame:
+    """docs with one document of each component of near_duplicates(), that with the smallest doc_id.
+
+    doc_id names a document: rows that share one stay or go together, and rows without one stay. Columns are unchanged."""
+    gone = near_duplicates(docs, words, within).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
