@@ -44,7 +44,7 @@ def split_words(texts: list[str], specials: list[str]) -> tuple[str, np.ndarray,
     found from where the kinds of neighbouring characters differ; special strings are words of their own, and what is
     between them is split by itself."""
     joined = "\n".join(texts)
-    edges = np.cumsum([len(t) + 1 for t in texts])[:-1] - 1
+    edges = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))[:-1] - 1
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     kind = _kinds()[points]
     kind[edges] = EDGE

@@ -25,7 +25,7 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    parts = F.transform(F.split(role, r"\\\\\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
+    parts = F.transform(F.split(role, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n")))
     return unescape(F.array_join(parts, "\\"))
 
 

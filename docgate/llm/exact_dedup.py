@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgate.llm.common import ascii_lower, stage
+from docgate.llm.common import ascii_lower, fresh, stage
 
 #: Runs of equal texts are sorted in so many parts, by identifier, so that no task gets all copies of one text.
 SALTS = 32
@@ -60,6 +60,7 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 
     Of repeated rows, which share identifier and normalised text, any one stays. Columns and other rows are unchanged."""
     key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
-    kept = exact_duplicates(docs, keep).filter("kept").select(key(F.col("text_sha256")).alias("_key"))
-    keyed = docs.withColumn("_key", key(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    name = fresh(docs, "key")
+    kept = exact_duplicates(docs, keep).filter("kept").select(key(F.col("text_sha256")).alias(name))
+    keyed = docs.withColumn(name, key(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -256,6 +256,14 @@ def _table(table: Node, page: _Page, depth: int) -> None:
             if span <= 1:
                 widths[column] = max(widths.get(column, 0), min(len(text), ALIGN))
             column += max(span, 1)
+    for cells in grid:  # a cell over several columns widens the last of them
+        column = 0
+        for text, span in cells:
+            if span > 1:
+                inner = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
+                last = column + span - 1
+                widths[last] = widths.get(last, 0) + max(0, min(len(text), ALIGN) - inner)
+            column += max(span, 1)
     for cells in grid:
         column, line = 0, []
         for i, (text, span) in enumerate(cells):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docgate.llm.common import slices, stage
 
 #: Bytes of text in a block, about. A block's words and pairs are looked up together.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 #: Keys per bucket, about, when the counts of all blocks meet.
 BUCKET = 1 << 20
 #: Context counts are grouped by their binary logarithm, up to this one; group 0 is contexts not seen.
@@ -26,7 +26,23 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _blob(values: np.ndarray) -> bytes:
-    return values.tobytes()
+    """Unsigned integers as bytes, all lowest bytes first and all highest last, which compresses well where most are
+    small."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _values(blob: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(blob, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
+def _sorted_blob(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences."""
+    return _blob(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _sorted_values(blob: bytes) -> np.ndarray:
+    return np.cumsum(_values(blob, np.uint64), dtype=np.uint64)
 
 
 def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -76,10 +92,10 @@ class _Block:
     """A block's numbered words and pairs, each with its key, in the keys' order."""
 
     def __init__(self, sizes: bytes, words: bytes, tokens: bytes, trains) -> None:
-        self.sizes = np.frombuffer(sizes, np.int64)
-        self.tokens = np.frombuffer(tokens, np.uint32).astype(np.int64)
+        self.sizes = _values(sizes, np.int64)
+        self.tokens = _values(tokens, np.uint32).astype(np.int64)
         self.trains = np.array(trains, bool)
-        hashes = np.frombuffer(words, np.uint64)
+        hashes = _values(words, np.uint64)
         before = np.concatenate([[0], self.tokens[:-1]])
         before[np.cumsum(self.sizes)[:-1]] = 0  # a text begins after an end
         self.before = before
@@ -109,7 +125,8 @@ def _asked(buckets: int):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 block = _Block(row["sizes"], row["words"], row["tokens"], row["trains"])
                 out = {"kind": [], "bucket": [], "block": [], "keys": [], "counts": []}
                 for kind in ("word", "pair"):
@@ -118,7 +135,7 @@ def _asked(buckets: int):
                     for b in range(buckets):
                         if cuts[b] < cuts[b + 1]:
                             span = slice(cuts[b], cuts[b + 1])
-                            for name, value in zip(out, (kind, b, row["block"], _blob(keys[span]), _blob(counts[span])), strict=True):
+                            for name, value in zip(out, (kind, b, row["block"], _sorted_blob(keys[span]), _blob(counts[span])), strict=True):
                                 out[name].append(value)
                 kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
@@ -128,16 +145,15 @@ def _asked(buckets: int):
 
 def _answered(group: pd.DataFrame) -> pd.DataFrame:
     """The total count of each key, for each block that asked, in the order asked; for block -1 the number of keys learnt."""
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in group["keys"]])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])
+    keys = np.concatenate([_sorted_values(x) for x in group["keys"]])
+    counts = np.concatenate([_values(x, np.uint32) for x in group["counts"]])
     distinct, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
     cuts = np.cumsum([len(x) // 8 for x in group["keys"]])[:-1]
     answers = [_blob(x) for x in np.split(np.minimum(total[at], 2**32 - 1).astype(np.uint32), cuts)]
-    learnt = _blob(np.array([(total > 0).sum()], np.uint32))
     kind, bucket = group["kind"].iloc[0], group["bucket"].iloc[0]
     return pd.DataFrame(
-        {"kind": kind, "bucket": bucket, "block": [*group["block"], -1], "totals": [*answers, learnt], "learnt": [0] * len(answers) + [int((total > 0).sum())]}
+        {"kind": kind, "bucket": bucket, "block": [*group["block"], -1], "totals": [*answers, b""], "learnt": [0] * len(answers) + [int((total > 0).sum())]}
     )
 
 
@@ -149,7 +165,7 @@ def _joined(blocks: pd.DataFrame, answers: pd.DataFrame) -> Iterator[tuple]:
         for kind in ("word", "pair"):
             own = answers[(answers["kind"] == kind) & (answers["block"] == row.block)].sort_values("bucket")
             total[kind] = np.empty(len(block.keys[kind]), np.int64)
-            total[kind][block.order[kind]] = np.concatenate([np.frombuffer(x, np.uint32) for x in own["totals"]])
+            total[kind][block.order[kind]] = np.concatenate([_values(x, np.uint32) for x in own["totals"]])
         yield row, block, total["word"][block.tokens], total["word"][block.before], total["pair"][block.pair]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docgate.llm.bpe import codec
-from docgate.llm.common import slices, stage
+from docgate.llm.common import fresh, slices, stage
 
 #: Pieces of one length are ranked in so many parts, so that a common length is not one task's work.
 SALTS = 64
@@ -31,15 +31,17 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...]
                 most -= 1
             if most >= length:
                 pattern, count = room[most].pop()
-                at = most
-            else:
-                pattern, count, at = (), left, size
-            n = min(left, count)
+                at, fit = most, 1
+            else:  # as many of the length as a new sequence holds
+                fit = min(left, size // length)
+                pattern, count, at = (), left // fit, size
+            n = min(left // fit, count)
             if n < count:
                 room[at].append((pattern, count - n))
-            room.setdefault(at - length, []).append(((*pattern, length), n))
-            most = max(most, at - length)
-            left -= n
+            at -= length * fit
+            room.setdefault(at, []).append((pattern + (length,) * fit, n))
+            most = max(most, at)
+            left -= n * fit
     return [x for _, same in sorted(room.items()) for x in same]
 
 
@@ -67,9 +69,10 @@ def pack(pieces: DataFrame, size: int = 1024, salts: int = SALTS) -> DataFrame:
     Only counts by length and part come to the driver, at most size * salts of them whatever the input. Pieces are ranked
     within a length and part, and the rank is looked up in the pattern table by binary search."""
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    pieces = pieces.select(*[F.col(f"`{c}`") for c in names], F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).alias("_part"))
+    part_of, rank_of = fresh(pieces, "part"), fresh(pieces, "rank")
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in names], F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).alias(part_of))
     counts = np.zeros((size + 2, salts), np.int64)
-    for length, part, n in pieces.groupBy("length", "_part").count().collect():
+    for length, part, n in pieces.groupBy("length", part_of).count().collect():
         if not 1 <= length <= size:
             raise ValueError(f"a piece has length {length}; 1 to {size} can be packed")
         counts[length, part] = n
@@ -82,13 +85,13 @@ def pack(pieces: DataFrame, size: int = 1024, salts: int = SALTS) -> DataFrame:
     def place(batches):
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False) - 1 + before[length, batch.column("_part").to_numpy(zero_copy_only=False)]
+            rank = batch.column(rank_of).to_numpy(zero_copy_only=False) - 1 + before[length, batch.column(part_of).to_numpy(zero_copy_only=False)]
             at = np.searchsorted(keys, length * wide + rank, side="right") - 1
             columns = [*(batch.column(c) for c in names), pa.array(sequences[at] + rank - ranks[at]), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "_part").orderBy("doc_id", "start")
-    ranked = pieces.withColumn("_rank", F.row_number().over(order).cast("long"))
+    order = Window.partitionBy("length", part_of).orderBy("doc_id", "start")
+    ranked = pieces.withColumn(rank_of, F.row_number().over(order).cast("long"))
     fields = [pieces.schema[c] for c in names]
     return ranked.mapInArrow(place, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
