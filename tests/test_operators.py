@@ -30,9 +30,8 @@ def test_intake_happens_once(spark):
     assert again.count() == 0
 
 
-@pytest.mark.parametrize(
-    ("said", "kind"),
-    [
+def test_classification(spark):
+    cases = [
         ("SUPPLY AGREEMENT\nThis agreement is made by the supplier; governing law applies.", "contract"),
         ("INVOICE\nInvoice 7, amount due 5, VAT included", "invoice"),
         ("An agreement", "unknown"),
@@ -44,10 +43,9 @@ def test_intake_happens_once(spark):
         ("LE CONTRAT\nLe present contrat, les parties conviennent", "contract"),
         ("AVIS DE MARCHE\nle présent contrat, les parties conviennent", "unknown"),
         ("Supply agreement\nwhereas the supplier gives a certificate of insurance", "contract"),
-    ],
-)
-def test_classification(spark, said, kind):
-    assert triage.classify(spark.createDataFrame([(said,)], "text string")).first().kind == kind
+    ]
+    rows = triage.classify(spark.createDataFrame(cases, "text string, want string")).collect()
+    assert [r.text for r in rows if r.kind != r.want] == []
 
 
 def test_triage_order(spark):
@@ -129,9 +127,8 @@ GOOD = {
 }
 
 
-@pytest.mark.parametrize(
-    ("change", "category", "found"),
-    [
+def test_checks(spark):
+    cases = [
         ({}, "goods", set()), ({"payment_terms_days": {"v_num": 45.0}}, "goods", set()), ({"payment_terms_days": {"v_num": 90.0}}, "goods", set()),
         ({"payment_terms_days": {"v_num": 91.0}}, "goods", {"§1.1"}), ({"payment_terms_days": {"v_num": float("nan")}}, "goods", {"§1.1"}), ({"payment_terms_days": {}}, "goods", {"§1.1"}),
         ({"auto_renewal": {"v_bool": True}}, "goods", {"§2.2"}), ({"auto_renewal": {}}, "goods", set()), ({"termination_notice_days": {}}, "goods", {"§2.3"}),
@@ -139,13 +136,13 @@ GOOD = {
         ({"governing_law": {"v_text": "New South Wales, Australia"}}, "goods", {"§4.1"}), ({"governing_law": {"v_text": "the laws of England and Wales"}}, "goods", set()),
         ({"governing_law": {"v_text": "Cayman Islands"}}, "goods", {"§4.1"}), ({"dpa_present": {"v_bool": False}}, "it_services", {"§5.1"}), ({"dpa_present": {"v_bool": False}}, None, set()),
         ({"liability_uncapped": {"v_bool": True}}, "goods", {"§3.2"}), ({"effective_date": {}}, "goods", {"§2.1"}),
-    ],
-)
-def test_checks(spark, change, category, found):
-    rows = fields(spark, [(1, n, v) for n, v in (GOOD | change).items()])
-    vendors = spark.createDataFrame([(1, category)], "doc_id long, category string")
-    got = checks.findings(rows, vendors, checks.load_checks(spark)).collect()
-    assert {r.citation for r in got} == found
+    ]
+    rows = fields(spark, [(i, n, v) for i, (change, _, _) in enumerate(cases) for n, v in (GOOD | change).items()])
+    vendors = spark.createDataFrame([(i, category) for i, (_, category, _) in enumerate(cases)], "doc_id long, category string")
+    got = {i: set() for i in range(len(cases))}
+    for r in checks.findings(rows, vendors, checks.load_checks(spark)).collect():
+        got[r.doc_id].add(r.citation)
+    assert got == {i: found for i, (_, _, found) in enumerate(cases)}
 
 
 def test_unknown_operators_fail_early(spark):
@@ -157,9 +154,8 @@ def test_unknown_operators_fail_early(spark):
 PAGES = "1: This Agreement is governed by the laws of Germany and lasts 24 months.\nPayment is due within 60 days of receipt.\fan image\f3: Globex Industrial GmbH, HRB 84421, signs on 1 April 2024 in Sofia with all due care."
 
 
-@pytest.mark.parametrize(
-    ("name", "value", "status"),
-    [
+def test_verification(spark):
+    cases = [
         ("payment_terms_days", {"v_num": 60.0, "source_quote": "Payment is due within 60 days", "page": 1}, "verified"),
         ("payment_terms_days", {"v_num": 60.0, "source_quote": "payment  is due\nWITHIN 60 days", "page": 3}, "verified"),
         ("payment_terms_days", {"v_num": 45.0, "source_quote": "Payment is due within 60 days", "page": 1}, "not_found"),
@@ -177,12 +173,12 @@ PAGES = "1: This Agreement is governed by the laws of Germany and lasts 24 month
         ("counterparty_registration_id", {"v_text": "HRB84421", "source_quote": "GmbH, HRB 84421, signs", "page": 3}, "verified"),
         ("auto_renewal", {"v_bool": False, "source_quote": "lasts 24 months.\nPayment", "page": 1}, "verified"),
         ("signatories", {"v_text": "A. Person", "source_quote": "with all due care.", "page": 3}, "verified"),
-    ],
-)
-def test_verification(spark, name, value, status):
-    docs = spark.createDataFrame([(1, PAGES)], "doc_id long, text string").select("doc_id", pages.split_pages(F.col("text")).alias("pages"))
-    got = verify.verified(fields(spark, [(1, name, {"confidence": 0.9} | value)]), docs).first()
-    assert got.prov_status == status and got.confidence == (0.9 if status in ("verified", "unverifiable") else 0.0)
+    ]
+    docs = spark.createDataFrame([(i, PAGES) for i in range(len(cases))], "doc_id long, text string")
+    docs = docs.select("doc_id", pages.split_pages(F.col("text")).alias("pages"))
+    rows = verify.verified(fields(spark, [(i, name, {"confidence": 0.9} | value) for i, (name, value, _) in enumerate(cases)]), docs).collect()
+    got = {r.doc_id: (r.prov_status, r.confidence) for r in rows}
+    assert got == {i: (status, 0.9 if status in ("verified", "unverifiable") else 0.0) for i, (_, _, status) in enumerate(cases)}
 
 
 def test_provenance_counts_and_documents_without_text(spark):
@@ -193,26 +189,26 @@ def test_provenance_counts_and_documents_without_text(spark):
     assert verify.verdict_lists(got).first().hallucinated == []
 
 
-def evidence(spark, **change):
+def evidence(spark, changes):
     base = {
-        "doc_id": 1, "document_kind": "contract", "counterparty_id": "V1", "counterparty_score": 1.0, "counterparty_status": "approved", "findings": [],
+        "document_kind": "contract", "counterparty_id": "V1", "counterparty_score": 1.0, "counterparty_status": "approved", "findings": [],
         "fields": [(n, True, 0.95, "verified") for n in fixed.DECISION_BEARING],
-    } | change
+    }
     schema = (
         "doc_id int, document_kind string, counterparty_id string, counterparty_score double, counterparty_status string, "
         "findings array<struct<severity:string,field:string,citation:string,explanation:string>>, "
         "fields array<struct<name:string,has_value:boolean,confidence:double,prov_status:string>>"
     )
-    return rules.decide(spark.createDataFrame([tuple(base.values())], schema)).first()
+    rows = [(i, *(base | change).values()) for i, change in enumerate(changes)]
+    return rules.decide(spark.createDataFrame(rows, schema)).orderBy("doc_id").collect()
 
 
 def some(n, has=True, confidence=0.95, status="verified"):
     return [(x, has, confidence, status) if x == n else (x, True, 0.95, "verified") for x in fixed.DECISION_BEARING]
 
 
-@pytest.mark.parametrize(
-    ("change", "found", "route"),
-    [
+def test_rules(spark):
+    cases = [
         ({}, [], "auto_approved"),
         ({"document_kind": "other"}, ["not_a_contract"], "rejected"),
         ({"document_kind": None}, [], "auto_approved"),
@@ -227,12 +223,10 @@ def some(n, has=True, confidence=0.95, status="verified"):
         ({"fields": some("liability_cap", status="not_found", confidence=0.0)}, ["unsupported_quote", "low_confidence_required_field"], "needs_review"),
         ({"fields": [(n, True, 0.95, "unverifiable") for n in fixed.DECISION_BEARING]}, ["partially_unverifiable", "wholly_unverifiable"], "needs_review"),
         ({"fields": []}, ["missing_required_field"], "needs_review"),
-    ],
-)
-def test_rules(spark, change, found, route):
-    got = evidence(spark, **change)
-    assert [r.rule for r in got.reasons] == found and got.route == route
-    assert len(set(got.blocking_fields)) == len(got.blocking_fields)
+    ]
+    for got, (_, found, route) in zip(evidence(spark, [c for c, _, _ in cases]), cases, strict=True):
+        assert [r.rule for r in got.reasons] == found and got.route == route
+        assert len(set(got.blocking_fields)) == len(got.blocking_fields)
 
 
 def test_every_rule_has_a_rank():
