@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,7 +172,8 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder."""
 
     def smallest(df: DataFrame) -> DataFrame:
-        return df.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+        least = df.groupBy("u").agg(F.min("v").alias("m"))  # partial sums before the shuffle; a join can split a hub's links
+        return df.join(least, "u").withColumn("m", F.least("u", "m"))
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -208,6 +209,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, within: int = 3) -> DataFra
     named = prints.join(joined, prints["fingerprint"] == joined["node"], "left").select(
         "fingerprint", F.coalesce("root_least", "least").alias("component_id")
     )
+    named = stage(named, "named")  # so that both sides of the join below are plain exchanges, which Spark can split
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
