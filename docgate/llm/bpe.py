@@ -82,6 +82,19 @@ def split_words(texts: list[str], specials: list[str]) -> tuple[str, np.ndarray,
     return joined, begin, end, np.searchsorted(edges, begin)
 
 
+class _Numbered(dict):
+    """Numbers words in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class Codec:
     """The vocabulary of a tokenizers JSON file with byte-level BPE, no prefix space and plain added tokens."""
 
@@ -115,7 +128,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbered()
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -155,7 +168,10 @@ class Codec:
             stay[at + 1] = False
             moved = at - np.arange(len(at))  # places after the removal
             word, symbols, rank = word[stay], symbols[stay], rank[stay]
-            again = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+            beside = np.zeros(len(word), bool)
+            beside[moved] = True
+            beside[moved[moved > 0] - 1] = True
+            again = np.flatnonzero(beside)
             more = again[again + 1 < len(word)]
             more = more[word[more] == word[more + 1]]
             rank[again] = self.none
@@ -165,24 +181,28 @@ class Codec:
         ids = ids[np.argsort(words_of, kind="stable")]
         return ids.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(words_of, minlength=len(words)))])
 
+    @staticmethod
+    def _replaced(ids: np.ndarray, at: np.ndarray, single: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, with one given id for some of them."""
+        parts = np.split(ids, at[1:-1])
+        for i, own in single.items():
+            parts[i] = np.array([own], np.int32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and where each text's begin, with the end as last entry."""
         joined, begin, end, text = split_words(texts, list(self.special))
         words = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         if len(self.known) > self.KEEP:
             self.forget()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            plain = [w for w in new if w not in self.special]
-            ids, at = self.merged([w.encode() for w in plain])
-            extra = [w for w in new if w in self.special]
-            ids = np.concatenate([ids, np.array([self.special[w] for w in extra], np.int32)])
-            at = np.concatenate([at, at[-1] + 1 + np.arange(len(extra))])
-            known.update(zip(plain + extra, range(len(known), len(known) + len(new)), strict=True))
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if new := self.known.new:
+            self.known.new = []
+            ids, at = self.merged([w.encode() for w in new])
+            if found := [i for i, w in enumerate(new) if w in self.special]:
+                ids, at = self._replaced(ids, at, {i: self.special[new[i]] for i in found})
             self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
             self.ids = np.concatenate([self.ids, ids])
-        index = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         ids, sizes = spread(self.ids, self.at, index)
         per_text = np.bincount(text, weights=sizes, minlength=len(texts)).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_text)])
