@@ -63,3 +63,13 @@ def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
 
 def counted(*conditions: tuple[str, Column]) -> list[Column]:
     return [F.count(F.when(c, 1)).alias(name) for name, c in conditions]
+
+
+def append(calls: DataFrame, path: str) -> None:
+    """Add calls to a ledger on disk, one folder per purpose, so that reports on a purpose read no other."""
+    calls.write.mode("append").partitionBy("purpose").parquet(path)
+
+
+def newest(calls: DataFrame) -> DataFrame:
+    """The last call; a limit of one is the operator."""
+    return calls.orderBy(F.desc("id")).limit(1)

@@ -34,3 +34,8 @@ def with_text(found: DataFrame, clauses: DataFrame) -> DataFrame:
     """Search results with citation and shortened text; sections that aren't there are left out."""
     text = clauses.select("section", F.concat_ws(" ", "section", "title").alias("citation"), shorten(F.concat_ws("\n", F.concat_ws(" ", "section", "title"), "body")).alias("text"))
     return found.join(F.broadcast(text), "section")
+
+
+def build(clauses: DataFrame, path: str) -> None:
+    """Write the index (section, title, body, embedding) anew; building it twice leaves one copy of each clause."""
+    clauses.select("section", "title", "body", F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["section"]).write.mode("overwrite").parquet(path)

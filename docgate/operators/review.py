@@ -89,3 +89,20 @@ def agent_ran(trace: Column) -> Column:
 def looked_up(trace: Column) -> Column:
     """Whether any tool but that for recording findings was used."""
     return F.exists(trace, lambda t: t["tool"] != "record_finding")
+
+
+def detail(items: DataFrame, tables: dict[str, DataFrame], calls: DataFrame) -> DataFrame:
+    """Each item with what leads to it, its reasons by weight, and the dollars spent on its attachment."""
+    spent = calls.groupBy("attachment_id").agg(F.sum("usd").alias("usd"))
+    out = chained(items, tables).join(spent, "attachment_id", "left")
+    return out.withColumns({"usd": F.coalesce("usd", F.lit(0.0)), "reasons": by_weight(F.col("reasons"))})
+
+
+def request(fields: DataFrame) -> DataFrame:
+    """doc_id and request, the fields of a document as lines for a reviewer: name, value, page, and the quote's beginning."""
+    value = F.coalesce("v_text", F.col("v_num").cast("string"), F.col("v_bool").cast("string"), F.lit("not stated"))
+    quote = F.substring(F.coalesce("source_quote", F.lit("")), 1, fixed.QUOTE_CHARS)
+    page = F.coalesce(F.concat(F.lit(" (page "), F.col("page").cast("string"), F.lit(")")), F.lit(""))
+    line = F.concat(label(F.col("name")), F.lit(": "), value, page, F.when(quote == "", "").otherwise(F.concat(F.lit(' "'), quote, F.lit('"'))))
+    lines = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))).alias("lines"))
+    return lines.select("doc_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("request"))

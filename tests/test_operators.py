@@ -268,7 +268,9 @@ def test_review_chain_and_dashboard(spark):
     got = review.queue(items, tables).collect()
     assert [(r.id, r.subject, r.top_reason.rule) for r in got] == [(7, "s", "unsupported_quote")]
     assert [r.id for r in review.queue(items, tables, "all").collect()] == [8, 7]
-    calls = make([(1, 0.5)], "attachment_id int, usd double")
+    calls = make([(2, 0.5)], "attachment_id int, usd double")
+    whole = review.detail(items, tables, calls).filter("id = 7").first()
+    assert whole.usd == 0.5 and [r.rule for r in whole.reasons] == ["unsupported_quote", "low_severity_finding"]
     marks = make([(1, "unverifiable"), (1, "unverifiable"), (2, "verified")], "doc_id int, prov_status string")
     row = review.dashboard(items, make([(1,)], "id int"), calls, tables["attachments"], marks).first()
     assert (row.open, row.filed, row.usd, row.usd_each, row.unverifiable) == (1, 1, 0.5, 0.5, 1)
@@ -298,12 +300,15 @@ def test_corrections(spark):
     assert [(r.name, r.corrected) for r in review.corrections(forms, old).collect()] == [("b", "new")]
 
 
-def test_retrieval(spark):
+def test_retrieval(spark, tmp_path):
     clauses = spark.createDataFrame([("§1", "t", "b", [0.0, 0.0]), ("§2", "t", "b", [1.0, 0.0]), ("§3", "t", "b", [5.0, 5.0])], "section string, title string, body string, embedding array<double>")
     asked = spark.createDataFrame([(1, [0.9, 0.0])], "query_id int, embedding array<double>")
     got = retrieval.search(asked, clauses, 2).orderBy("rank").collect()
     assert [r.section for r in got] == ["§2", "§1"] and got[0].score == pytest.approx(1 / 1.01)
     assert retrieval.with_text(retrieval.search(asked, clauses, 9), clauses).count() == 3
+    for _ in range(2):
+        retrieval.build(clauses.unionByName(clauses), str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 3
 
 
 def test_ledger_edges(spark):
@@ -317,6 +322,21 @@ def test_ledger_edges(spark):
     assert row.delivered == 0 and row.usd_each is None
 
 
+def test_ledger_on_disk(spark, tmp_path):
+    calls = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, purpose string, usd double")
+    for _ in range(2):
+        ledger.append(calls, str(tmp_path / "ledger"))
+    again = spark.read.parquet(str(tmp_path / "ledger"))
+    assert again.count() == 4 and ledger.newest(again).first().id == 2
+    assert {r.purpose: r.calls for r in again.groupBy("purpose").agg(F.count("*").alias("calls")).collect()} == {"a": 2, "b": 2}
+
+
+def test_review_request(spark):
+    rows = fields(spark, [(1, "term_months", {"v_num": 24.0, "page": 2, "source_quote": "q" * 500}), (1, "customer_name", {})])
+    lines = review.request(rows).first().request.split("\n")
+    assert lines[0] == "Our side: not stated" and lines[1].startswith('Initial term: 24.0 (page 2) "qqq') and len(lines[1]) < 200
+
+
 def test_evaluation(spark):
     want = fields(spark, [(1, "term_months", {"v_num": 24.0}), (1, "governing_law", {"v_text": "Germany"}), (1, "auto_renewal", {"v_bool": False}), (1, "customer_name", {})])
     got = fields(spark, [(1, "term_months", {"v_num": 24.005}), (1, "governing_law", {"v_text": "laws of GERMANY"}), (1, "auto_renewal", {})])
