@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgate.llm.common import stage
+from docgate.llm.common import discard, stage, staged
 from docgate.llm.exact_dedup import drop_exact_duplicates
 from docgate.llm.langid import UNKNOWN, identify, train
 from docgate.llm.packing import pack_documents
@@ -56,8 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the whole documents table."""
+    """All stages in order over the whole documents table. What a stage has written on the way goes when its result stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    earlier = staged()
     for name, apply in STAGES[:-1]:
         docs = stage(apply(spark, docs, sf_dir), name)
+        discard(spark, [folder for folder in staged()[:-1] if folder not in earlier])
     return STAGES[-1][1](spark, docs, sf_dir)

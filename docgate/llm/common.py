@@ -21,13 +21,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders of the tables that stage() has written, in their order.
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later jobs neither repeat its work nor depend on the
     executors that did it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docgate-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/docgate-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    _staged.append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def staged() -> list[str]:
+    return list(_staged)
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete tables that stage() has written and that no result needs any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _staged.remove(folder)
 
 
 def fresh(df: DataFrame, name: str) -> str:

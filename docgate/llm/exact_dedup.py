@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from docgate.llm.common import ascii_lower, fresh, stage
 
-#: Runs of equal texts are sorted in so many parts, by identifier, so that no task gets all copies of one text.
-SALTS = 32
+#: Runs of equal texts are sorted in parts, by identifier, so that no task gets all copies of one text: at least so many
+#: parts, and one more for so many rows of the table.
+SALTS, ROWS_PER_SALT = 32, 100_000
 #: Characters of the text that the range splitters see. Equal texts share them, and samples on the driver stay small.
 PREFIX = 48
 
 
-def exact_duplicates(docs: DataFrame, keep: str = "largest", salts: int = SALTS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, keep: str = "largest", salts: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. `keep` names which identifier of a
@@ -21,9 +22,11 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", salts: int = SALTS)
     kept only when its group has no other. Extra columns are ignored; no rows give no rows.
 
     Sampled splitters range-partition the normalised texts and each partition is sorted externally, so equals lie next
-    to each other and the window compares whole neighbouring texts. The parts that a large run was split into by
+    to each other and the window compares whole neighbouring texts. Unless `salts` is given, the rows are counted first, to
+    have enough parts for one text to be a third of them. The parts that a large run was split into by
     identifier are merged on the SHA-256 digest, one row per run and part, and joined back on digest and part.
     """
+    salts = salts or max(SALTS, docs.count() // ROWS_PER_SALT)
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     best = F.max if keep == "largest" else F.min
     keyed = docs.select(

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from docgate.llm.bpe import codec
 from docgate.llm.common import fresh, slices, stage
 
-#: Pieces of one length are ranked in so many parts, so that a common length is not one task's work.
-SALTS = 64
+#: Pieces of one length are ranked in parts of about so many, so that a common length is not one task's work.
+RANKED = 100_000
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -59,41 +59,49 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
     return tuple(np.array(sorted(rows), np.int64).reshape(-1, 4).T)
 
 
-def pack(pieces: DataFrame, size: int = 1024, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, size: int = 1024, ranked: int = RANKED) -> DataFrame:
     """The columns of pieces (doc_id, start, length and any others) and sequence_id, offset.
 
     Lengths lie in 1 to `size`; others fail. In each sequence the pieces are gapless from offset 0. Which of several
-    pieces of a length goes where is by doc_id and start. `pieces` is read twice, so it should be a written table. No
-    rows give no rows.
+    pieces of a length goes where is by a hash, doc_id and start. `pieces` is read three times, so it should be a written
+    table. No rows give no rows.
 
-    Only counts by length and part come to the driver, at most size * salts of them whatever the input. Pieces are ranked
-    within a length and part, and the rank is looked up in the pattern table by binary search."""
+    The driver gets the counts by length, at most `size`, and those by length and part: a part holds about `ranked`
+    pieces, picked by hash. Pieces are ranked within their part, and the rank is looked up in the pattern table by binary
+    search."""
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     part_of, rank_of = fresh(pieces, "part"), fresh(pieces, "rank")
-    pieces = pieces.select(*[F.col(f"`{c}`") for c in names], F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).alias(part_of))
-    counts = np.zeros((size + 2, salts), np.int64)
-    for length, part, n in pieces.groupBy("length", part_of).count().collect():
-        if not 1 <= length <= size:
-            raise ValueError(f"a piece has length {length}; 1 to {size} can be packed")
-        counts[length, part] = n
-    total = counts.sum(axis=1)
-    before = np.cumsum(counts, axis=1) - counts  # pieces of the length in earlier parts
-    lengths, ranks, sequences, offsets = slots(patterns({i: int(n) for i, n in enumerate(total) if n}, size))
-    wide = int(total.max()) + 1
+    total = {int(length): n for length, n in pieces.groupBy("length").count().collect()}
+    if wrong := [x for x in total if not 1 <= x <= size]:
+        raise ValueError(f"a piece has length {wrong[0]}; 1 to {size} can be packed")
+    parts = np.ones(size + 1, np.int64)
+    for length, n in total.items():
+        parts[length] = -(-n // ranked)
+    first = np.cumsum(parts) - parts  # the number of each length's first part
+    many = F.create_map(*[F.lit(int(x)) for length in total for x in (length, parts[length])]) if total else F.create_map().cast("map<int,int>")
+    part = F.pmod(F.xxhash64("doc_id", "start"), F.element_at(many, F.col("length").cast("int")))
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in names], part.alias(part_of))
+    counts = np.zeros(int(parts.sum()), np.int64)
+    for length, own, n in pieces.groupBy("length", part_of).count().collect():
+        counts[first[length] + own] = n
+    ends = np.cumsum(counts)
+    before = ends - counts - (ends - counts)[np.repeat(first, parts)]  # pieces of the length in earlier parts
+    lengths, ranks, sequences, offsets = slots(patterns(total, size))
+    wide = max(total.values(), default=0) + 1
     keys = lengths * wide + ranks
 
     def place(batches):
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column(rank_of).to_numpy(zero_copy_only=False) - 1 + before[length, batch.column(part_of).to_numpy(zero_copy_only=False)]
+            length, own, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", part_of, rank_of))
+            rank = rank - 1 + before[first[length] + own]
             at = np.searchsorted(keys, length * wide + rank, side="right") - 1
             columns = [*(batch.column(c) for c in names), pa.array(sequences[at] + rank - ranks[at]), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
     order = Window.partitionBy("length", part_of).orderBy("doc_id", "start")
-    ranked = pieces.withColumn(rank_of, F.row_number().over(order).cast("long"))
+    placed = pieces.withColumn(rank_of, F.row_number().over(order).cast("long"))
     fields = [pieces.schema[c] for c in names]
-    return ranked.mapInArrow(place, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return placed.mapInArrow(place, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 PIECE = T.StructType(

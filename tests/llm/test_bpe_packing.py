@@ -131,4 +131,11 @@ def test_packing_awkward_rows(spark):
     long = spark.createDataFrame([(1, 0, 17)], "doc_id long, start long, length long")
     with pytest.raises(ValueError, match="length 17"):
         pack(long, size=16)
+    many = spark.range(500).selectExpr("id as doc_id", "0L as start", "id % 7 + 1 as length", "'x' as part", "'y' as rank")
+    for ranked in (3, 1000):
+        packed = pack(many, size=8, ranked=ranked)
+        assert packed.columns == ["doc_id", "start", "length", "part", "rank", "sequence_id", "offset"]
+        rows = packed.collect()
+        assert len({(r.sequence_id, r.offset) for r in rows}) == len({r.doc_id for r in rows}) == 500
+        whole(rows, 8)
     assert cut(docs, PATH, with_ids=False).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -4,6 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from docgate.llm.common import staged
 from tests.llm.helpers import AZ, SMALL, edge_docs, small_docs
 from tests.llm.test_dedup import brute_components, brute_print
 from tests.llm.test_secrets import brute as secrets
@@ -51,6 +52,16 @@ def test_run_packs_what_the_stages_keep(spark):
     assert got == want and len(corpus_pipeline.STAGES) == 5
 
 
+def test_run_leaves_only_what_its_result_reads(spark):
+    from pathlib import Path
+
+    before = set(staged())
+    result = corpus_pipeline.run(spark, SMALL)
+    left = [f for f in staged() if f not in before]
+    assert [next(Path(f.removeprefix("file:")).iterdir()).name for f in left] == ["secret_scan", "pieces"]
+    assert result.count() > 0
+
+
 def test_awkward_and_empty_tables(spark):
     for empty in (False, True):
         docs = edge_docs(spark, empty)
