@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgate.llm.common import slices, stage
+from docgate.llm.common import discard, slices, stage, staged
 
 #: Bytes of text in a block, about. A block's words and pairs are looked up together.
 BLOCK = 6 << 20
@@ -26,14 +27,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _blob(values: np.ndarray) -> bytes:
-    """Unsigned integers as bytes, all lowest bytes first and all highest last, which compresses well where most are
-    small."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Unsigned integers as bytes, all lowest bytes first and all highest last, compressed: most are small."""
+    return zstandard.compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
 
 def _values(blob: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.frombuffer(blob, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+    return np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
 
 
 def _sorted_blob(keys: np.ndarray) -> bytes:
@@ -46,28 +46,40 @@ def _sorted_values(blob: bytes) -> np.ndarray:
 
 
 def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each pair of word hashes."""
+    """A key of each pair of word hashes: 48 leading bits, 16 zeros. Of n distinct pairs about n / 2^49 share theirs with
+    another, less than one in 500,000 for a thousand million; what such a pair's count gains changes no base score."""
     x = (left * _MIX) ^ (right + (left >> np.uint64(29)))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & ~np.uint64(0xFFFF)
+
+
+def _pairs(sizes: np.ndarray, tokens: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a block, as number of the word before * words + number of the word, ascending, and each
+    token's pair among them."""
+    before = np.concatenate([[0], tokens[:-1]])
+    before[np.cumsum(sizes)[:-1]] = 0  # a text begins after an end
+    return np.unique(before * words + tokens, return_inverse=True)
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per block: doc_ids, trains, sizes (tokens of each text), words (hashes), tokens (numbers of the words).
+    """A row per block: ids (null: 0), named (not null), trains, sizes (tokens of each text), words (hashes), tokens (numbers
+    of the words), all as bytes; how many tokens are to be learned from, and about how many distinct words and pairs there are.
 
     Tokens are words and one end per text, word number 0."""
     part_id, nth = TaskContext.get().partitionId(), 0
-    names = ["block", "doc_ids", "trains", "sizes", "words", "tokens", "train_tokens"]
+    names = ["block", "ids", "named", "trains", "sizes", "words", "tokens", "train_tokens", "keys"]
     digest = xxhash.xxh64_intdigest
 
     def emit(ids, trains, sizes, words, tokens):
         nonlocal nth
-        sizes = np.array(sizes, np.int64)
-        learnt = int(sizes[np.array(trains, bool)].sum())
+        sizes, trains = np.array(sizes, np.int64), np.array(trains, bool)
+        learnt = int(sizes[trains].sum())
+        named = np.array([x is not None for x in ids], bool)
+        ids = np.array([x or 0 for x in ids], np.int64)
         hashes = np.fromiter(map(digest, words), np.uint64, len(words))
-        row = [[(part_id << 32) + nth], [ids], [trains], [_blob(sizes)], [_blob(hashes)], [_blob(np.concatenate(tokens))], [learnt]]
+        row = [[(part_id << 32) + nth], [ids.tobytes()], [named.tobytes()], [trains.tobytes()], [_blob(sizes)], [_blob(hashes)], [_blob(np.concatenate(tokens))], [learnt], [len(words) + int(sizes.sum()) // 2]]
         nth += 1
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
     ids, trains, sizes, words, tokens, size = [], [], [], {b"": 0}, [], 0
@@ -91,15 +103,12 @@ def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Block:
     """A block's numbered words and pairs, each with its key, in the keys' order."""
 
-    def __init__(self, sizes: bytes, words: bytes, tokens: bytes, trains) -> None:
+    def __init__(self, sizes: bytes, words: bytes, tokens: bytes, trains: bytes) -> None:
         self.sizes = _values(sizes, np.int64)
         self.tokens = _values(tokens, np.uint32).astype(np.int64)
-        self.trains = np.array(trains, bool)
+        self.trains = np.frombuffer(trains, bool)
         hashes = _values(words, np.uint64)
-        before = np.concatenate([[0], self.tokens[:-1]])
-        before[np.cumsum(self.sizes)[:-1]] = 0  # a text begins after an end
-        self.before = before
-        codes, self.pair = np.unique(before * len(hashes) + self.tokens, return_inverse=True)
+        codes, self.pair = _pairs(self.sizes, self.tokens, len(hashes))
         keys = _pair_keys(hashes[codes // len(hashes)], hashes[codes % len(hashes)])
         self.keys = {"word": hashes, "pair": keys}
         self.order = {kind: np.argsort(k, kind="stable") for kind, k in self.keys.items()}
@@ -145,11 +154,11 @@ def _asked(buckets: int):
 
 def _answered(group: pd.DataFrame) -> pd.DataFrame:
     """The total count of each key, for each block that asked, in the order asked; for block -1 the number of keys learnt."""
-    keys = np.concatenate([_sorted_values(x) for x in group["keys"]])
+    asked = [_sorted_values(x) for x in group["keys"]]
     counts = np.concatenate([_values(x, np.uint32) for x in group["counts"]])
-    distinct, at = np.unique(keys, return_inverse=True)
+    distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-    cuts = np.cumsum([len(x) // 8 for x in group["keys"]])[:-1]
+    cuts = np.cumsum([len(x) for x in asked])[:-1]
     answers = [_blob(x) for x in np.split(np.minimum(total[at], 2**32 - 1).astype(np.uint32), cuts)]
     kind, bucket = group["kind"].iloc[0], group["bucket"].iloc[0]
     return pd.DataFrame(
@@ -157,16 +166,40 @@ def _answered(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _joined(blocks: pd.DataFrame, answers: pd.DataFrame) -> Iterator[tuple]:
-    """Each block's row, its _Block, and per token: its count, the count of the word before, the pair's count."""
+#: A row per block, as _counted() makes it.
+COUNTED = "block long, ids binary, named binary, trains binary, sizes binary, tokens binary, word binary, pair binary, learnt long"
+
+
+def _counted(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    """A block's row with the total counts of its words, in their order, and of its pairs, in that of _pairs(). Block -1
+    has the number of distinct words learnt."""
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+    if not len(blocks):
+        learnt = int(answers.loc[answers["kind"] == "word", "learnt"].sum())
+        return pd.DataFrame([(-1, *[b""] * 7, learnt)], columns=names)
+    out = []
     for row in blocks.itertuples():
         block = _Block(row.sizes, row.words, row.tokens, row.trains)
-        total = {}
+        totals = []
         for kind in ("word", "pair"):
-            own = answers[(answers["kind"] == kind) & (answers["block"] == row.block)].sort_values("bucket")
-            total[kind] = np.empty(len(block.keys[kind]), np.int64)
-            total[kind][block.order[kind]] = np.concatenate([_values(x, np.uint32) for x in own["totals"]])
-        yield row, block, total["word"][block.tokens], total["word"][block.before], total["pair"][block.pair]
+            own = answers[answers["kind"] == kind].sort_values("bucket")
+            total = np.empty(len(block.keys[kind]), np.uint32)
+            total[block.order[kind]] = np.concatenate([_values(x, np.uint32) for x in own["totals"]])
+            totals.append(_blob(total))
+        out.append((row.block, row.ids, row.named, row.trains, row.sizes, row.tokens, *totals, 0))
+    return pd.DataFrame(out, columns=names)
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each block of a COUNTED table: its row, the texts' sizes, which are learned from, each token's pair, and of each
+    pair the total counts of its word, of the word before and its own."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            sizes, word = _values(row["sizes"], np.int64), _values(row["word"], np.uint32).astype(np.int64)
+            codes, at = _pairs(sizes, _values(row["tokens"], np.uint32).astype(np.int64), len(word))
+            counts = (word[codes % len(word)], word[codes // len(word)], _values(row["pair"], np.uint32).astype(np.int64))
+            yield row, sizes, np.frombuffer(row["trains"], bool), at, *counts
 
 
 def _group(context: np.ndarray) -> np.ndarray:
@@ -182,16 +215,20 @@ def _step(share: np.ndarray) -> np.ndarray:
 def _held_out(total_tokens: int):
     """How often each (group, pair share, word share) occurs among tokens to learn from when each is left out itself."""
 
-    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({"context": [], "pair": [], "word": [], "n": []}, dtype=np.int64)]
-        for _, block, word, before, pair in _joined(blocks, answers):
-            use = block.learnt()
+    def run(batches):
+        for _, sizes, trains, at, word, before, pair in _known(batches):
+            learns = np.bincount(at[np.repeat(trains, sizes)], minlength=len(pair))
+            use = learns > 0
             word, before, pair = word[use] - 1, before[use] - 1, pair[use] - 1
             cells = pd.DataFrame(
-                {"context": _group(before), "pair": _step(pair / np.maximum(before, 1)), "word": _step(word / max(total_tokens - 1, 1))}
+                {
+                    "context": _group(before),
+                    "pair": _step(pair / np.maximum(before, 1)),
+                    "word": _step(word / max(total_tokens - 1, 1)),
+                    "n": learns[use],
+                }
             )
-            parts.append(cells.groupby(["context", "pair", "word"]).size().rename("n").reset_index())
-        return pd.concat(parts)
+            yield pa.RecordBatch.from_pandas(cells.groupby(["context", "pair", "word"], as_index=False)["n"].sum(), preserve_index=False)
 
     return run
 
@@ -219,28 +256,24 @@ def mixture(cells: pd.DataFrame, uniform: float, rounds: int = 60) -> np.ndarray
 
 
 def _scored(total_tokens: int, distinct: int, weights: np.ndarray):
-    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for row, block, word, before, pair in _joined(blocks, answers):
-            starts = np.cumsum(block.sizes) - block.sizes
+    def run(batches):
+        for row, sizes, trains, at, word, before, pair in _known(batches):
             w = weights[_group(before)]
             chance = w[:, 0] * pair / np.maximum(before, 1) + w[:, 1] * word / max(total_tokens, 1) + w[:, 2] / (distinct + 1)
             base = (word + 1) / (total_tokens + distinct + 1)
-            sums = np.add.reduceat(np.column_stack([np.log10(chance), np.log10(base), word > 0]), starts, axis=0)
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": pd.array(list(row.doc_ids), dtype="Int64"),
-                        "held_out": ~block.trains,
-                        "n_tokens": block.sizes,
-                        "n_known": sums[:, 2].astype(np.int64),
-                        "train_tokens": total_tokens,
-                        "base_score": sums[:, 1],
-                        "score": sums[:, 0],
-                    }
-                )
-            )
-        return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            starts = np.cumsum(sizes) - sizes
+            own, plain, known = (np.add.reduceat(x[at], starts) for x in (np.log10(chance), np.log10(base), (word > 0).astype(np.int64)))
+            n = len(sizes)
+            columns = [
+                pa.array(np.frombuffer(row["ids"], np.int64), mask=~np.frombuffer(row["named"], bool)),
+                pa.array(~trains),
+                pa.array(sizes),
+                pa.array(known),
+                pa.array(np.full(n, total_tokens, np.int64)),
+                pa.array(plain),
+                pa.array(own),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
@@ -248,7 +281,7 @@ def _scored(total_tokens: int, distinct: int, weights: np.ndarray):
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, trains: Column, every: int = 8) -> DataFrame:
+def score(docs: DataFrame, trains: Column) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents for which `trains` is true are learned from; null counts as true. A-Z are lower-cased; tokens are runs
@@ -260,33 +293,32 @@ def score(docs: DataFrame, trains: Column, every: int = 8) -> DataFrame:
 
     Texts are tokenised once, into blocks. Each block asks for the counts of its distinct words and pairs (64-bit hashes)
     in buckets of the hash; a bucket adds up what all blocks have and answers each. So what is shuffled is bounded by the
-    distinct keys of a block, a frequent pair is one entry per block, and no table of counts is broadcast. The weights are
-    learned from the blocks whose hash is 0 modulo `every`, and the first, each token left out of the counts itself."""
+    distinct keys of a block, a frequent pair is one entry per block, and no table of counts is broadcast. Blocks and their
+    counts meet once, in a written table. The weights are learned from it, from all tokens to learn from, each left out of
+    the counts itself, and all texts are scored from it, neither with another shuffle of blocks."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(trains, F.lit(True)).alias("trains"))
     blocks = stage(
         rows.mapInArrow(
             _tokenised,
-            "block long, doc_ids array<long>, trains array<boolean>, sizes binary, words binary, tokens binary, train_tokens long",
+            "block long, ids binary, named binary, trains binary, sizes binary, words binary, tokens binary, train_tokens long, keys long",
         ),
         "blocks",
     )
-    held = (F.octet_length("words") + F.octet_length("tokens")) / 8
-    total_tokens, keys, first = blocks.agg(F.sum("train_tokens"), F.sum(held), F.min("block")).first()
+    written = staged()[-1:]
+    total_tokens, keys = blocks.agg(F.sum("train_tokens"), F.sum("keys")).first()
     if total_tokens is None:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
+        return spark.createDataFrame([], SCHEMA)
     buckets = 1 << max(0, int(keys / BUCKET)).bit_length()
-    asked = blocks.drop("doc_ids").mapInArrow(_asked(buckets), "kind string, bucket int, block long, keys binary, counts binary")
-    answers = asked.groupBy("kind", "bucket").applyInPandas(_answered, "kind string, bucket int, block long, totals binary, learnt long")
-    answers = stage(answers, "answers")
-    distinct = answers.filter("block = -1 and kind = 'word'").agg(F.sum("learnt")).first()[0]
-    answers = answers.filter("block >= 0").drop("learnt")
-    chosen = (F.pmod(F.xxhash64("block"), F.lit(every)) == 0) | (F.col("block") == first)
-    cells = (
-        blocks.filter(chosen)
-        .groupBy("block")
-        .cogroup(answers.filter(chosen).groupBy("block"))
-        .applyInPandas(_held_out(total_tokens), "context long, pair long, word long, n long")
+    asked = blocks.select("block", "trains", "sizes", "words", "tokens").mapInArrow(
+        _asked(buckets), "kind string, bucket int, block long, keys binary, counts binary"
     )
+    answers = asked.groupBy("kind", "bucket").applyInPandas(_answered, "kind string, bucket int, block long, totals binary, learnt long")
+    counted = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_counted, COUNTED), "counted")
+    discard(spark, written)
+    distinct = counted.filter("block = -1").agg(F.sum("learnt")).first()[0]
+    counted = counted.filter("block >= 0")
+    cells = counted.select("trains", "sizes", "tokens", "word", "pair").mapInArrow(_held_out(total_tokens), "context long, pair long, word long, n long")
     cells = cells.groupBy("context", "pair", "word").agg(F.sum("n").alias("n")).toPandas()
     weights = mixture(cells, 1 / (distinct + 1))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(total_tokens, distinct, weights), SCHEMA)
+    return counted.mapInArrow(_scored(total_tokens, distinct, weights), SCHEMA)
