@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docgate.llm.common import stage
 
-#: Rows and queries of one cell that meet in a task, about; larger cells are cut by hash.
+#: Rows and queries of one cell that meet in a task, about; a larger cell, however large, is cut by hash.
 CELL_ROWS, CELL_QUERIES = 16384, 2048
 
 
@@ -88,23 +88,27 @@ def _nearest(k: int, dim: int):
     return run
 
 
-def _meet(queries: DataFrame, rows: DataFrame, n_queries: float, n_rows: float, k: int, dim: int) -> DataFrame:
+def _meet(queries: DataFrame, rows: DataFrame, held: dict[int, tuple[int, int]], k: int, dim: int) -> DataFrame:
     """The k nearest rows of each query within its cells, a row per query and near row found in a block.
 
-    n_queries and n_rows are how many of each a cell holds on average. Cells are cut by hash of the identifiers into
-    blocks of bounded expected size, and each block of queries meets each block of rows of its cell in a task."""
-    row_cuts, query_cuts = max(1, math.ceil(n_rows / CELL_ROWS)), max(1, math.ceil(n_queries / CELL_QUERIES))
+    held: of each cell the number of queries and of rows in it. Cells are cut by hash of the identifiers into blocks,
+    the more the larger the cell, and each block of queries meets each block of rows of its cell in a task."""
+    cuts = {cell: (math.ceil(n / CELL_QUERIES), math.ceil(m / CELL_ROWS)) for cell, (n, m) in held.items() if n and m}
+    if not cuts:
+        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
 
-    def cut(df: DataFrame, own: str, own_cuts: int, other: str, other_cuts: int) -> DataFrame:
-        return df.withColumns(
-            {own: F.pmod(F.xxhash64("vec_id"), F.lit(own_cuts)), other: F.explode(F.sequence(F.lit(0), F.lit(other_cuts - 1)))}
-        ).withColumns({own: F.col(own).cast("int"), other: F.col(other).cast("int")})
+    def many(at: int) -> Column:
+        return F.create_map(*[F.lit(x) for cell, n in cuts.items() for x in (cell, n[at])])[F.col("cell")]
 
-    q = cut(queries, "q", query_cuts, "r", row_cuts)
-    r = cut(rows, "r", row_cuts, "q", query_cuts)
+    def cut(df: DataFrame, own: str, at: int, other: str) -> DataFrame:
+        met = df.filter(F.col("cell").isin(list(cuts)))
+        return met.withColumns(
+            {own: F.pmod(F.xxhash64("vec_id"), many(at)).cast("int"), other: F.explode(F.sequence(F.lit(0), many(1 - at) - 1))}
+        )
+
+    q, r = cut(queries, "q", 0, "r"), cut(rows, "r", 1, "q")
     keys = ["cell", "q", "r"]
-    found = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_nearest(k, dim), "query_id long, vec_id long, score double")
-    return found
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_nearest(k, dim), "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dim: int = 64, tables: int = 6, probes: int = 16, seed: int = 2) -> DataFrame:
@@ -117,19 +121,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dim: int = 64, ta
     smallest distance. Extra columns are ignored; no rows give no rows.
 
     Each of `tables` tables puts every row in the cell of the signed axis that its rotated unit vector is nearest to, and
-    looks for each query in the `probes` cells nearest to it. Cells are compared block by block and each block returns k
+    looks for each query in the `probes` cells nearest to it. The rows of each cell are counted, so that a cell with a large
+    share of all rows is cut into as many more blocks. Cells are compared block by block and each block returns k
     rows per query. A query for which fewer than k rows were found is then compared with all rows, in blocks."""
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     clean = clean.filter(
         F.col("vec_id").isNotNull() & (F.size("embedding") == dim) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
     )
-    n, asking = clean.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
+    n = clean.count()
     cells = 2 << max(0, (dim - 1).bit_length())
     queries = clean.filter("asks")
-    found = _meet(
-        _hashed(queries, dim, tables, min(probes, cells), seed), _hashed(clean, dim, tables, 1, seed), asking * probes / cells, n / cells, k, dim
-    )
+    asked, there = _hashed(queries, dim, tables, min(probes, cells), seed), _hashed(clean, dim, tables, 1, seed)
+    held = {}
+    for name, hashed in ((0, asked), (1, there)):  # tables * cells counts at most
+        for cell, rows in hashed.groupBy("cell").count().collect():
+            held.setdefault(cell, [0, 0])[name] = rows
+    found = _meet(asked, there, held, k, dim)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
 
     def top(df: DataFrame) -> DataFrame:
@@ -141,6 +149,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dim: int = 64, ta
     short = stage(queries.select("vec_id", "embedding").join(full, "vec_id", "left_anti"), "short")
     left = short.count()
     one = F.lit(0).cast("long").alias("cell")
-    rest = top(_meet(short.select("*", one), clean.select("vec_id", "embedding", one), left, n, k, dim)) if left else found.limit(0)
+    rest = top(_meet(short.select("*", one), clean.select("vec_id", "embedding", one), {0: (left, n)}, k, dim)) if left else found.limit(0)
     whole = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest) if left else found
     return whole.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
