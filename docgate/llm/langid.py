@@ -17,6 +17,8 @@ _READ = np.arange(256, dtype=np.uint8)
 _READ[:128] = 0x20
 _READ[97:123] = np.arange(97, 123)
 UNKNOWN = "und"
+#: Bytes that are looked up at a time.
+WINDOW = 1 << 20
 
 
 def _has_letter(text: str) -> bool:
@@ -53,16 +55,27 @@ class Model:
     def lengths(self, texts: list[str]) -> np.ndarray:
         """The code length in bits of each text under each language."""
         data, begin = normalised(texts)
-        cls = self.classes[data].astype(np.int32)
-        node = np.zeros(len(cls), np.int32)
-        for k in range(1, self.order + 1):
-            back = np.zeros(len(cls), np.int32)
-            back[k:] = cls[:-k]
-            node = self.child[node * self.width + back]
-        node %= len(self.bits) // self.width
-        cost = self.bits[node * self.width + cls]
-        cost[begin[:-1]] = 0
-        return np.add.reduceat(cost, begin[:-1], axis=0, dtype=np.float64) if len(texts) else np.zeros((0, len(self.langs)))
+        if not len(texts):
+            return np.zeros((0, len(self.langs)))
+        cls, out = self.classes[data], np.zeros((len(texts), len(self.langs)))
+        start = np.zeros(len(cls), bool)
+        start[begin[:-1]] = True
+        of = np.cumsum(start) - 1
+        for at in range(0, len(cls), WINDOW):  # a long text goes through in windows, each with the bytes before it
+            low = max(0, at - self.order)
+            own = cls[low : at + WINDOW].astype(np.int32)
+            node = np.zeros(len(own), np.int32)
+            for k in range(1, self.order + 1):
+                back = np.zeros(len(own), np.int32)
+                back[k:] = own[:-k]
+                node = self.child[node * self.width + back]
+            node %= len(self.bits) // self.width
+            cost = self.bits[node * self.width + own][at - low :]
+            cost[start[at : at + WINDOW]] = 0
+            text = of[at : at + WINDOW]
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            out[text[first]] += np.add.reduceat(cost, first, axis=0, dtype=np.float64)
+        return out
 
 
 def _counts(order: int):
