@@ -62,3 +62,30 @@ def test_blocks_of_one_cell_agree(spark, monkeypatch):
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [i for _, i in x] for q, x in want.items()}
+
+
+def test_a_cell_with_most_rows_is_cut_by_its_own_size(spark, monkeypatch):
+    """Half of all vectors are one vector: their cell meets in blocks of about CELL_ROWS, and ties go to smaller numbers."""
+    import docgate.llm.ann as ann
+
+    monkeypatch.setattr(ann, "CELL_ROWS", 20)
+    seen = spark.sparkContext.accumulator(0)  # blocks with far more rows than CELL_ROWS
+    plain = ann._nearest
+
+    def watched(k, dim):
+        run = plain(k, dim)
+
+        def counted(queries, rows):
+            seen.add(int(len(rows) > 50))
+            return run(queries, rows)
+
+        counted.__annotations__ = run.__annotations__
+        return counted
+
+    monkeypatch.setattr(ann, "_nearest", watched)
+    rng = np.random.default_rng(4)
+    vectors = {i: [0.5, 1.0, -0.25, 3.0] if i % 2 else rng.normal(size=4).tolist() for i in range(600)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    rows = nearest(df, F.col("vec_id") == 301, k=5, dim=4, tables=2, probes=2).collect()
+    assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == [(i, 0.0) for i in (1, 3, 5, 7, 9)]
+    assert seen.value == 0

@@ -148,3 +148,29 @@ def test_lm_awkward_rows(spark):
     nothing = lm.score(docs, F.lit(False)).collect()
     assert all(r.held_out and r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in nothing)
     assert lm.score(edge_docs(spark, empty=True), F.lit(True)).count() == 0
+
+
+def test_long_texts_go_through_in_windows(monkeypatch):
+    """Code lengths don't depend on where windows end."""
+    import pyarrow as pa
+
+    from docgate.llm import langid
+
+    texts = {"a": ["abra kadabra abra", "bar bar"], "b": ["berber erb", "rebe"]}
+    frame = pa.table({"lang": [k for k in texts for _ in texts[k]], "text": [t for k in texts for t in texts[k]]})
+    model = _tree(("a", "b"), 3, pd.concat(b.to_pandas() for b in _counts(3)(frame.to_batches())))
+    asked = ["abra bar" * 50, "", "erb", "q", "reber abra " * 30]
+    whole = model.lengths(asked)
+    for window in (1, 2, 5, 64):
+        monkeypatch.setattr(langid, "WINDOW", window)
+        assert np.allclose(model.lengths(asked), whole)
+
+
+def test_weights_are_learned_from_every_token(spark, monkeypatch):
+    """The cells that expectation-maximisation gets hold each token to learn from once, however many blocks there are."""
+    gathered = []
+    plain = lm.mixture
+    monkeypatch.setattr(lm, "mixture", lambda cells, *rest: gathered.append(int(cells["n"].sum())) or plain(cells, *rest))
+    docs = small_docs(spark).repartition(7).cache()
+    rows = lm.score(docs, F.col("doc_id") % 3 != 1).collect()
+    assert gathered == [sum(r.n_tokens for r in rows if not r.held_out)] == [rows[0].train_tokens]
