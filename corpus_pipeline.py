@@ -14,7 +14,7 @@ from docgate.llm.exact_dedup import drop_exact_duplicates
 from docgate.llm.langid import UNKNOWN, identify, train
 from docgate.llm.packing import pack_documents
 from docgate.llm.secrets import mask_secrets
-from docgate.llm.simhash import drop_near_duplicates
+from docgate.llm.shingles import drop_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints within three bits the one with the smallest doc_id stays."""
-    return drop_near_duplicates(docs, words=3, within=3)
+    """Of documents linked by a five-word similarity of 0.8 or more the one with the smallest doc_id stays."""
+    return drop_similar(docs, words=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

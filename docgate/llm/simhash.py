@@ -26,12 +26,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xAE3
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int = 3) -> np.ndarray:
-    """The 64-bit SimHash of each text: a bit is 1 if set in over half the XXH64 hashes (seed 42) of its word shingles.
-
-    A-Z are lower-cased, words are runs without white space of ASCII. A text of fewer words has one shingle of them all;
-    one without words has fingerprint 0."""
-    n = len(offsets) - 1
+def folded_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with A-Z lower-cased and runs of white space as one blank, begin and end of each word in them, and the
+    first word of each text, with the number of words as last entry."""
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     blank = _BLANK[data]
@@ -42,17 +39,31 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int = 3) -> np
     kept = ~blank | ~(after | first[:-1])  # of several blanks the first
     place = np.concatenate([[0], np.cumsum(kept)])
     text = _LOWER[data[kept]].tobytes()
-    word_at = np.searchsorted(starts, offsets)
+    return text, place[starts], place[ends - 1] + 1, np.searchsorted(starts, offsets)
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH64 hashes (seed 42) of the word shingles of all texts in order, and how many each text has.
+
+    A-Z are lower-cased, words are runs without white space of ASCII. A text of fewer words has one shingle of them all."""
+    text, begin, end, word_at = folded_words(data, offsets)
     count = np.diff(word_at)
     shingles = np.where(count == 0, 0, np.maximum(count - words + 1, 1))
-    doc = np.repeat(np.arange(n), shingles)
+    doc = np.repeat(np.arange(len(count)), shingles)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     head = word_at[doc] + nth
     last = head + np.minimum(words, count[doc]) - 1
-    begin, end = place[starts[head]].tolist(), place[ends[last] - 1] + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], 42) for a, b in zip(begin, end.tolist(), strict=True)), np.uint64, len(begin))
-    out = np.zeros(n, np.uint64)
+    pairs = zip(begin[head].tolist(), end[last].tolist(), strict=True)
+    return np.fromiter((digest(text[a:b], 42) for a, b in pairs), np.uint64, len(head)), shingles
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, words: int = 3) -> np.ndarray:
+    """The 64-bit SimHash of each text: a bit is 1 if set in over half of the hashes of its word shingles.
+
+    A text without words has fingerprint 0."""
+    hashes, shingles = shingle_hashes(data, offsets, words)
+    out = np.zeros(len(shingles), np.uint64)
     full = np.flatnonzero(shingles)
     if len(full):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
