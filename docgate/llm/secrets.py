@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Sequence
@@ -21,13 +22,15 @@ class Rule:
     """A secret of a kind: bytes that `head` matches, then the longest run of one or more bytes of the class `tail`.
 
     Matches are leftmost and don't overlap within a rule. One with a run of fewer than `min_tail` bytes, or of fewer than
-    `min_total` bytes in all, is dropped, but its bytes stay used up, as when matches of head+tail are filtered."""
+    `min_total` bytes in all, is dropped, but its bytes stay used up, as when matches of head+tail are filtered. What `body` matches
+    right behind a match belongs to it, too."""
 
     kind: str
     head: str
     tail: str
     min_tail: int = 1
     min_total: int = 1
+    body: str = ""
 
 
 BASE_RULES = (
@@ -35,11 +38,18 @@ BASE_RULES = (
     Rule("access", "AKIA", "[A-Z0-9]", min_total=20),
     Rule("hex", "[0-9a-f]{23}", "[0-9a-f]"),
 )
+#: Behind the first line of a private key: all up to its last line, or, if another key or the end of the text comes before,
+#: what still looks like one: fields of the head, then lines (or their escaped forms) of which the first is as long as keys have them (64, 70, 76, or all in one).
+_LINE = r"(?:[\x20\t>]|\\[rnt]|[\r\n])"
+KEY_BODY = (
+    r"(?:[^-]|-(?!----(?:BEGIN|END)\x20))*+-----END\x20[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-*+"
+    rf"|{_LINE}++(?:[A-Z][A-Za-z-]*+:\x20[^\r\n\\]*+{_LINE}++)*+(?:[A-Za-z0-9+/]{{120,}}+=*+|[A-Za-z0-9+/]{{76}}|[A-Za-z0-9+/]{{70}}|[A-Za-z0-9+/]{{64}})(?={_LINE}|\Z)(?:{_LINE}++[A-Za-z0-9+/]{{16,}}+=*+)*+(?:{_LINE}++[A-Za-z0-9+/]*+=[A-Za-z0-9+/=]*+)*+(?:{_LINE}++[A-Za-z0-9+/=]++\Z)?"
+)
 RULES = BASE_RULES + (
     Rule("github", "gh[oprsu]_", "[A-Za-z0-9]", min_tail=36),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", min_tail=10),
     Rule("google", "AIza", "[A-Za-z0-9_-]", min_tail=35),
-    Rule("pem", "-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY----", "-"),
+    Rule("pem", "-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?----", "-", body=KEY_BODY),
 )
 
 
@@ -300,9 +310,12 @@ def scan(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
         new = np.append(True, (np.diff(p) != 1) | (np.diff(docs) != 0))
         firsts, lasts = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(p)) - 1
         doc, used = -1, 0
+        body, whole = (re.compile(rule.body.encode()), data.tobytes()) if rule.body else (None, b"")
         for a, b, d in zip(p[firsts].tolist(), p[lasts].tolist(), docs[firsts].tolist(), strict=True):
             low = max(used, int(offsets[d])) if d == doc else int(offsets[d])
             start, end = _begin(auto, r, classes, low, a), b + 1
+            if body and (more := body.match(whole, end, int(offsets[d + 1]))):
+                end = more.end()
             doc, used = d, end
             if end - a >= rule.min_tail and end - start >= rule.min_total:
                 spans.append((d, start, r, end))
