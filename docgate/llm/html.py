@@ -14,7 +14,9 @@ from docgate.llm.common import slices
 # Element names by how HTML parses and lays them out.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript textarea title template".split())
-UNSEEN = set("head script style template noscript iframe noembed noframes title datalist object audio video canvas svg math".split())
+UNSEEN = set("head script style template noscript iframe noembed noframes title datalist object audio video canvas".split())
+#: Not drawn inside of svg and math.
+UNDRAWN = set("desc metadata defs symbol annotation annotation-xml".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr form menu dir listing xmp".split())
 BLOCK = SPACED | set(
     "address article aside body center dd details dialog div dt figcaption footer header hgroup html legend li main nav optgroup option search section summary tr caption".split()
@@ -122,7 +124,7 @@ def parse(html: str) -> Node:
                 stack[-1].children.append(row)
                 stack.append(row)
             stack[-1].children.append(node)
-            if tag in VOID:
+            if tag in VOID or m[2].endswith("/") and any(n.tag in ("svg", "math") for n in stack):
                 continue
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
@@ -215,25 +217,28 @@ class _Page:
         return "\n".join(self.lines)
 
 
-def _rows(table: Node) -> tuple[list[Node], list[Node]]:
-    """The captions and visible rows of a table, not those of tables in it."""
-    captions, rows, todo = [], [], [table]
+def _rows(table: Node) -> tuple[list[Node], list[Node], list]:
+    """The captions and visible rows of a table, not those of tables in it, and what stands in it, its sections and rows
+    without being part of the grid."""
+    captions, rows, loose, todo = [], [], [], [table]
     while todo:
         node = todo.pop()
+        loose.append(" ")
         if node.tag == "caption":
             captions.append(node)
         elif node.tag == "tr":
             rows.append(node)
+            loose.extend(c for c in node.children if isinstance(c, Node) and c.tag not in ("td", "th"))
         else:
-            inner = [c for c in node.children if isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot", "caption") and c.visible()]
-            todo.extend(reversed(inner))
-    return captions, rows
+            grid = [isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot", "caption") for c in node.children]
+            loose.extend(c for c, part in zip(node.children, grid, strict=True) if not part)
+            todo.extend(c for c, part in reversed(list(zip(node.children, grid, strict=True))) if part and c.visible())
+    return captions, rows, loose
 
 
 def _table(table: Node, page: _Page, depth: int) -> None:
-    captions, rows = _rows(table)
+    captions, rows, loose = _rows(table)
     page.space(1)
-    loose = [c for c in table.children if not isinstance(c, Node) or c.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col")]
     for nodes in (loose, *(c.children for c in captions)):
         _render(nodes, page, depth)
         page.end_line()
@@ -284,7 +289,7 @@ def _render(nodes: list, page: _Page, depth: int = 0) -> None:
     """Write nodes in order. An explicit stack keeps deeply nested pages from exhausting Python's."""
     todo: list = [(n, False) for n in reversed(nodes)]
     lists: list[list] = []
-    formatted = 0
+    formatted = drawn = 0
     while todo:
         node, leaving = todo.pop()
         if not isinstance(node, Node):
@@ -300,12 +305,13 @@ def _render(nodes: list, page: _Page, depth: int = 0) -> None:
                 page.space(1 if tag in SPACED else 0)
             if tag in FORMATTED:
                 formatted -= 1
+            drawn -= tag in ("svg", "math")
             if tag == "li":
                 page.mark = ""
             if tag in ("dd", "blockquote"):
                 page.indent -= 2
             continue
-        if not node.visible():
+        if not node.visible() or drawn and tag in UNDRAWN:
             continue
         if tag == "br":
             if page.now:
@@ -317,7 +323,7 @@ def _render(nodes: list, page: _Page, depth: int = 0) -> None:
             _table(node, page, depth)
             continue
         children = node.children
-        if tag in ("td", "th"):
+        if tag in ("td", "th") or drawn and tag == "text":
             page.say(" ")
         if tag in ("ul", "ol", "menu", "dir"):
             page.space(0 if lists else 1)
@@ -343,6 +349,7 @@ def _render(nodes: list, page: _Page, depth: int = 0) -> None:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         if tag in VOID:
             continue
+        drawn += tag in ("svg", "math")
         todo.append((node, True))
         todo.extend((c, False) for c in reversed(children))
 

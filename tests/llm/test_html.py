@@ -63,3 +63,15 @@ def test_table_of_pages(spark):
     assert extract_text(spark.createDataFrame([], schema)).count() == 0
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     assert extract_text(pages).filter("text like '%<p>%' or text = ''").count() == 0
+
+
+def test_no_visible_text_of_tables_and_drawings_is_lost():
+    from docgate.llm.html import render
+
+    for page in (
+        "<table><tr><form><td>AA</td></form></tr></table>", "<table><tr><p>AA</p><td>BB</table>", "<table><tr><a>AA</a></tr></table>",
+        "<table><tbody><form><tr><td>AA<td>BB</tr></form></tbody></table>", "<table><tbody>AA<tr><td>BB</table>", "<table><thead>AA</thead><tfoot>BB</tfoot></table>",
+        "<svg><defs/><title>no</title><desc>no</desc><path d=''/><text>AA</text><text>BB</text></svg>", "<math><mi>AA</mi><annotation>no</annotation></math> BB",
+    ):
+        said = render(page)
+        assert said.count("AA") == 1 and said.count("BB") == page.count("BB") and "no" not in said and "AABB" not in said
