@@ -65,15 +65,17 @@ def _hashed(vectors: DataFrame, dim: int, tables: int, probes: int, seed: int) -
 
 
 def _nearest(k: int, dim: int):
-    """Of two blocks, the k nearest rows of each query by exact distance; a query's own row is left out."""
+    """Of two blocks, the k nearest vec_ids of each query by exact distance; a query's own is left out."""
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
-            x, ids = np.stack(rows["embedding"]).reshape(-1, dim), rows["vec_id"].to_numpy()
+            rows = rows.sort_values("vec_id", kind="stable")
+            x = np.stack(rows["embedding"]).reshape(-1, dim)
+            ids, starts = np.unique(rows["vec_id"].to_numpy(), return_index=True)
             for query, q in zip(queries["vec_id"], queries["embedding"], strict=True):
                 apart = x - np.asarray(q)
-                far = np.sqrt((apart * apart).sum(axis=1))
+                far = np.minimum.reduceat(np.sqrt((apart * apart).sum(axis=1)), starts)  # the smallest of each vec_id
                 far[ids == query] = np.inf
                 if len(far) > k:
                     limit = np.partition(far, k - 1)[k - 1]
@@ -91,7 +93,7 @@ def _nearest(k: int, dim: int):
 def _meet(queries: DataFrame, rows: DataFrame, held: dict[int, tuple[int, int]], k: int, dim: int) -> DataFrame:
     """The k nearest rows of each query within its cells, a row per query and near row found in a block.
 
-    held: of each cell the number of queries and of rows in it. Cells are cut by hash of the identifiers into blocks,
+    held: of each cell the number of queries and of rows in it. Cells are cut by hash (of a query's identifier, of a row's with its vector) into blocks,
     the more the larger the cell, and each block of queries meets each block of rows of its cell in a task."""
     cuts = {cell: (math.ceil(n / CELL_QUERIES), math.ceil(m / CELL_ROWS)) for cell, (n, m) in held.items() if n and m}
     if not cuts:
@@ -103,7 +105,7 @@ def _meet(queries: DataFrame, rows: DataFrame, held: dict[int, tuple[int, int]],
     def cut(df: DataFrame, own: str, at: int, other: str) -> DataFrame:
         met = df.filter(F.col("cell").isin(list(cuts)))
         return met.withColumns(
-            {own: F.pmod(F.xxhash64("vec_id"), many(at)).cast("int"), other: F.explode(F.sequence(F.lit(0), many(1 - at) - 1))}
+            {own: F.pmod(F.xxhash64(*["vec_id", "embedding"][: 1 + at]), many(at)).cast("int"), other: F.explode(F.sequence(F.lit(0), many(1 - at) - 1))}
         )
 
     q, r = cut(queries, "q", 0, "r"), cut(rows, "r", 1, "q")
@@ -129,6 +131,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, dim: int = 64, ta
     clean = clean.filter(
         F.col("vec_id").isNotNull() & (F.size("embedding") == dim) & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0)
     )
+    clean = stage(clean.groupBy("vec_id", "embedding").agg(F.max("asks").alias("asks")), "clean")
     n = clean.count()
     cells = 2 << max(0, (dim - 1).bit_length())
     queries = clean.filter("asks")

@@ -89,3 +89,12 @@ def test_a_cell_with_most_rows_is_cut_by_its_own_size(spark, monkeypatch):
     rows = nearest(df, F.col("vec_id") == 301, k=5, dim=4, tables=2, probes=2).collect()
     assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r["rank"])] == [(i, 0.0) for i in (1, 3, 5, 7, 9)]
     assert seen.value == 0
+
+
+def test_copies_of_a_row_take_one_place(spark):
+    """Twenty rows of one identifier near the query, in the cells and where all rows are compared."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(1, [1.0, 0.001 * i, 0.0]) for i in range(20)] + [(i, [1.0, 0.1 * i, 0.0]) for i in range(2, 14)]
+    df = spark.createDataFrame(rows + rows[1:2] * 20, "vec_id long, embedding array<double>")
+    for seed, probes in ((2, 8), (2, 1)):
+        out = nearest(df, F.col("vec_id") == 0, k=10, dim=3, tables=1, probes=probes, seed=seed).collect()
+        assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"])] == list(range(1, 11))
