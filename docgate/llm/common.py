@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,38 +16,69 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its
+    own; any other session is refused, since a folder of one machine isn't seen by the others."""
     path = spark.conf.get("spark.checkpoint.dir", "")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="docgate-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-#: Folders of the tables that stage() has written, in their order.
-_staged: list[str] = []
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later jobs neither repeat its work nor depend on the
-    executors that did it."""
+def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as Parquet in a folder of its own in the shared folder and read back, and that folder. Later jobs neither
+    repeat its work nor depend on the executors that did it."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/docgate-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{name}")
-    _staged.append(folder)
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}"), folder
 
-def staged() -> list[str]:
-    return list(_staged)
 
-
-def discard(spark: SparkSession, folders: list[str]) -> None:
-    """Delete tables that stage() has written and that no result needs any more."""
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Delete tables that write() has made and that no result needs any more."""
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _staged.remove(folder)
+
+
+class Scratch:
+    """The folders staged in a scratch() block, and the block around it."""
+
+    def __init__(self, outer: Scratch | None) -> None:
+        self.outer, self.folders = outer, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Like stage(), for the block around this one: the table outlives this block."""
+        table, folder = write(df, name)
+        if self.outer:
+            self.outer.folders.append(folder)
+        return table
+
+
+#: The innermost scratch() block of this thread.
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """What is staged inside of the block, in this thread, goes when it ends; results must have been kept by then."""
+    now = Scratch(_scratch.get())
+    token = _scratch.set(now)
+    try:
+        yield now
+    finally:
+        _scratch.reset(token)
+        discard(spark, *now.folders)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written and read back. The table goes at the end of the scratch() block that this is called in, if any."""
+    table, folder = write(df, name)
+    if now := _scratch.get():
+        now.folders.append(folder)
+    return table
 
 
 def fresh(df: DataFrame, name: str) -> str:

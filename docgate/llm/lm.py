@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgate.llm.common import discard, slices, stage, staged
+from docgate.llm.common import discard, slices, stage, write
 
 #: Bytes of text in a block, about. A block's words and pairs are looked up together.
 BLOCK = 6 << 20
@@ -298,14 +298,13 @@ def score(docs: DataFrame, trains: Column) -> DataFrame:
     the counts itself, and all texts are scored from it, neither with another shuffle of blocks."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(trains, F.lit(True)).alias("trains"))
-    blocks = stage(
+    blocks, folder = write(
         rows.mapInArrow(
             _tokenised,
             "block long, ids binary, named binary, trains binary, sizes binary, words binary, tokens binary, train_tokens long, keys long",
         ),
         "blocks",
     )
-    written = staged()[-1:]
     total_tokens, keys = blocks.agg(F.sum("train_tokens"), F.sum("keys")).first()
     if total_tokens is None:
         return spark.createDataFrame([], SCHEMA)
@@ -315,7 +314,7 @@ def score(docs: DataFrame, trains: Column) -> DataFrame:
     )
     answers = asked.groupBy("kind", "bucket").applyInPandas(_answered, "kind string, bucket int, block long, totals binary, learnt long")
     counted = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_counted, COUNTED), "counted")
-    discard(spark, written)
+    discard(spark, folder)
     distinct = counted.filter("block = -1").agg(F.sum("learnt")).first()[0]
     counted = counted.filter("block >= 0")
     cells = counted.select("trains", "sizes", "tokens", "word", "pair").mapInArrow(_held_out(total_tokens), "context long, pair long, word long, n long")
