@@ -1,21 +1,35 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: candidates by MinHash bands, each link checked exactly."""
+"""Near-duplicates at a given similarity of word shingles: SimHash segments decoded to nearby Golay codewords give keys, texts
+that share a key are candidates, and each link is checked exactly."""
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docgate.llm.common import flat, fresh, slices, stage
-from docgate.llm.simhash import components, folded_words, shingle_hashes
+from docgate.llm.common import flat, fresh, scratch, slices, stage
+from docgate.llm.simhash import codewords, components, decode, folded_words, shingle_hashes
 
-#: Bands of ROWS minima each. Two texts of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8.
-BANDS, ROWS = 20, 5
-#: Texts of a band's bucket that all others of it are compared with, once those already linked are left out.
-LEADERS = 8
-_SALTS = np.random.default_rng(7).integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64)
+#: Codewords looked at of a segment, of those that it and it with some of its least certain bits changed are decoded to.
+NEAR, SINGLE, DOUBLE = 4, 10, 4
+#: Keys of a table that each text has.
+PROBES = {2: 6, 3: 12}
+#: Up to so many texts two segments make a key of 24 bits; beyond, three make one of 36.
+TWO_SEGMENTS = 1 << 23
+#: A pair at the threshold shares no key with this probability at most.
+MISS = 0.004
+#: Fingerprints of 64 bits of a pair at the threshold differ in more bits than so many standard deviations above the mean
+#: about once in 200,000 times; such a pair isn't checked.
+DEVIATIONS = 4.4
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Eight lanes of a byte each, holding the bits of a byte.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def names_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -28,23 +42,91 @@ def names_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have shingles, and BANDS keys of each: hashes of the band's minima over all shingles."""
-    hashes, shingles = shingle_hashes(data, offsets, words)
-    full = np.flatnonzero(shingles)
-    keys = np.zeros((len(full), BANDS), np.uint64)
-    if not len(full):
-        return full, keys
-    starts = (np.cumsum(shingles) - shingles)[full]
-    for i, (mix, factor) in enumerate(_SALTS):
-        least = np.minimum.reduceat((hashes ^ mix) * (factor | np.uint64(1)), starts)
-        band = keys[:, i // ROWS]
-        if i % ROWS == 0:
-            band[:] = i // ROWS
-        band ^= least
-        band *= np.uint64(0x9E3779B97F4A7C15)
-        band ^= band >> np.uint64(29)
-    return full, keys
+def sums_of(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """For each set of hashes and each of `bits` bits of a fingerprint: how many more of the hashes have the bit than not.
+
+    Bits are added in lanes of a byte, so many hashes at a time as a byte can count."""
+    first = np.cumsum(counts) - counts
+    cuts = -(-counts // 255)
+    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    parts = np.repeat(first, cuts) + 255 * nth
+    out = np.empty((len(counts), -(-bits // 64) * 64), np.int64)
+    for word in range(out.shape[1] // 64):
+        mixed = (hashes ^ np.uint64((word + 1) * int(_MIX) % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _MIX
+        mixed ^= mixed >> np.uint64(29)
+        lanes = np.add.reduceat(_LANES[mixed.view(np.uint8).reshape(-1, 8)], parts, axis=0)
+        out[:, 64 * word : 64 * word + 64] = np.add.reduceat(lanes.view(np.uint8).astype(np.int64), np.cumsum(cuts) - cuts, axis=0)
+    return (2 * out - counts[:, None])[:, :bits]
+
+
+def nearby_codewords(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the NEAR codewords closest to each segment (23 sums) and how well they agree, the best first; fewer than that
+    are filled up with an agreement of minus infinity.
+
+    The word of the sums' signs is decoded as it is, with one of its SINGLE least certain bits changed, and with two of
+    its DOUBLE ones; agreement is the sum of the sums with the codeword's signs."""
+    signs = codewords()
+    order = np.argsort(np.abs(sums), axis=1, kind="stable")
+    unit = np.int64(1) << order
+    word = ((sums > 0) * (np.int64(1) << np.arange(23))).sum(axis=1)
+    tried = [word, *(word ^ unit[:, i] for i in range(SINGLE)), *(word ^ unit[:, i] ^ unit[:, j] for i in range(DOUBLE) for j in range(i))]
+    index = np.sort(np.stack([decode(w) for w in tried], axis=1), axis=1)
+    agree = np.einsum("ikb,ib->ik", signs[index], sums.astype(np.float32))
+    agree[:, 1:][index[:, 1:] == index[:, :-1]] = -np.inf
+    best = np.argsort(-agree, axis=1, kind="stable")[:, :NEAR]
+    return np.take_along_axis(index, best, axis=1), np.take_along_axis(agree, best, axis=1)
+
+
+def keys_of(sums: np.ndarray, segments: int) -> np.ndarray:
+    """The join keys of each text, PROBES for each table: the combinations of codewords near the table's segments that agree
+    best. `sums` has 23 columns for each of `segments` segments of each table."""
+    rows, probes, out = len(sums), PROBES[segments], []
+    for table in range(sums.shape[1] // (23 * segments)):
+        key, agree = np.full((rows, 1), table, np.int64), np.zeros((rows, 1), np.float32)
+        for s in range(segments):
+            at = 23 * (table * segments + s)
+            index, more = nearby_codewords(sums[:, at : at + 23])
+            key = (key[:, :, None] << 12 | index[:, None, :]).reshape(rows, -1)
+            agree = (agree[:, :, None] + more[:, None, :]).reshape(rows, -1)
+            best = np.argsort(-agree, axis=1, kind="stable")[:, :probes]
+            key, agree = np.take_along_axis(key, best, axis=1), np.take_along_axis(agree, best, axis=1)
+        out.append(np.where(np.isfinite(agree), key, key[:, :1]))
+    return np.concatenate(out, axis=1)
+
+
+def _cosine(percent: int) -> float:
+    """The least cosine of the indicator vectors of two sets whose Jaccard similarity is `percent`, that of sets of one size."""
+    return 2 * percent / (100 + percent)
+
+
+@lru_cache
+def tables_for(percent: int, segments: int) -> int:
+    """How many tables a pair at the threshold needs to share a key but with probability MISS: a table's share is counted on
+    4096 drawn pairs of sums with the correlation that such a pair has."""
+    draw, cosine = np.random.default_rng(9), _cosine(percent)
+    a = draw.normal(size=(4096, 23 * segments))
+    b = cosine * a + math.sqrt(1 - cosine * cosine) * draw.normal(size=a.shape)
+    met = (keys_of(a, segments)[:, :, None] == keys_of(b, segments)[:, None, :]).any(axis=(1, 2)).mean()
+    return 1 if met == 1 else math.ceil(math.log(MISS) / math.log(1 - met))
+
+
+def apart_at_most(percent: int) -> int:
+    """Differing bits of two 64-bit fingerprints up to which a pair is checked."""
+    share = math.acos(_cosine(percent)) / math.pi
+    return math.ceil(64 * share + DEVIATIONS * math.sqrt(64 * share * (1 - share)))
+
+
+def distinct_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_hashes(), each once in a text, ascending."""
+    hashes, many = shingle_hashes(data, offsets, words)
+    text = np.repeat(np.arange(len(many)), many)
+    order = np.lexsort((hashes, text))
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], np.bincount(text[new], minlength=len(many))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -56,34 +138,29 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def _named(docs: DataFrame, name: str) -> DataFrame:
-    """docs with the column `name`, names_of() of its text. No shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = names_of(*flat(part.column("text"))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, name])
-
-    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
-
-
-def _banded(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, node (names_of) and the keys of its bands, none for a text without words."""
+def _marked(docs: DataFrame, names: tuple[str, str, str], words: int, percent: int, segments: int) -> DataFrame:
+    """docs with its node (names_of its text), fingerprint of 64 bits and keys, no keys for a text without words. No shuffle."""
+    tables = tables_for(percent, segments)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = flat(part.column("text"))
-                full, keys = bands_of(data, offsets, words)
-                has = np.zeros(part.num_rows, np.int32)
-                has[full] = BANDS
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has)]).astype(np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+                hashes, many = distinct_hashes(data, offsets, words)
+                full = np.flatnonzero(many)
+                prints, keys = np.zeros(len(many), np.int64), np.zeros((0, 1), np.int64)
+                if len(full):
+                    sums = sums_of(hashes, many[full], 64 + 23 * segments * tables)
+                    prints[full] = np.packbits(sums[:, :64] > 0, axis=1, bitorder="little").view("<i8").reshape(-1)
+                    keys = keys_of(sums[:, 64:], segments)
+                ends = np.zeros(len(many) + 1, np.int32)
+                ends[1:] = np.cumsum((many > 0) * keys.shape[1])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
                 node = pa.array(names_of(data, offsets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), node, lists], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns, node, pa.array(prints), lists], [*part.schema.names, *names])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return picked.mapInArrow(run, "doc_id long, node long, bands array<long>")
+    kinds = [T.LongType(), T.LongType(), T.ArrayType(T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
@@ -94,9 +171,8 @@ def _checked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name:
     joined = joined.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def sets(column):
-        hashes, many = shingle_hashes(*flat(column), words)
-        ends = np.cumsum(many).tolist()
-        return [np.unique(hashes[e - m : e]) for e, m in zip(ends, many.tolist(), strict=True)]
+        hashes, many = distinct_hashes(*flat(column), words)
+        return np.split(hashes, np.cumsum(many)[:-1])
 
     def run(batches):
         for batch in batches:
@@ -108,33 +184,45 @@ def _checked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, name:
     return stage(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), name)
 
 
-def similar_groups(docs: DataFrame, marked: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def _place(node: str) -> Column:
+    """A node's place in [0, 1), by hash: those below a share of it are drawn from every bucket alike."""
+    return F.pmod(F.xxhash64(F.lit(4), F.col(node)), F.lit(1 << 40)) / float(1 << 40)
+
+
+def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """node and root of each node that is linked to another one, over links of a similarity of `percent` or more.
 
-    In each bucket all texts are checked against one of them first. Then, in buckets whose texts are of several groups
-    still, against up to LEADERS of them, taken from as many groups as there are; pairs within a group are left out, so
-    that neither a large group nor a common passage is expanded into its pairs."""
-    keyed = marked.select("node", F.explode("bands").alias("key")).distinct()
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    shared = stage(keyed.join(least, "key").select("key", "node", "a"), "shared")
-    texts = _named(docs.select("text"), "node")
-    first = shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = _checked(first, texts, words, percent, "first_links")
-    found = stage(components(links), "first_groups")
-    now = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    mixed = stage(now.join(mixed, "key"), "mixed")
-    order = F.xxhash64("node", "key")
-    own = Window.partitionBy("key", "root").orderBy(order, "node")
-    leads = mixed.withColumn("nth", F.row_number().over(own)).filter(F.col("nth") <= LEADERS)
-    every = Window.partitionBy("key").orderBy("nth", order, "node")
-    leads = leads.withColumn("rank", F.row_number().over(every)).filter(F.col("rank") <= LEADERS)
-    leads = leads.select(F.col("key").alias("lead_key"), F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-    across = mixed.join(leads, (F.col("key") == F.col("lead_key")) & (F.col("root") != F.col("lead_root")))
-    across = stage(across.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "across")
-    across = across.join(first, ["a", "b"], "left_anti")
-    more = _checked(across, texts, words, percent, "more_links")
-    return components(links.unionByName(more))
+    `nodes` has node, print and keys, a row per node; `texts` node and text. In the bucket of each key all nodes meet its
+    smallest one first, so that a group of near copies costs a pair per copy. Then, in buckets whose nodes are of several
+    groups still, eight more of them by hash meet all nodes of other groups, then 64, and so on until all have: every pair of a
+    bucket is compared, unless a chain of links already joins it. Pairs whose fingerprints are far apart aren't checked."""
+    limit = apart_at_most(percent)
+    prints = nodes.select("node", "print")
+    keyed = nodes.select("node", "print", F.explode("keys").alias("key")).distinct()
+    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).filter("size > 1")
+    shared = stage(keyed.join(size, "key").withColumn("place", _place("node")), "shared")
+    first = shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("print").alias("print_b")).distinct()
+    first = first.join(prints.select(F.col("node").alias("a"), F.col("print").alias("print_a")), "a")
+    first = first.filter(F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= limit).select("a", "b")
+    links = _checked(stage(first, "first"), texts, words, percent, "first_links")
+    roots, met, leads = stage(components(links), "groups"), 0, 8
+    while True:
+        now = shared.filter(F.col("size") > met).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+        mixed = stage(now.join(mixed, "key").select("key", "node", "print", "size", "place", "root"), "mixed")
+        if mixed.isEmpty():
+            return roots
+        drawn = mixed.filter((F.col("place") * F.col("size") >= met) & (F.col("place") * F.col("size") < leads))
+        drawn = drawn.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "print", "place", "root")])
+        later = (F.col("place") > F.col("place_a")) | ((F.col("place") == F.col("place_a")) & (F.col("node") > F.col("node_a")))
+        near = F.bit_count(F.col("print").bitwiseXOR(F.col("print_a"))) <= limit
+        pairs = mixed.join(drawn, "key").filter((F.col("root") != F.col("root_a")) & later & near)
+        pairs = stage(pairs.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")
+        more = _checked(pairs.join(first, ["a", "b"], "left_anti"), texts, words, percent, "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = stage(components(links), "groups")
+        met, leads = leads, leads * 8
 
 
 def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -142,27 +230,33 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is `percent` or more (A-Z lower-cased, words
     apart by white space of ASCII; a text of fewer words has one shingle of them all); a group is what links join.
-    Texts of the same words are one node; null and texts without words are one, too. Rows are decided on, not identifiers:
-    where a doc_id stands on several texts, each is judged for itself. Columns are unchanged."""
-    marked = stage(_banded(docs, words), "banded")
-    groups = stage(similar_groups(docs, marked, words, percent), "groups")
-    rows = marked.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("many"))
-    rows = rows.join(groups, "node", "left").select("node", "doc_id", "many", F.coalesce("root", "node").alias("root"))
-    rows = stage(rows, "rows")
+    Texts of the same words are one node; null and texts without words are one, too. A pair at the threshold shares a key, and
+    so is found, but with probability MISS; pairs above it are missed less often. Rows are decided on, not identifiers:
+    where a doc_id stands on several texts, each is judged for itself; of repeated rows one stays. Columns are unchanged;
+    no rows give no rows."""
+    node, print_, keys = (fresh(docs, c) for c in ("node", "print", "keys"))
+    identifier = F.col("doc_id").cast("long").alias("doc_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    segments = 2 if docs.count() <= TWO_SEGMENTS else 3
+    marked = stage(_marked(docs, (node, print_, keys), words, percent, segments), "marked")
+    with scratch(docs.sparkSession) as temporary:
+        nodes = marked.groupBy(F.col(node).alias("node")).agg(F.first(print_).alias("print"), F.first(keys).alias("keys"))
+        nodes = stage(nodes, "nodes")
+        groups = similar_groups(nodes, marked.select(F.col(node).alias("node"), "text"), words, percent)
+        rows = marked.groupBy(F.col(node).alias("node"), identifier).agg(F.count(F.lit(1)).alias("many"))
+        rows = rows.join(groups, "node", "left").select("node", "doc_id", "many", F.coalesce("root", "node").alias("root"))
+        rows = temporary.keep(rows, "rows")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
     best = rows.groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("of")).filter("of > 1")
     gone = rows.join(best, "root").filter(~place.eqNullSafe(F.col("best"))).select("node", "doc_id")
     again = rows.filter("many > 1").select("node", "doc_id")
-    node = fresh(docs, "node")
-    named = _named(docs, node)
 
     def without(df: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
         pairs = pairs.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc_id"))
         return df.join(pairs, (F.col(f"`{node}`") == pairs["_node"]) & F.col("doc_id").cast("long").eqNullSafe(pairs["_doc_id"]), how)
 
-    kept = without(named, gone, "left_anti")
+    kept = without(marked, gone, "left_anti")
     if not again.isEmpty():
-        columns = [F.col(f"`{c}`") for c in docs.columns]
         one = without(kept, again, "left_semi").groupBy(node, "doc_id").agg(F.min_by(F.struct(*columns), F.col("text")).alias("row"))
         kept = without(kept, again, "left_anti").select(*columns).unionByName(one.select("row.*"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*columns)

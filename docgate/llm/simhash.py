@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgate.llm.common import flat, slices, stage
+from docgate.llm.common import discard, flat, scratch, slices, stage, write
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -113,6 +113,15 @@ def decode(words: np.ndarray) -> np.ndarray:
     return (words ^ error[high[words >> 11] ^ (words & 0x7FF)]) >> 11
 
 
+@lru_cache(1)
+def codewords() -> np.ndarray:
+    """The codeword of each index, as 23 signs, that of the lowest bit first."""
+    index = np.arange(1 << 12, dtype=np.int64)
+    high, _ = _golay()
+    words = index << 11 | high[index]
+    return (2 * (words[:, None] >> np.arange(23) & 1) - 1).astype(np.float32)
+
+
 def nearby(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and codeword index: those to which each word, or it with one of its `bits` bits changed, is decoded.
 
@@ -189,7 +198,8 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    spark = edges.sparkSession
+    now, folder = write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     was, is_ = None, mark(now)
     while was != is_:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -197,8 +207,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = smallest(large)
         small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u <> v").distinct()
-        now = stage(small, "stars")
-        was, is_ = is_, mark(now)
+        now, newer = write(small, "stars")
+        discard(spark, folder)
+        folder, was, is_ = newer, is_, mark(now)
+    now = stage(now, "components")
+    discard(spark, folder)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
@@ -212,23 +225,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, within: int = 3) -> DataFra
     one node, so copies aren't expanded into pairs. Null text counts as empty; repeated rows stay; extra columns are
     ignored; no rows give no rows."""
     marked = stage(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words), "fingerprints")
-    prints = stage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(prints, within))
-    groups = found.join(prints, found["node"] == prints["fingerprint"]).select("node", "root", "least")
-    least = groups.groupBy("root").agg(F.min("least").alias("root_least"))
-    joined = groups.select("node", "root").join(least, "root").select("node", "root_least")
-    named = prints.join(joined, prints["fingerprint"] == joined["node"], "left").select(
-        "fingerprint", F.coalesce("root_least", "least").alias("component_id")
-    )
-    named = stage(named, "named")  # so that both sides of the join below are plain exchanges, which Spark can split
+    with scratch(docs.sparkSession) as temporary:
+        prints = stage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
+        found = components(links(prints, within))
+        groups = found.join(prints, found["node"] == prints["fingerprint"]).select("node", "root", "least")
+        least = groups.groupBy("root").agg(F.min("least").alias("root_least"))
+        joined = groups.select("node", "root").join(least, "root").select("node", "root_least")
+        named = prints.join(joined, prints["fingerprint"] == joined["node"], "left").select(
+            "fingerprint", F.coalesce("root_least", "least").alias("component_id")
+        )
+        named = temporary.keep(named, "named")  # so that both sides of the join below are plain exchanges, which Spark can split
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 3, within: int = 3) -> DataFrame:
-    """docs with one document of each component of near_duplicates(), that with the smallest doc_id.
-
-    doc_id names a document: rows that share one stay or go together, and rows without one stay. Columns are unchanged."""
-    gone = near_duplicates(docs, words, within).filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
