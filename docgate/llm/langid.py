@@ -161,13 +161,14 @@ def _tree(langs: tuple[str, ...], order: int, rows) -> Model:
     return Model(langs, order, classes, width, child.astype(np.int32).reshape(-1), bits)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs and lang_pred, score.
-
-    lang_pred is the language under which the text's code is shortest (ties: the first by name), `und` where the text is
-    null or has no letter, and null for other texts if the model knows no language. score is that language's share of the probability of the text, 0 for `und`. Columns named
-    lang_pred or score are replaced. No shuffle; whole texts are read in parts of about a megabyte."""
-    rest = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns of docs and the two named `lang` and `score`.
+
+    `lang` is the language under which the text's code is shortest (ties: the first by name), `und` where the text is
+    null or has no letter, and null for other texts if the model knows no language. `score` is that language's share of the probability of the text, 0 for `und`. Columns that are
+    named so already are replaced; other columns and repeated rows pass through; no rows give no rows. No shuffle; whole texts are
+    read in parts of about a megabyte."""
+    rest = docs.drop(lang, score)
     names = rest.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -181,12 +182,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 if len(langs):
                     lengths = own.lengths(texts)
                     less = np.exp2(np.maximum(lengths.min(axis=1, keepdims=True) - lengths, -1000))
-                    score = 1 / less.sum(axis=1)
+                    share = 1 / less.sum(axis=1)
                     found = np.where(real, langs[lengths.argmin(axis=1)], UNKNOWN)
                 else:
-                    score, found = np.zeros(len(texts)), np.where(real, None, UNKNOWN)
-                columns = [*part.columns, pa.array(found.tolist(), pa.string()), pa.array(np.where(real, score, 0.0))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
+                    share, found = np.zeros(len(texts)), np.where(real, None, UNKNOWN)
+                columns = [*part.columns, pa.array(found.tolist(), pa.string()), pa.array(np.where(real, share, 0.0))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, lang, score])
 
-    fields = [*rest.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [*rest.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]
     return rest.mapInArrow(run, T.StructType(fields))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docgate.llm.common import flat, slices
+from docgate.llm.common import flat, fresh, slices
 
 
 @dataclass(frozen=True)
@@ -330,14 +330,15 @@ def scan(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The columns of docs and `secrets`, an array of (kind, start, end) by start, then in the rules' order.
+def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, name: str = "secrets") -> DataFrame:
+    """The columns of docs and the column `name`, an array of (kind, start, end) by start, then in the rules' order.
 
-    Positions are code points, the end exclusive. A null or empty text has an empty array. A column named `secrets` is
-    replaced; other columns pass through. No rows give no rows. Each text is read once, in a map without a shuffle."""
+    Positions are code points, the end exclusive. A null or empty text has an empty array. A column that is named so already
+    is replaced; other columns and repeated rows pass through. No rows give no rows. Each text is read once, in a map
+    without a shuffle."""
     auto = compile_rules(rules)
     kinds = pa.array([r.kind for r in auto.rules], pa.string())
-    rest = docs.drop("secrets")
+    rest = docs.drop(name)
     if "text" not in rest.columns:
         raise ValueError("documents need a column text")
     names = rest.columns
@@ -350,9 +351,9 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
                 values = pa.StructArray.from_arrays([kinds.take(pa.array(rule)), pa.array(start), pa.array(end)], ["kind", "start", "end"])
                 bounds = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(bounds), values)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], [*names, "secrets"])
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*names, name])
 
-    return rest.mapInArrow(run, T.StructType(rest.schema.fields + [T.StructField("secrets", SPANS)]))
+    return rest.mapInArrow(run, T.StructType(rest.schema.fields + [T.StructField(name, SPANS)]))
 
 
 def said(spans: Column) -> Column:
@@ -361,9 +362,12 @@ def said(spans: Column) -> Column:
 
 
 def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in `text` replaced by `mask`; overlapping spans, of different rules, give one mask."""
+    """docs with every secret in `text` replaced by `mask`; overlapping spans, of different rules, give one mask.
+
+    Other columns, repeated rows and texts without a secret, null and empty ones included, pass unchanged; no rows give none."""
     names = docs.columns
-    found = find_secrets(docs, rules)
+    spans = fresh(docs, "spans")
+    found = find_secrets(docs, rules, spans)
     kind = "struct<done:bigint,out:array<string>>"
 
     def add(acc: Column, s: Column) -> Column:
@@ -372,7 +376,7 @@ def mask_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, mask: str = "[S
         over = F.struct(F.greatest(acc["done"], s["end"]).alias("done"), acc["out"].alias("out"))
         return F.when((s["start"] >= acc["done"]) | (F.size(acc["out"]) == 0), apart).otherwise(over).cast(kind)
 
-    folded = F.aggregate("secrets", F.struct(F.lit(0).cast("bigint").alias("done"), F.array().cast("array<string>").alias("out")).cast(kind), add)
+    folded = F.aggregate(spans, F.struct(F.lit(0).cast("bigint").alias("done"), F.array().cast("array<string>").alias("out")).cast(kind), add)
     rest = F.substring("text", (folded["done"] + 1).cast("int"), F.char_length("text"))
-    masked = F.when(F.size("secrets") > 0, F.concat(F.array_join(folded["out"], ""), rest)).otherwise(F.col("text"))
+    masked = F.when(F.size(spans) > 0, F.concat(F.array_join(folded["out"], ""), rest)).otherwise(F.col("text"))
     return found.withColumn("text", masked).select(*[F.col(f"`{n}`") for n in names])

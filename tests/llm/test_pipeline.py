@@ -1,13 +1,14 @@
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docgate.llm.common import staged
 from tests.llm.helpers import AZ, SMALL, edge_docs, small_docs
-from tests.llm.test_dedup import brute_components, brute_print
 from tests.llm.test_secrets import brute as secrets
+from tests.llm.test_shingles import brute_kept
 
 
 def masked(text):
@@ -32,8 +33,8 @@ def test_stages_against_plain_versions(spark):
         want.setdefault((rows[i].text or "").translate(AZ), i)
     assert Counter(r.doc_id for r in exact.collect()) == Counter(want.values())
     near = stages["near_dedup"](spark, docs, SMALL)
-    parts = brute_components([(i, brute_print(r.text)) for i, r in rows.items()])
-    assert {r.doc_id for r in near.collect()} == {c for _, _, c in parts}
+    texts = [(i, r.text) for i, r in rows.items()]
+    assert {r.doc_id for r in near.collect()} == {texts[at][0] for at in brute_kept(texts)}
     clean = stages["secret_scan"](spark, docs, SMALL)
     assert {r.doc_id: (r.text, r.n_chars) for r in clean.collect()} == {i: (masked(r.text), len(masked(r.text))) for i, r in rows.items()}
     for df in (exact, near, clean):
@@ -52,16 +53,36 @@ def test_run_packs_what_the_stages_keep(spark):
     assert got == want and len(corpus_pipeline.STAGES) == 5
 
 
-def test_run_leaves_only_what_its_result_reads(spark):
-    from pathlib import Path
+def tables_in(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    return {f"{f.parent.name}/{f.name}" for f in shared.glob("docgate-*/*")}
+
 
-    before = set(staged())
+def test_run_leaves_only_what_its_result_reads(spark):
+    before = tables_in(spark)
     result = corpus_pipeline.run(spark, SMALL)
-    left = [f for f in staged() if f not in before]
-    assert [next(Path(f.removeprefix("file:")).iterdir()).name for f in left] == ["secret_scan", "pieces"]
+    assert sorted(f.split("/")[1] for f in tables_in(spark) - before) == ["pieces", "secret_scan"]
     assert result.count() > 0
 
 
+def test_runs_of_two_threads_keep_apart(spark):
+    """Each thread deletes its own tables only."""
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(lambda _: Counter(map(tuple, corpus_pipeline.run(spark, SMALL).collect())), range(2))
+    assert a == b and a
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Every stage but the last hands on the values of all other columns, whatever their names."""
+    docs = edge_docs(spark)
+    others = [c for c in docs.columns if c not in ("text", "lang", "n_chars")]
+    had = {r.doc_id: [r[c] for c in others] for r in docs.collect()}
+    for _, apply in corpus_pipeline.STAGES[:-1]:
+        docs = apply(spark, docs, SMALL)
+        rows = docs.collect()
+        assert rows and all([r[c] for c in others] == had[r.doc_id] for r in rows)
+
+
 def test_awkward_and_empty_tables(spark):
     for empty in (False, True):
         docs = edge_docs(spark, empty)
