@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgate.llm.common import discard, stage, staged
+from docgate.llm.common import discard, fresh, scratch, write
 from docgate.llm.exact_dedup import drop_exact_duplicates
 from docgate.llm.langid import UNKNOWN, identify, train
 from docgate.llm.packing import pack_documents
@@ -18,9 +18,13 @@ from docgate.llm.shingles import drop_similar
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text or no letter) go; a missing lang is filled with the predicted one."""
-    found = identify(docs, train(docs)).filter(F.col("lang_pred").isNull() | (F.col("lang_pred") != UNKNOWN))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents without a language (no text or no letter) go; a missing lang is filled with the predicted one. Without a
+    labelled text no language is known, and all documents with a letter stay as they are. Other columns, repeated rows and
+    those of null doc_id pass unchanged; no rows give no rows."""
+    lang = fresh(docs, "lang_found")
+    found = identify(docs, train(docs), lang=lang, score=fresh(docs, "share_found"))
+    kept = found.filter(F.col(lang).isNull() | (F.col(lang) != UNKNOWN))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the whole documents table. What a stage has written on the way goes when its result stands."""
+    """All stages in order over the whole documents table. What a stage has written on the way, and what it read, goes when its
+    result stands; the last stage's result is computed when it is asked for, from tables that stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    earlier = staged()
+    before = None
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
-        discard(spark, [folder for folder in staged()[:-1] if folder not in earlier])
+        with scratch(spark):
+            docs, folder = write(apply(spark, docs, sf_dir), name)
+        if before:
+            discard(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
