@@ -71,6 +71,50 @@ def test_code_lengths_are_those_of_the_tree(spark):
             assert model.lengths([text])[0, j] == pytest.approx(want, rel=1e-4)
 
 
+def test_windows_of_a_long_text_count_and_score_alike(monkeypatch):
+    """Counts and lengths don't depend on where a text is cut; a text of many windows keeps them small."""
+    import pyarrow as pa
+
+    from docgate.llm import langid
+
+    texts = ["abra kadabra " * 50, "", "x", "Ärger über Öl " * 40]
+    frame = pa.RecordBatch.from_pydict({"lang": ["a", "a", "b", "b"], "text": texts})
+
+    def counted():
+        rows = pd.concat(b.to_pandas() for b in _counts(3)([frame]))
+        return rows.groupby(["lang", "k", "key"])["n"].sum().to_dict()
+
+    whole = counted()
+    lengths = _tree(("a", "b"), 3, pd.concat(b.to_pandas() for b in _counts(3)([frame]))).lengths(texts)
+    monkeypatch.setattr(langid, "WINDOW", 7)
+    assert counted() == whole
+    assert np.allclose(_tree(("a", "b"), 3, pd.concat(b.to_pandas() for b in _counts(3)([frame]))).lengths(texts), lengths)
+
+
+def test_a_text_of_100_megabytes_is_learned_from_and_scored():
+    import resource
+
+    import pyarrow as pa
+
+    text = "die katze sitzt auf der matte und schläft " * 2_400_000
+    frame = pa.RecordBatch.from_pydict({"lang": ["de", "en"], "text": [text, "the cat sat on the mat and slept"]})
+    rows = pd.concat(b.to_pandas() for b in _counts(2)([frame])).groupby(["lang", "k", "key"], as_index=False)["n"].sum()
+    model = _tree(("de", "en"), 2, rows)
+    lengths = model.lengths([text, "the mat"])
+    assert lengths[0, 0] < lengths[0, 1] and lengths[1, 1] < lengths[1, 0]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 3 << 20
+
+
+def test_each_language_has_contexts_of_its_own(spark):
+    """A language with few texts keeps its contexts beside one with many; with all contexts as many are right."""
+    rows = [(i, f"lorem ipsum dolor sit {i} amet " * 20, "aa") for i in range(60)] + [(100, "qwxz zxqw wxqz", "bb"), (101, "zzqx wwxq", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "qwxz wxqz"), (2, "dolor amet")], "doc_id long, text string")
+    for contexts in (20, None):
+        model = train(docs, contexts=contexts)
+        assert {r.doc_id: r.lang_pred for r in identify(asked, model).collect()} == {1: "bb", 2: "aa"}
+
+
 def test_language_of_awkward_rows(spark):
     model = train(small_docs(spark), sample=20)
     docs = edge_docs(spark)
