@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -50,10 +51,8 @@ _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidde
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Table columns are aligned up to so many characters; longer cells stand whole and shift what follows.
 ALIGN = 40
-#: Elements open at once.
-DEPTH = 512
-#: Tables inside tables are laid out to this depth, and flattened below it.
-NESTED = 8
+#: Fixed value: the most columns that HTML lets a cell span.
+SPAN = 1000
 
 
 class Node:
@@ -79,18 +78,25 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def parse(html: str) -> Node:
-    """The tree of a page. Tags that may be left out are implied, end tags without a start tag are ignored, and what
-    stands in a tag that never ends is dropped. Any text parses."""
+    """The tree of a page, however deep. Tags that may be left out are implied, end tags without a start tag are ignored, and
+    what stands in a tag that never ends is dropped. Any text parses."""
     root = Node("html", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of each name are
+
+    def open_(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def last(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def close(names: set[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+        at = last(names)
+        if at and at >= last(stop):
+            for node in stack[at:]:
+                places[node.tag].pop()
+            del stack[at:]
 
     def text(piece: str) -> None:
         if piece:
@@ -122,9 +128,9 @@ def parse(html: str) -> Node:
             if tag in ("td", "th") and stack[-1].tag not in ("tr", "template"):
                 row = Node("tr", {})
                 stack[-1].children.append(row)
-                stack.append(row)
+                open_(row)
             stack[-1].children.append(node)
-            if tag in VOID or m[2].endswith("/") and any(n.tag in ("svg", "math") for n in stack):
+            if tag in VOID or m[2].endswith("/") and last({"svg", "math"}):
                 continue
             if tag in RAW:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
@@ -134,9 +140,7 @@ def parse(html: str) -> Node:
                 if not at:
                     break
                 continue
-            if len(stack) >= DEPTH:  # deeper elements are siblings
-                stack.pop()
-            stack.append(node)
+            open_(node)
         elif after == "/" and (m := _END.match(html, cut)):
             at = m.end()
             tag = m[1].lower()
@@ -236,11 +240,18 @@ def _rows(table: Node) -> tuple[list[Node], list[Node], list]:
     return captions, rows, loose
 
 
-def _table(table: Node, page: _Page, depth: int) -> None:
+def _span(cell: Node) -> int:
+    said = cell.attributes.get("colspan", "").strip()
+    if not (said.isascii() and said.isdigit()):
+        return 1
+    return min(int(said), SPAN) if len(said) < 9 else SPAN
+
+
+def _table(table: Node, page: _Page) -> Iterator:
     captions, rows, loose = _rows(table)
     page.space(1)
     for nodes in (loose, *(c.children for c in captions)):
-        _render(nodes, page, depth)
+        yield _nodes(nodes, page)
         page.end_line()
     grid = []
     for row in rows:
@@ -248,9 +259,8 @@ def _table(table: Node, page: _Page, depth: int) -> None:
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.visible():
                 inner = _Page()
-                _render(cell.children, inner, depth + 1)
-                span = cell.attributes.get("colspan", "1").strip()
-                cells.append((_SPACE.sub(" ", inner.text()).strip(), min(int(span), 1000) if span.isascii() and span.isdigit() and len(span) < 9 else 1))
+                yield _nodes(cell.children, inner)
+                cells.append((_SPACE.sub(" ", inner.text()).strip(), _span(cell)))
             elif not isinstance(cell, Node) and cell.strip():
                 cells.append((_SPACE.sub(" ", cell).strip(), 1))
         grid.append(cells)
@@ -285,8 +295,8 @@ def _table(table: Node, page: _Page, depth: int) -> None:
     page.space(1)
 
 
-def _render(nodes: list, page: _Page, depth: int = 0) -> None:
-    """Write nodes in order. An explicit stack keeps deeply nested pages from exhausting Python's."""
+def _nodes(nodes: list, page: _Page) -> Iterator:
+    """Write nodes in order. Yields the writing of tables, to be done before it goes on."""
     todo: list = [(n, False) for n in reversed(nodes)]
     lists: list[list] = []
     formatted = drawn = 0
@@ -319,8 +329,8 @@ def _render(nodes: list, page: _Page, depth: int = 0) -> None:
             elif page.lines:
                 page.gap = max(page.gap, 1)
             continue
-        if tag == "table" and depth < NESTED:
-            _table(node, page, depth)
+        if tag == "table":
+            yield _table(node, page)
             continue
         children = node.children
         if tag in ("td", "th") or drawn and tag == "text":
@@ -356,17 +366,23 @@ def _render(nodes: list, page: _Page, depth: int = 0) -> None:
 
 def render(html: str) -> str:
     """The visible text of a page: blocks on lines of their own, blank lines around those with margins, list marks and
-    indents, table cells in aligned columns, preformatted text as it is."""
+    indents, table cells in aligned columns, preformatted text as it is. Depth has no limit."""
     page = _Page()
-    _render(parse(html).children, page)
+    going = [_nodes(parse(html).children, page)]
+    while going:  # tables in tables wait on this stack, not on Python's
+        inner = next(going[-1], None)
+        if inner is None:
+            going.pop()
+        else:
+            going.append(inner)
     return page.text()
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """The columns of pages but `html`, and `text`, what a reader of the page would see.
 
-    A null or empty page has an empty text; one without tags is its text. Other columns pass through, but for one named
-    text, which is replaced. No shuffle; each page is parsed whole."""
+    A null or empty page has an empty text; one without tags is its text. Other columns and repeated rows pass through, but for a
+    column named text, which is replaced; no rows give no rows. No shuffle; each page is parsed whole."""
     names = [c for c in pages.columns if c not in (html, "text")]
 
     def run(batches):
