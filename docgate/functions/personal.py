@@ -136,7 +136,8 @@ _MASKED = (
     ("phone", _beside(fixed.PHONE_LABELS, fixed.PHONE_SHAPE), 1, _valid_phone),
 )
 #: Blanks that aren't plain, and characters without width.
-_PLAIN = str.maketrans({"\xa0": " ", " ": " ", " ": " ", "­": None, "​": None})
+BLANKS, EMPTY = "\xa0\u202f\u2007", "\xad\u200b"
+_PLAIN = str.maketrans({**dict.fromkeys(BLANKS, " "), **dict.fromkeys(EMPTY)})
 
 
 def mask_text(text: str) -> tuple[str, dict[str, int]]:
@@ -160,3 +161,25 @@ def mask(texts: pd.Series) -> pd.DataFrame:
     """mask_text() of each text. A null text has null counts: nothing was looked for."""
     rows = [(None, None) if t is None else mask_text(t) for t in texts]
     return pd.DataFrame(rows, columns=["text", "counts"])
+
+
+def plain(text: Column) -> Column:
+    """A text with plain blanks and without characters of no width, as masking leaves it."""
+    return F.translate(text, BLANKS + EMPTY, " " * len(BLANKS))
+
+
+@F.pandas_udf(T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("counts", T.MapType(T.StringType(), T.IntegerType()))]))
+def mask_all(texts: pd.Series) -> pd.DataFrame:
+    """mask_text() of each text of an array, and the counts of all together; null for a null array."""
+    rows = []
+    for pages in texts:
+        if pages is None:
+            rows.append((None, None))
+            continue
+        total: dict[str, int] = {}
+        done = [(None, {}) if t is None else mask_text(t) for t in pages]
+        for _, counts in done:
+            for k, n in counts.items():
+                total[k] = total.get(k, 0) + n
+        rows.append(([t for t, _ in done], total))
+    return pd.DataFrame(rows, columns=["texts", "counts"])

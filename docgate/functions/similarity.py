@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def longest_common(a: Column, b: Column) -> Column:
-    """The length of the longest common subsequence, one row of the table at a time."""
-    others = F.filter(F.split(b, ""), lambda c: c != "")
-    letters = F.filter(F.split(a, ""), lambda c: c != "")
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence. A bit of one number stands for each letter of a: it is set while the row of
+    the usual table doesn't rise there, so a letter of b updates a whole row with a few operations."""
+    if len(a) > len(b):
+        a, b = b, a
+    full = (1 << len(a)) - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    level = full
+    for c in b:
+        met = level & places.get(c, 0)
+        level = (level + met | level - met) & full
+    return len(a) - level.bit_count()
 
-    def row(before: Column, letter: Column) -> Column:
-        start = F.struct(F.lit(0).alias("corner"), F.array(F.lit(0)).alias("row"))
 
-        def cell(acc: Column, j: Column) -> Column:
-            up, left = F.element_at(before, j + 1), F.element_at(acc["row"], -1)
-            best = F.when(F.element_at(others, j) == letter, acc["corner"] + 1).otherwise(F.greatest(up, left))
-            return F.struct(up.alias("corner"), F.concat(acc["row"], F.array(best)).alias("row"))
+def ratio(a: str, b: str) -> float:
+    """0 to 100: twice the longest common subsequence over both lengths; 100 for two empty texts."""
+    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
-        places = F.when(F.size(others) > 0, F.sequence(F.lit(1), F.size(others))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, cell, lambda acc: acc["row"])
 
-    zero = F.transform(F.concat(F.array(F.lit("")), others), lambda _: F.lit(0))
-    return F.element_at(F.aggregate(letters, zero, row), -1)
+@F.pandas_udf(T.DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def sorted_words(text: Column) -> Column:
@@ -31,10 +39,8 @@ def sorted_words(text: Column) -> Column:
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: twice the longest common subsequence of the texts with their words sorted, over both lengths."""
-    x, y = sorted_words(a), sorted_words(b)
-    total = F.length(x) + F.length(y)
-    return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * longest_common(x, y) / total)
+    """0 to 100: ratio() of the texts with their words sorted; null if either is."""
+    return _ratio(sorted_words(a), sorted_words(b))
 
 
 def could_reach(a: Column, b: Column, threshold: float) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgate import fixed
 from docgate.functions.text import jurisdiction
 
+#: A table of checks has so many rows at most.
+CHECKS_AT_MOST = 1000
 OPERATORS = ("required", "equals", "between", "lte", "gte", "matches_any", "matches_none", "currency_stated")
 CHECK = (
     "ordinal int, id string, section string, field string, op string, severity string, message string, absent_ok boolean, "
@@ -30,27 +34,38 @@ def load_checks(spark: SparkSession, checks=fixed.CHECKS) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], CHECK)
 
 
-def passes() -> Column:
-    """Whether a field, beside a check, passes it. What isn't there fails unless the check allows that; so does a number
-    that isn't one."""
-    value = F.col("v_num")
+def read_checks(spark: SparkSession, path: str) -> DataFrame:
+    """Checks of a JSON file, an array under `checks`, in its order. An operator that isn't known fails here; keys of a check
+    that have no column of their own are left in `params`, as texts."""
+    raw = spark.read.schema("checks array<map<string,string>>").json(path, multiLine=True)
+    rows = raw.select(F.posexplode("checks").alias("ordinal", "c")).orderBy("ordinal").collect()  # a file of policy, not of data
+    known = {x.split()[0]: x.split()[1] for x in CHECK.split(", ")}
+    convert = {"double": float, "boolean": lambda v: v == "true", "array<string>": json.loads}
+    own = [{k: convert.get(known[k], str)(v) for k, v in r.c.items() if k in known and k != "ordinal" and v is not None} for r in rows]
+    params = [(r.ordinal, {k: v for k, v in r.c.items() if k not in known}) for r in rows]
+    return load_checks(spark, own).join(spark.createDataFrame(params, "ordinal int, params map<string,string>"), "ordinal")
+
+
+def passes(check: Row, field: Column, law: Column) -> Column:
+    """Whether a field (a struct, null if the document doesn't have it) passes a check. What isn't there fails unless the check
+    allows that; so does a number that isn't one."""
+    value = field["v_num"]
     number = F.when(~F.isnan(value), value)
-    stated = F.col("v_text").isNotNull() | value.isNotNull() | F.col("v_bool").isNotNull()
-    text = F.coalesce("v_text", value.cast("string"), F.col("v_bool").cast("string"))
-    allowed = F.transform("values", F.upper)
-    currency = F.upper(F.trim(F.coalesce("currency", F.lit(""))))
-    yes = F.coalesce(
-        F.when(F.col("op") == "required", F.lit(True))
-        .when(F.col("op") == "equals", F.col("v_bool") == F.col("expected"))
-        .when(F.col("op") == "between", number.between(F.col("min"), F.col("max")))
-        .when(F.col("op") == "lte", number <= F.col("limit"))
-        .when(F.col("op") == "gte", number >= F.col("limit"))
-        .when(F.col("op") == "matches_any", F.array_contains("values", F.col("law")))
-        .when(F.col("op") == "matches_none", ~F.exists("values", lambda v: F.contains(F.lower(text), F.lower(v))))
-        .when(F.col("op") == "currency_stated", (currency != "") & (F.col("values").isNull() | F.array_contains(allowed, currency))),
-        F.lit(False),
-    )
-    return F.when(~stated, F.coalesce("absent_ok", F.lit(False))).otherwise(yes)
+    stated = F.coalesce(field["v_text"].isNotNull() | value.isNotNull() | field["v_bool"].isNotNull(), F.lit(False))
+    text = F.coalesce(field["v_text"], value.cast("string"), field["v_bool"].cast("string"))
+    currency = F.upper(F.trim(F.coalesce(field["currency"], F.lit(""))))
+    values = check.values_ or []
+    yes = {
+        "required": lambda: F.lit(True),
+        "equals": lambda: field["v_bool"] == check.expected,
+        "between": lambda: number.between(check.min, check.max),
+        "lte": lambda: number <= check.limit,
+        "gte": lambda: number >= check.limit,
+        "matches_any": lambda: law.isin(*values),
+        "matches_none": lambda: ~F.exists(F.array(*[F.lit(v.lower()) for v in values]), lambda v: F.contains(F.lower(text), v)) if values else F.lit(True),
+        "currency_stated": lambda: (currency != "") & (F.lit(check.values_ is None) | currency.isin(*[v.upper() for v in values])),
+    }[check.op]()
+    return F.when(~stated, F.lit(bool(check.absent_ok))).otherwise(F.coalesce(yes, F.lit(False)))
 
 
 def shown(number: Column) -> Column:
@@ -61,18 +76,42 @@ def shown(number: Column) -> Column:
 def findings(fields: DataFrame, vendors: DataFrame, checks: DataFrame) -> DataFrame:
     """The checks that documents fail: doc_id, ordinal, kind, severity, field, citation, explanation, source.
 
-    vendors has doc_id and category, a row per document to judge. The checks, a table of fixed size, go to every task;
-    fields join by document and name."""
-    due = vendors.join(F.broadcast(checks), F.col("categories").isNull() | F.array_contains("categories", F.coalesce("category", F.lit(""))))
-    law = fields.withColumn("law", F.when(F.col("name") == "governing_law", jurisdiction(F.col("v_text"))))
-    both = due.join(law.withColumnRenamed("name", "field"), ["doc_id", "field"], "left")
-    value = F.coalesce("v_text", shown(F.col("v_num")), F.col("v_bool").cast("string"), F.lit(""))
-    said = F.col("message")
-    for name, x in (("{value}", value), ("{min}", F.coalesce(shown(F.col("min")), F.lit(""))), ("{max}", F.coalesce(shown(F.col("max")), F.lit(""))), ("{limit}", F.coalesce(shown(F.col("limit")), F.lit("")))):
-        said = F.replace(said, F.lit(name), x)
-    return both.filter(~passes()).select(
-        "doc_id", "ordinal", F.lit("policy_deviation").alias("kind"), "severity", "field", F.col("section").alias("citation"), said.alias("explanation"), F.lit("rules").alias("source")
-    )
+    vendors has doc_id and category, a row per document to judge; one without fields fails what must be there. Of repeated
+    fields of a document any one counts. The checks, policy of at most CHECKS_AT_MOST rows, become expressions over a document's
+    map of fields: one aggregate by document and a join on the same key, no row per document and check."""
+    rules = checks.withColumnRenamed("values", "values_").orderBy("ordinal").limit(CHECKS_AT_MOST + 1).collect()
+    if len(rules) > CHECKS_AT_MOST:
+        raise ValueError(f"more than {CHECKS_AT_MOST} checks")
+    value = F.struct("v_text", "v_num", "v_bool", "currency")
+    used = fields.filter(F.col("name").isin(*{r.field for r in rules}))
+    own = used.groupBy("doc_id", "name").agg(F.first(value).alias("value"))
+    own = own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("own"))
+    docs = vendors.join(own, "doc_id", "left")
+    docs = docs.withColumn("law", jurisdiction(F.try_element_at("own", F.lit("governing_law"))["v_text"]))
+    failed = []
+    for r in rules:
+        field = F.try_element_at("own", F.lit(r.field))
+        said, shows = F.lit(r.message), F.coalesce(field["v_text"], shown(field["v_num"]), field["v_bool"].cast("string"), F.lit(""))
+        limits = {n: F.coalesce(shown(F.lit(getattr(r, n)).cast("double")), F.lit("")) for n in ("min", "max", "limit")}
+        quoted = F.when(field["v_text"].isNotNull(), F.concat(F.lit("'"), field["v_text"], F.lit("'"))).otherwise(F.nullif(shows, F.lit("")))
+        for name, x in {"value!r": F.coalesce(quoted, F.lit("None")), "value": shows, **limits}.items():
+            if f"{{{name}}}" in r.message:
+                said = F.replace(said, F.lit(f"{{{name}}}"), x)
+        due = F.lit(True) if r.categories is None else F.coalesce(F.col("category"), F.lit("")).isin(*r.categories)
+        finding = F.struct(F.lit(r.ordinal).alias("ordinal"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"), F.lit(r.section).alias("citation"), said.alias("explanation"))
+        failed.append(F.when(due & ~passes(r, field, F.col("law")), finding))
+    found = docs.select("doc_id", F.explode(F.filter(F.array(*failed), lambda x: x.isNotNull())).alias("f"))
+    return found.select("doc_id", "f.ordinal", F.lit("policy_deviation").alias("kind"), "f.severity", "f.field", "f.citation", "f.explanation", F.lit("rules").alias("source"))
+
+
+def recorded(findings_: DataFrame, agents: DataFrame) -> DataFrame:
+    """Findings of the checks, then those of an agent (doc_id, kind, severity, field, citation, explanation), which counts only
+    for documents that no check found anything in. Each is tagged by its source; a document's agent findings are numbered
+    behind any check, in the order of their texts."""
+    order = Window.partitionBy("doc_id").orderBy("citation", "field", "explanation", "severity", "kind")
+    own = agents.join(findings_.select("doc_id").distinct(), "doc_id", "left_anti")
+    own = own.withColumns({"ordinal": F.lit(CHECKS_AT_MOST) + F.row_number().over(order), "source": F.lit("agent")})
+    return findings_.unionByName(own.select(*findings_.columns))
 
 
 def cited_sections(checks: DataFrame) -> DataFrame:

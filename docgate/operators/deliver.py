@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgate.operators.intake import first_of_each
+
 APPROVED_MARK = "_approved_by_human"
 
 
@@ -20,14 +22,16 @@ def overlaid(payload: Column, corrections: Column) -> Column:
 
 
 def contracts_to_file(decisions: DataFrame, filed: DataFrame) -> DataFrame:
-    """Approved decisions that aren't filed yet. Run twice, the second run adds nothing."""
+    """Approved decisions that aren't filed yet. Run twice, the second run adds nothing. Of different rows of one decision the one
+    with the smallest counterparty, then payload (as JSON), is filed; null comes first."""
     due = decisions.filter(F.col("route") == "auto_approved")
-    return due.dropDuplicates(["decision_id"]).join(filed.select("decision_id"), "decision_id", "left_anti").select("decision_id", "counterparty_id", flattened(F.col("payload")).alias("payload"))
+    return first_of_each(due, ["decision_id"], [F.col("counterparty_id"), F.to_json("payload")]).join(filed.select("decision_id"), "decision_id", "left_anti").select("decision_id", "counterparty_id", flattened(F.col("payload")).alias("payload"))
 
 
 def items_to_open(decisions: DataFrame, items: DataFrame) -> DataFrame:
+    """Decisions that need a person and have no item yet, each once: decision_id and state."""
     due = decisions.filter(F.col("route") == "needs_review")
-    return due.dropDuplicates(["decision_id"]).join(items.select("decision_id"), "decision_id", "left_anti").select("decision_id", F.lit("open").alias("state"))
+    return due.select("decision_id").distinct().join(items.select("decision_id"), "decision_id", "left_anti").select("decision_id", F.lit("open").alias("state"))
 
 
 def resolved(items: DataFrame, actions: DataFrame) -> DataFrame:

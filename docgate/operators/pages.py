@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgate import fixed
 from docgate.functions.amounts import page_tokens
-from docgate.functions.personal import mask
+from docgate.functions.personal import mask_all, plain
 
 PAGE = "struct<number:int,kind:string,text:string,image_path:string,width:int,height:int>"
 
@@ -52,16 +52,17 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with personal data masked on every page, and redactions, how often by category; an empty map if none was found.
-
-    Pages are masked each by itself and put together again by document, with partial sums before the shuffle."""
-    each = docs.select(key, F.explode("pages").alias("page")).withColumn("m", mask(F.col("page.text")))
-    counted = each.select(key, F.explode("m.counts").alias("category", "n")).groupBy(key, "category").agg(F.sum("n").cast("int").alias("n"))
-    counts = counted.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("redactions"))
-    pages = each.withColumn("page", F.col("page").withField("text", F.col("m.text")))
-    pages = pages.groupBy(key).agg(F.array_sort(F.collect_list("page")).alias("pages"))
-    empty = F.create_map().cast("map<string,int>")
-    return docs.drop("pages", "redactions").join(pages, key, "left").join(counts, key, "left").withColumn("redactions", F.coalesce("redactions", empty))
+    """docs with personal data masked on every page, and redactions, how often by category; an empty map if none was found,
+    also where there are no pages. Null texts stay null.
+
+    The pages of a document go through one function together, without a shuffle; those of documents that hold neither a digit nor
+    an @, and so nothing to mask, stay in the JVM."""
+    texts = F.transform("pages", lambda p: p["text"])
+    suspect = F.exists(texts, lambda t: F.coalesce(t.rlike(r"(?U)[\d@]"), F.lit(False)))
+    out = docs.drop("redactions").withColumn("_m", mask_all(F.when(suspect, texts)))
+    new = F.coalesce("_m.texts", F.transform(texts, plain))
+    pages = F.transform("pages", lambda p, i: p.withField("text", F.get(new, i)))
+    return out.withColumns({"pages": pages, "redactions": F.coalesce("_m.counts", F.create_map().cast("map<string,int>"))}).drop("_m")
 
 
 def blocks(pages: Column) -> Column:

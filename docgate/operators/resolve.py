@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgate import fixed
-from docgate.functions.similarity import could_reach, token_sort_ratio
+from docgate.functions.similarity import could_reach, ratio, sorted_words, token_sort_ratio
 from docgate.functions.text import company_form, registration_form
 
-#: Registry labels that may be sent to every task; a larger registry is joined by name blocks only through its exact forms.
-BROADCAST_LABELS = 50_000
+#: Registry labels that go to every task at a time.
+LABELS = 50_000
 
 
 def labels(registry: DataFrame) -> DataFrame:
@@ -25,18 +26,48 @@ def labels(registry: DataFrame) -> DataFrame:
     )
 
 
+def _best(known: list[tuple], k: int):
+    """For each form of a batch the k best of the labels `known` (sorted form, place, vendor_id, vendor_name). Labels whose length
+    rules them out aren't compared."""
+    by_length: dict[int, list[tuple]] = {}
+    for label in known:
+        by_length.setdefault(len(label[0]), []).append(label)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for form, words in zip(batch["query_form"], batch["words"], strict=True):
+                n, best = len(words), []
+                reach = {m: 200.0 * min(n, m) / (n + m) if n + m else 100.0 for m in by_length}
+                for m in sorted(by_length, key=lambda m: (-reach[m], m)):
+                    if len(best) >= k and reach[m] < -best[k - 1][0]:
+                        break
+                    best += [(-ratio(words, label[0]), *label[1:]) for label in by_length[m]]
+                    best = sorted(best)[:k]
+                out += [(form, -score / 100.0, *rest) for score, *rest in best]
+            yield pd.DataFrame(out, columns=["query_form", "score", "ordinal", "nth", "vendor_id", "vendor_name"])
+
+    return run
+
+
 def names_against_registry(queries: DataFrame, registry: DataFrame, k: int = 3) -> DataFrame:
     """The k best labels of each query (query_id, name): query_id, rank, vendor_id, vendor_name, score (0 to 1).
 
-    Each distinct name is compared once with all labels. The registry side is bounded: it fails beyond BROADCAST_LABELS."""
-    known = labels(registry)
-    if known.limit(BROADCAST_LABELS + 1).count() > BROADCAST_LABELS:
-        raise ValueError(f"the registry has more than {BROADCAST_LABELS} names")
-    forms = queries.select("query_id", company_form(F.col("name")).alias("query_form"))
-    pairs = forms.select("query_form").distinct().join(F.broadcast(known), how="cross")
-    scored = pairs.withColumn("score", token_sort_ratio(F.col("query_form"), F.col("form")) / 100.0)
-    order = Window.partitionBy("query_form").orderBy(F.desc("score"), "place")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    Each distinct name is compared once with the labels, which go to the tasks in blocks of LABELS, one after the other where the
+    registry has more. Ties go to the label that stands first. A null name takes no part; no rows give no rows."""
+    spark = queries.sparkSession
+    known = labels(registry).select(sorted_words(F.col("form")).alias("words"), "place.*", "vendor_id", "vendor_name")
+    blocks = -(-known.count() // LABELS)
+    forms = queries.filter("name is not null").select("query_id", company_form(F.col("name")).alias("query_form"))
+    asked = forms.select("query_form").distinct().withColumn("words", sorted_words(F.col("query_form")))
+    schema = "query_form string, score double, ordinal int, nth int, vendor_id string, vendor_name string"
+    found = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        part = known.filter(F.pmod(F.xxhash64("words", "ordinal", "nth"), F.lit(blocks)) == block) if blocks > 1 else known
+        rows = [tuple(r) for r in part.collect()]  # about LABELS rows
+        found = found.unionByName(asked.mapInPandas(_best(rows, k), schema))
+    order = Window.partitionBy("query_form").orderBy(F.desc("score"), "ordinal", "nth")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return forms.join(best, "query_form").select("query_id", "rank", "vendor_id", "vendor_name", "score")
 
 
@@ -51,8 +82,8 @@ def resolve(queries: DataFrame, registry: DataFrame, threshold: float = fixed.MI
 
     matched_on is registration_id where the number is known and the name agrees (score 1), conflict where the name
     doesn't (no vendor, the agreement as score), else name from the threshold on, else none. A blank name resolves to
-    nothing; an unknown number leaves the name to decide. Registration numbers are an equi-join, names are compared with
-    the broadcast labels."""
+    nothing; an unknown number leaves the name to decide. Registration numbers are an equi-join, whose small side Spark
+    broadcasts by its size; names are compared with all labels."""
     blank = F.coalesce(F.trim("name"), F.lit("")) == ""
     ranked = names_against_registry(queries.filter(~blank), registry)
     best = ranked.groupBy("query_id").agg(
@@ -62,7 +93,7 @@ def resolve(queries: DataFrame, registry: DataFrame, threshold: float = fixed.MI
     numbers = registry.withColumn("number", registration_form(F.col("registration_id"))).filter("number is not null")
     numbers = numbers.groupBy("number").agg(F.min_by(F.struct("id", "legal_name", "aliases"), "ordinal").alias("owner"))
     asked = queries.withColumn("number", registration_form(F.col("registration_id")))
-    owned = asked.filter(~blank).join(F.broadcast(numbers), "number")
+    owned = asked.filter(~blank).join(numbers, "number")
     owned = owned.select("query_id", F.col("owner.id").alias("owner_id"), "name", F.explode(F.concat(F.array("owner.legal_name"), F.coalesce("owner.aliases", F.array().cast("array<string>")))).alias("own"))
     owned = owned.withColumn("agreed", token_sort_ratio(company_form(F.col("name")), company_form(F.col("own"))) / 100.0)
     owned = owned.groupBy("query_id", "owner_id").agg(F.max("agreed").alias("agreed"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgate.functions.text import shorten
+from docgate.functions.text import fold, shorten
 
-#: Clauses that may be sent to every task.
-BROADCAST_CLAUSES = 100_000
+#: Clauses that go to every task at a time.
+CLAUSES = 100_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -17,23 +19,59 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def search(queries: DataFrame, clauses: DataFrame, k: int = 3) -> DataFrame:
-    """The k clauses nearest to each query: query_id, rank, section, score = 1 / (1 + squared distance).
-
-    The clauses are a playbook, a table of bounded size that goes to every task; a larger one fails. Each task keeps k
-    rows a query before the shuffle."""
-    if clauses.limit(BROADCAST_CLAUSES + 1).count() > BROADCAST_CLAUSES:
-        raise ValueError(f"there are more than {BROADCAST_CLAUSES} clauses")
-    known = clauses.select("section", F.col("embedding").alias("_embedding"))
-    pairs = queries.select("query_id", "embedding").join(F.broadcast(known), how="cross")
-    near = pairs.select("query_id", "section", squared_distance(F.col("embedding"), F.col("_embedding")).alias("d"))
+    """The k clauses nearest to each query: query_id, rank, section, score = 1 / (1 + squared distance); ties to the smaller
+    section. Queries or clauses without a vector take no part; no rows give no rows.
+
+    The clauses are a playbook; they go to the tasks in blocks of CLAUSES, one after the other where there are more.
+    Each block keeps k rows a query before the shuffle."""
+    known = clauses.filter("embedding is not null").select("section", F.col("embedding").alias("_embedding"))
+    blocks = max(1, -(-known.count() // CLAUSES))
+    asked = queries.filter("embedding is not null").select("query_id", "embedding")
+    near = None
+    for block in range(blocks):
+        part = known.filter(F.pmod(F.xxhash64("section"), F.lit(blocks)) == block) if blocks > 1 else known
+        pairs = asked.join(F.broadcast(part), how="cross").select("query_id", "section", squared_distance(F.col("embedding"), F.col("_embedding")).alias("d"))
+        near = pairs if near is None else near.unionByName(pairs)
     order = Window.partitionBy("query_id").orderBy("d", "section")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "section", (1 / (1 + F.col("d"))).alias("score"))
 
 
+def terms(text: Column) -> Column:
+    """The words of a text, without accents and case, with their neighbours as pairs."""
+    words = F.filter(F.split(fold(text), r"(?U)[^\p{L}\p{N}§]+"), lambda w: w != "")
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
+
+
+def embedded(texts: DataFrame, key: str, corpus: DataFrame, text: str = "text", dim: int = 256) -> DataFrame:
+    """key and embedding of each row: hashed TF-IDF of length 1. Terms are hashed to `dim` places; a place's weight is one more
+    than the logarithm of (1 + documents) / (1 + documents that have it), over `corpus`. A text without terms, or null, gets zeros.
+
+    Used where no other embedding is at hand: a query is embedded with the weights of the clauses that it is asked of."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_places", F.transform(terms(F.coalesce(F.col(text), F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
+
+    held = placed(corpus).select(F.explode(F.array_distinct("_places")).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    total = corpus.count()
+    weight = {r.place: math.log((1 + total) / (1 + r.n)) + 1 for r in held.collect()}  # dim rows at most
+    idf = F.array(*[F.lit(weight.get(i, math.log(1 + total) + 1)) for i in range(dim)])
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("_places", lambda p: p == i)).cast("double"))
+    raw = placed(texts).withColumn("_raw", F.zip_with(counts, idf, lambda n, w: n * w))
+    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
+    return raw.withColumn("_length", length).select(key, F.transform("_raw", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(0.0)).alias("embedding"))
+
+
+def search_text(queries: DataFrame, clauses: DataFrame, k: int = 3, dim: int = 256) -> DataFrame:
+    """search() by what is asked in words: queries has query_id and text, clauses section, title and body."""
+    said = clauses.select("section", F.concat_ws(" ", "title", "body").alias("text"))
+    return search(embedded(queries, "query_id", said, dim=dim), embedded(said, "section", said, dim=dim), k)
+
+
 def with_text(found: DataFrame, clauses: DataFrame) -> DataFrame:
     """Search results with citation and shortened text; sections that aren't there are left out."""
     text = clauses.select("section", F.concat_ws(" ", "section", "title").alias("citation"), shorten(F.concat_ws("\n", F.concat_ws(" ", "section", "title"), "body")).alias("text"))
-    return found.join(F.broadcast(text), "section")
+    return found.join(text, "section")
 
 
 def build(clauses: DataFrame, path: str) -> None:
