@@ -17,8 +17,10 @@ from docgate.llm.common import discard, slices, stage, write
 
 #: Bytes of text in a block, about. A block's words and pairs are looked up together.
 BLOCK = 6 << 20
-#: Keys per bucket, about, when the counts of all blocks meet.
-BUCKET = 1 << 20
+#: Keys of all blocks per bucket, about, when their counts meet: a task's work, and the more, the fewer pieces blocks are cut into.
+BUCKET = 1 << 22
+#: Blocks, or buckets, of which a task gets the rows. Tasks grow in number with the data, not in size.
+PER_TASK = 2
 #: Context counts are grouped by their binary logarithm, up to this one; group 0 is contexts not seen.
 GROUPS = 24
 #: Steps per octave of the grid on which shares are gathered for expectation-maximisation.
@@ -141,11 +143,10 @@ def _asked(buckets: int):
                 for kind in ("word", "pair"):
                     order, cuts = block.order[kind], block.cuts(kind, buckets)
                     keys, counts = block.keys[kind][order], block.counts(kind)[order].astype(np.uint32)
-                    for b in range(buckets):
-                        if cuts[b] < cuts[b + 1]:
-                            span = slice(cuts[b], cuts[b + 1])
-                            for name, value in zip(out, (kind, b, row["block"], _sorted_blob(keys[span]), _blob(counts[span])), strict=True):
-                                out[name].append(value)
+                    for b in np.flatnonzero(np.diff(cuts)).tolist():
+                        span = slice(cuts[b], cuts[b + 1])
+                        for name, value in zip(out, (kind, b, row["block"], _sorted_blob(keys[span]), _blob(counts[span])), strict=True):
+                            out[name].append(value)
                 kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
@@ -159,7 +160,7 @@ def _answered(group: pd.DataFrame) -> pd.DataFrame:
     distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
     cuts = np.cumsum([len(x) for x in asked])[:-1]
-    answers = [_blob(x) for x in np.split(np.minimum(total[at], 2**32 - 1).astype(np.uint32), cuts)]
+    answers = [_blob(x) for x in np.split(total[at].astype(np.uint64), cuts)]
     kind, bucket = group["kind"].iloc[0], group["bucket"].iloc[0]
     return pd.DataFrame(
         {"kind": kind, "bucket": bucket, "block": [*group["block"], -1], "totals": [*answers, b""], "learnt": [0] * len(answers) + [int((total > 0).sum())]}
@@ -183,8 +184,8 @@ def _counted(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         totals = []
         for kind in ("word", "pair"):
             own = answers[answers["kind"] == kind].sort_values("bucket")
-            total = np.empty(len(block.keys[kind]), np.uint32)
-            total[block.order[kind]] = np.concatenate([_values(x, np.uint32) for x in own["totals"]])
+            total = np.empty(len(block.keys[kind]), np.uint64)
+            total[block.order[kind]] = np.concatenate([_values(x, np.uint64) for x in own["totals"]])
             totals.append(_blob(total))
         out.append((row.block, row.ids, row.named, row.trains, row.sizes, row.tokens, *totals, 0))
     return pd.DataFrame(out, columns=names)
@@ -196,9 +197,9 @@ def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-            sizes, word = _values(row["sizes"], np.int64), _values(row["word"], np.uint32).astype(np.int64)
+            sizes, word = _values(row["sizes"], np.int64), _values(row["word"], np.int64)
             codes, at = _pairs(sizes, _values(row["tokens"], np.uint32).astype(np.int64), len(word))
-            counts = (word[codes % len(word)], word[codes // len(word)], _values(row["pair"], np.uint32).astype(np.int64))
+            counts = (word[codes % len(word)], word[codes // len(word)], _values(row["pair"], np.int64))
             yield row, sizes, np.frombuffer(row["trains"], bool), at, *counts
 
 
@@ -293,7 +294,8 @@ def score(docs: DataFrame, trains: Column) -> DataFrame:
 
     Texts are tokenised once, into blocks. Each block asks for the counts of its distinct words and pairs (64-bit hashes)
     in buckets of the hash; a bucket adds up what all blocks have and answers each. So what is shuffled is bounded by the
-    distinct keys of a block, a frequent pair is one entry per block, and no table of counts is broadcast. Blocks and their
+    distinct keys of a block, a frequent pair is one entry per block, and no table of counts is broadcast. A block and a bucket
+    exchange one row, if they have keys in common. Blocks and their
     counts meet once, in a written table. The weights are learned from it, from all tokens to learn from, each left out of
     the counts itself, and all texts are scored from it, neither with another shuffle of blocks."""
     spark = docs.sparkSession
@@ -305,15 +307,16 @@ def score(docs: DataFrame, trains: Column) -> DataFrame:
         ),
         "blocks",
     )
-    total_tokens, keys = blocks.agg(F.sum("train_tokens"), F.sum("keys")).first()
+    total_tokens, keys, many = blocks.agg(F.sum("train_tokens"), F.sum("keys"), F.count(F.lit(1))).first()
     if total_tokens is None:
         return spark.createDataFrame([], SCHEMA)
     buckets = 1 << max(0, int(keys / BUCKET)).bit_length()
     asked = blocks.select("block", "trains", "sizes", "words", "tokens").mapInArrow(
         _asked(buckets), "kind string, bucket int, block long, keys binary, counts binary"
     )
-    answers = asked.groupBy("kind", "bucket").applyInPandas(_answered, "kind string, bucket int, block long, totals binary, learnt long")
-    counted = stage(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_counted, COUNTED), "counted")
+    answers = asked.repartition(1 + 2 * buckets // PER_TASK, "kind", "bucket").groupBy("kind", "bucket").applyInPandas(_answered, "kind string, bucket int, block long, totals binary, learnt long")
+    by_block = [df.repartition(1 + many // PER_TASK, "block").groupBy("block") for df in (blocks, answers)]
+    counted = stage(by_block[0].cogroup(by_block[1]).applyInPandas(_counted, COUNTED), "counted")
     discard(spark, folder)
     distinct = counted.filter("block = -1").agg(F.sum("learnt")).first()[0]
     counted = counted.filter("block >= 0")
