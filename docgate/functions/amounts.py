@@ -53,8 +53,21 @@ def retry_at(now: Column, attempts: Column) -> Column:
     return now + F.make_interval(secs=F.element_at(waits, place + 1))
 
 
+def _seconds(ms: Column) -> Column:
+    """Whole milliseconds as seconds with one decimal, as the double nearest to them rounds: a tie goes by what that double is more
+    or less than it stands for (its product with 1000 to twice the precision), and to the even digit if it is exact."""
+    ms = ms.cast("long")
+    near = ms / F.lit(1000.0)
+    head = near * 134217729.0 - (near * 134217729.0 - near)
+    over = (head * 1000.0 - ms) + (near - head) * 1000.0
+    tenths, rest = F.floor(ms / 100), ms % 100
+    up = (rest > 50) | (rest == 50) & ((over > 0) | (over == 0) & (tenths % 2 == 1))
+    tenths = tenths + up.cast("long")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit("ms"))).otherwise(F.format_string("%.1fs", ms / 1000.0))
+    return F.when(ms < 1000, F.concat(ms.cast("long").cast("string"), F.lit("ms"))).otherwise(F.concat(_seconds(ms), F.lit("s")))
 
 
 def number(value: Column) -> Column:

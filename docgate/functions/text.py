@@ -134,7 +134,8 @@ def label(name: Column) -> Column:
 
 
 def clauses(text: Column) -> Column:
-    """The (number, sentence) pairs that a text states: array<struct<number, clause>>. Years and numbers to 12 are left out."""
+    """The (number, sentence) pairs that a text states: array<struct<number, clause>>. Years (1900 to 2100, of
+    four digits) and the numbers 1 to 12, without zeros before, are left out."""
     # Currencies and units beside which a number counts.
     currencies = "EUR|USD|GBP|CHF|BGN|RON|PLN"
     units = "days?|months?|years?|weeks?|дни|дена|месеца?|години|tage?n?|monate?n?|jahre?n?|d[íi]as?|mes(?:es)?|a[ñn]os?|jours?|mois|ans?|ann[ée]es?"
@@ -143,7 +144,8 @@ def clauses(text: Column) -> Column:
     sentences = F.transform(F.regexp_extract_all(text, F.lit(r"([^.\n]{20,400}[.\n])"), 1), squeeze)
 
     def stated(sentence: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(sentence, pattern, 1), lambda m: F.struct(digits(m).cast("long").alias("number"), sentence.alias("clause")))
-        return F.filter(found, lambda x: (x["number"] > 12) & ~x["number"].between(1900, 2100))
+        found = F.transform(F.regexp_extract_all(sentence, pattern, 1), lambda m: F.struct(digits(m).alias("number"), sentence.alias("clause")))
+        found = F.filter(found, lambda x: ~x["number"].rlike("^(?:[1-9]|1[0-2]|19[0-9]{2}|20[0-9]{2}|2100)$"))
+        return F.transform(found, lambda x: F.struct(x["number"].cast("long").alias("number"), x["clause"].alias("clause")))
 
     return F.flatten(F.transform(sentences, stated))

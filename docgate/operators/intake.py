@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgate import fixed
@@ -80,3 +84,36 @@ def new_attachments(messages: DataFrame, seen: DataFrame) -> DataFrame:
     keyed = with_content_key(each).withColumn("stored_name", F.concat("sha256", suffix(F.col("filename"))))
     order = [F.col("received_at"), F.col("message_id"), F.col("place")]
     return not_seen(keyed, seen, ["sha256"], order).withColumn("status", F.lit("received"))
+
+
+def store(files: DataFrame, folder: str, named: bool = False) -> None:
+    """Write the content of each file (filename, content) below a folder that all executors see, under its digest and safe suffix, or
+    under its own name. A file that is there already is left; one appears only when it is whole, so a task that is run again
+    does no harm."""
+    keyed = files if named else with_content_key(files)
+    name = F.col("filename") if named else F.concat("sha256", suffix(F.col("filename")))
+    rows = keyed.select(name.alias("name"), "content").dropDuplicates(["name"])
+    path = folder.removeprefix("file:")
+
+    def write(rows: Iterator) -> None:
+        Path(path).mkdir(parents=True, exist_ok=True)
+        for row in rows:
+            target = Path(path) / row["name"]
+            if not target.exists():
+                part = target.with_name(f".{row['name']}-{uuid.uuid4().hex}")
+                part.write_bytes(bytes(row["content"]))
+                part.rename(target)
+
+    rows.foreachPartition(write)
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The files below a folder: name, size. Their contents aren't read."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"))
+
+
+def read_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """path and head, the first bytes of each file of a folder, as many as tell its kind."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select("path", F.substring("content", 1, fixed.HEAD_BYTES).alias("head"))

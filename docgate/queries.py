@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgate import fixed
 from docgate.functions import amounts, personal, text
-from docgate.functions.similarity import token_sort_ratio
-from docgate.operators import checks, deliver, evaluate, intake, ledger, pages, resolve, retrieval, review, rules, triage, verify
+from docgate.operators import checks, deliver, evaluate, intake, ledger, pages, retrieval, review, rules, triage, verify
 from docgate.plans import batch
+from docgate.plans.tables import new_folder
+from docgate.registered import ORACLE_SQL, QUERIES, query
+from docgate.registered import table as _t
 from docgate.streaming.intake import start_intake
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a ledger: purpose, dollars, and tokens from the number in props."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -228,7 +209,20 @@ def _sql_list(terms) -> str:
     return "[" + ", ".join("'" + text.fold_text(t).replace("'", "''") + "'" for t in terms) + "]"
 
 
-_TRIAGE_SQL = f"""folded AS (SELECT doc_id, lang, replace(strip_accents(lower(replace(coalesce(text, ''), 'ß', 'ss'))), '’', '''') AS f FROM documents),
+#: What documents are made to begin with, so that each kind and way to it occurs.
+_LEADS = (
+    "", "This agreement is between the supplier and us. ", "Dieser Vertrag regelt Leistungen und Haftung. ", "Invoice: amount due, subtotal. ",
+    "Certificate of origin, with an agreement and its clause. ", "Agreement. ", "El presente contrato, cláusula 1. ", "A quotation. ", "Rechnung, Gesamtbetrag. Whereas services. ",
+)
+
+
+def _begun(spark, sf_dir) -> DataFrame:
+    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("doc_id") % len(_LEADS) + 1).cast("int"))
+    return _t(spark, sf_dir, "documents").withColumn("text", F.concat(lead, F.coalesce("text", F.lit(""))))
+
+
+_TRIAGE_SQL = f"""begun(i, lead) AS (VALUES {", ".join(f"({i}, '{lead}')" for i, lead in enumerate(_LEADS))}),
+  folded AS (SELECT doc_id, lang, replace(strip_accents(lower(replace(lead || coalesce(text, ''), 'ß', 'ss'))), '’', '''') AS f FROM documents JOIN begun ON i = doc_id % {len(_LEADS)}),
   titled AS (SELECT *, substr(coalesce(list_filter(string_split(f, chr(10)), lambda x: regexp_matches(x, '\\S'))[1], ''), 1, 120) AS head FROM folded),
   hit AS (SELECT doc_id, lang, list_filter({_sql_list(fixed.STRONG)}, lambda x: contains(f, x)) AS s,
     list_filter({_sql_list(fixed.SUPPORTING)}, lambda x: contains(f, x)) AS u, list_filter({_sql_list(fixed.INVOICE)}, lambda x: contains(f, x)) AS i,
@@ -242,7 +236,7 @@ _TRIAGE_SQL = f"""folded AS (SELECT doc_id, lang, replace(strip_accents(lower(re
 
 @query(f"WITH {_TRIAGE_SQL} SELECT doc_id, kind, evidence FROM judged")
 def triage_classify(spark, sf_dir):
-    return triage.classify(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kind", "evidence")
+    return triage.classify(_begun(spark, sf_dir).select("doc_id", "text")).select("doc_id", "kind", "evidence")
 
 
 @query(
@@ -250,7 +244,7 @@ def triage_classify(spark, sf_dir):
   count(*) FILTER (kind = 'unknown') AS unknown FROM judged JOIN labels USING (doc_id) GROUP BY 1"""
 )
 def triage_confusion(spark, sf_dir):
-    kinds = triage.classify(_t(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    kinds = triage.classify(_begun(spark, sf_dir).select("doc_id", "lang", "text"))
     return evaluate.confusion(kinds.join(_t(spark, sf_dir, "labels"), "doc_id"), ["lang"])
 
 
@@ -287,14 +281,21 @@ def luhn_candidates(spark, sf_dir):
     return runs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"), F.count(F.when(personal.card(F.col("x")), 1)).alias("valid"))
 
 
+_CARD_SQL = "CASE doc_id % 3 WHEN 0 THEN 'Visa no. ' WHEN 1 THEN 'order ' ELSE 'Karte: ' END || '4000 ' || lpad(CAST(doc_id AS VARCHAR), 4, '0') || '-1234 5678 ' || coalesce(text, '')"
+
+
 @query(
-    f"""SELECT CAST(sum(len(regexp_extract_all(text, '(?i)(?:{fixed.CARD_LABELS}){fixed.LABEL_THEN}({fixed.CARD_SHAPE})', 1))) AS BIGINT) AS labelled,
-  CAST(sum(len(regexp_extract_all(text, '{fixed.CARD_SHAPE}'))) AS BIGINT) AS runs FROM documents"""
+    f"""WITH d AS (SELECT doc_id, {_CARD_SQL} AS t FROM documents)
+  SELECT doc_id, CAST(len(regexp_extract_all(t, '(?i)(?:{fixed.CARD_LABELS}){fixed.LABEL_THEN}({fixed.CARD_SHAPE})', 1)) AS INTEGER) AS labelled,
+  CAST(len(regexp_extract_all(t, '{fixed.CARD_SHAPE}')) AS INTEGER) AS runs FROM d"""
 )
 def label_gate(spark, sf_dir):
-    runs = F.regexp_extract_all("text", F.lit(f"({fixed.CARD_SHAPE})"), 1)
-    docs = _t(spark, sf_dir, "documents")
-    return docs.agg(F.sum(F.size(personal.labelled_cards(F.col("text"))).cast("long")).alias("labelled"), F.sum(F.size(runs).cast("long")).alias("runs"))
+    """Documents that begin with a card number, two of three beside a label: only those count as labelled."""
+    lead = F.when(F.col("doc_id") % 3 == 0, "Visa no. ").when(F.col("doc_id") % 3 == 1, "order ").otherwise("Karte: ")
+    number = F.concat(F.lit("4000 "), F.lpad(F.col("doc_id").cast("string"), 4, "0"), F.lit("-1234 5678 "))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat(lead, number, F.coalesce("text", F.lit(""))).alias("t"))
+    runs = F.regexp_extract_all("t", F.lit(f"({fixed.CARD_SHAPE})"), 1)
+    return docs.select("doc_id", F.size(personal.labelled_cards(F.col("t"))).alias("labelled"), F.size(runs).alias("runs"))
 
 
 @query(
@@ -315,23 +316,6 @@ def dni_letters(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), personal.dni(value).alias("valid"))
 
 
-@query(None)
-def token_sort_similarity(spark, sf_dir):
-    """Each part's name against the name with its words turned round and one letter more. Tested against plain code."""
-    other = F.concat(F.array_join(F.reverse(F.split("p_name", " ")), " "), F.lit("x"))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.round(token_sort_ratio(F.col("p_name"), other), 6).alias("ratio"))
-
-
-@query(None)
-def resolve_top3(spark, sf_dir):
-    """The names of nations, turned round, against the nations as a registry. Tested against plain code."""
-    registry = _t(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("ordinal"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("legal_name"), F.array().cast("array<string>").alias("aliases")
-    )
-    asked = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.array_join(F.reverse(F.split("n_name", " ")), " ").alias("name"))
-    return resolve.names_against_registry(asked, registry).withColumn("score", F.round("score", 6))
-
-
 def _order_fields(spark, sf_dir) -> DataFrame:
     """orders as the long table of fields."""
     o = _t(spark, sf_dir, "orders")
@@ -439,15 +423,27 @@ def numbers_in_text(spark, sf_dir):
     return found.select("doc_id", F.size("found").cast("long").alias("n"), F.array_max("found").alias("most"))
 
 
+_TERMS = (
+    "The buyer pays within 45 days of the invoice, and", "The cap is EUR 250.000 or 12 months of fees, and", "Seit dem Jahr 1999 gelten 005 Tage Frist und",
+    "Notice is 3 months, from 2024 years on or 0 days, and", "Nothing else is stated at all here, but",
+)
+_TERMS_SQL = "[" + ", ".join(f"'{t} '" for t in _TERMS) + f"][doc_id % {len(_TERMS)} + 1] || CAST(doc_id + 20 AS VARCHAR) || ' days in all.' || chr(10)"
+
+
 @query(
-    r"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.\n]{20,400}[.\n]')) AS c FROM documents),
+    rf"""WITH d AS (SELECT doc_id, {_TERMS_SQL} || coalesce(text, '') AS text FROM documents),
+  s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.\n]{{20,400}}[.\n]')) AS c FROM d),
   m AS (SELECT doc_id, unnest(regexp_extract_all(trim(regexp_replace(c, '\s+', ' ', 'g')),
-    '(?i)(?:EUR|USD|GBP|CHF|BGN|RON|PLN)\s*(?:[0-9]{1,3}(?:[., ][0-9]{3})+|[0-9]{1,7})|(?:[0-9]{1,3}(?:[., ][0-9]{3})+|[0-9]{1,7})\s*(?:days?|months?|years?|weeks?|tage?n?|monate?n?|jahre?n?|d[íi]as?|mes(?:es)?|a[ñn]os?|jours?|mois|ans?|ann[ée]es?)(?:[^\p{L}\p{N}_]|$)')) AS t FROM s),
-  n AS (SELECT doc_id, CAST(regexp_replace(t, '[^0-9]', '', 'g') AS BIGINT) AS number FROM m)
-  SELECT doc_id, number, count(*) AS n FROM n WHERE number > 12 AND NOT number BETWEEN 1900 AND 2100 GROUP BY 1, 2"""
+    '(?i)(?:EUR|USD|GBP|CHF|BGN|RON|PLN)\s*(?:[0-9]{{1,3}}(?:[., ][0-9]{{3}})+|[0-9]{{1,7}})|(?:[0-9]{{1,3}}(?:[., ][0-9]{{3}})+|[0-9]{{1,7}})\s*(?:days?|months?|years?|weeks?|tage?n?|monate?n?|jahre?n?|d[íi]as?|mes(?:es)?|a[ñn]os?|jours?|mois|ans?|ann[ée]es?)(?:[^\p{{L}}\p{{N}}_]|$)')) AS t FROM s),
+  n AS (SELECT doc_id, regexp_replace(t, '[^0-9]', '', 'g') AS own FROM m)
+  SELECT doc_id, CAST(own AS BIGINT) AS number, count(*) AS n FROM n
+  WHERE NOT regexp_full_match(own, '[1-9]|1[0-2]|19[0-9][0-9]|20[0-9][0-9]|2100') GROUP BY 1, 2"""
 )
 def clause_harvest(spark, sf_dir):
-    return evaluate.stated_numbers(_t(spark, sf_dir, "documents")).groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("n"))
+    """Documents that begin with a sentence that states terms."""
+    said = F.element_at(F.array(*map(F.lit, _TERMS)), (F.col("doc_id") % len(_TERMS) + 1).cast("int"))
+    docs = _t(spark, sf_dir, "documents").withColumn("text", F.concat(said, F.lit(" "), (F.col("doc_id") + 20).cast("string"), F.lit(" days in all.\n"), F.coalesce("text", F.lit(""))))
+    return evaluate.stated_numbers(docs).groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -547,8 +543,7 @@ def stream_intake(spark, sf_dir):
     """events as a stream, appended once each to a table, although every file comes twice."""
     from pyspark.errors import AnalysisException
 
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docgate-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     batch_rows = _t(spark, sf_dir, "events")
     stream = lambda: spark.readStream.schema(batch_rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     for run in ("a", "b"):
@@ -568,3 +563,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["flagship"] = flagship
+
+
+from docgate import queries_documents, queries_messages, queries_reports  # noqa: E402, F401  (they register)

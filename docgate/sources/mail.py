@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import warnings
 from datetime import datetime, timezone
 from email import message_from_bytes
 from email.header import decode_header, make_header
@@ -10,6 +11,7 @@ from email.utils import parseaddr, parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MESSAGE = (
     "message_id string, sender string, subject string, received_at timestamp, source string, "
@@ -17,6 +19,8 @@ MESSAGE = (
 )
 #: A mailbox of this name with more unread messages is taken for a person's.
 PERSONAL, PERSONAL_MESSAGES = "inbox", 100
+#: The folder that messages are forwarded to.
+INTAKE = "contracts"
 
 
 def header(raw: str | None) -> str:
@@ -65,9 +69,17 @@ def messages(files: DataFrame) -> DataFrame:
     return files.select("path", "modificationTime", "content").mapInPandas(run, MESSAGE)
 
 
+def probe(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: the folder's name and how many messages wait in it. No message is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder)
+    return files.select("path").agg(F.lit(folder.rstrip("/").rpartition("/")[2]).alias("folder"), F.count(F.lit(1)).alias("unseen"))
+
+
 def read_mailbox(spark: SparkSession, folder: str) -> DataFrame:
-    """All .eml files of a folder. A personal mailbox with many messages is refused."""
+    """All .eml files of a folder. A personal mailbox with many messages is refused, and any folder but that of the intake warned of."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder)
     if folder.rstrip("/").rpartition("/")[2].lower() == PERSONAL and files.select("path").limit(PERSONAL_MESSAGES + 1).count() > PERSONAL_MESSAGES:
         raise ValueError(f"{folder} looks like a personal mailbox")
+    if folder.rstrip("/").rpartition("/")[2].lower() != INTAKE:
+        warnings.warn(f"{folder} isn't the folder {INTAKE}: are these messages meant for the intake?", stacklevel=2)
     return messages(files)
