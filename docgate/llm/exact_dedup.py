@@ -61,9 +61,15 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", salts: int | None =
 def drop_exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """docs with one document of each group of exact duplicates, the one that exact_duplicates() keeps.
 
-    Of repeated rows, which share identifier and normalised text, any one stays. Columns and other rows are unchanged."""
-    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
+    Of repeated rows, which share identifier and normalised text, any one stays. Columns and other rows are unchanged; no rows
+    give no rows. What goes is decided on identifiers and digests; then the rows that go are left out by one join, and only rows
+    that are repeated are grouped."""
     name = fresh(docs, "key")
-    kept = exact_duplicates(docs, keep).filter("kept").select(key(F.col("text_sha256")).alias(name))
-    keyed = docs.withColumn(name, key(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
-    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
+    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
+    rows = exact_duplicates(docs, keep).groupBy(key(F.col("text_sha256")).alias(name)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("many"))
+    rows = stage(rows.filter("not kept or many > 1"), "decided")
+    gone, again = rows.filter("not kept").select(name), rows.filter("kept").select(name)
+    left = docs.withColumn(name, key(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))).join(gone, name, "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, name, "left_anti").unionByName(left.join(again, name, "left_semi").dropDuplicates([name]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,17 @@ from docgate.llm.simhash import codewords, components, decode, folded_words, shi
 NEAR, SINGLE, DOUBLE = 4, 10, 4
 #: Keys of a table that each text has.
 PROBES = {2: 6, 3: 12}
+#: Bits of a key below the number of its table.
+KEY_BITS = 40
 #: Up to so many texts two segments make a key of 24 bits; beyond, three make one of 36.
 TWO_SEGMENTS = 1 << 23
 #: A pair at the threshold shares no key with this probability at most.
 MISS = 0.004
-#: Fingerprints of 64 bits of a pair at the threshold differ in more bits than so many standard deviations above the mean
+#: Fingerprints of 128 bits of a pair at the threshold differ in more bits than so many standard deviations above the mean
 #: about once in 200,000 times; such a pair isn't checked.
 DEVIATIONS = 4.4
+#: A bucket of so many texts at most is looked at in one row; in larger ones a few meet all others at a time.
+SMALL = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Eight lanes of a byte each, holding the bits of a byte.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
@@ -84,7 +88,7 @@ def keys_of(sums: np.ndarray, segments: int) -> np.ndarray:
     best. `sums` has 23 columns for each of `segments` segments of each table."""
     rows, probes, out = len(sums), PROBES[segments], []
     for table in range(sums.shape[1] // (23 * segments)):
-        key, agree = np.full((rows, 1), table, np.int64), np.zeros((rows, 1), np.float32)
+        key, agree = np.zeros((rows, 1), np.int64), np.zeros((rows, 1), np.float32)
         for s in range(segments):
             at = 23 * (table * segments + s)
             index, more = nearby_codewords(sums[:, at : at + 23])
@@ -92,7 +96,7 @@ def keys_of(sums: np.ndarray, segments: int) -> np.ndarray:
             agree = (agree[:, :, None] + more[:, None, :]).reshape(rows, -1)
             best = np.argsort(-agree, axis=1, kind="stable")[:, :probes]
             key, agree = np.take_along_axis(key, best, axis=1), np.take_along_axis(agree, best, axis=1)
-        out.append(np.where(np.isfinite(agree), key, key[:, :1]))
+        out.append(np.where(np.isfinite(agree), key, key[:, :1]) | table << KEY_BITS)
     return np.concatenate(out, axis=1)
 
 
@@ -113,9 +117,9 @@ def tables_for(percent: int, segments: int) -> int:
 
 
 def apart_at_most(percent: int) -> int:
-    """Differing bits of two 64-bit fingerprints up to which a pair is checked."""
+    """Differing bits of two 128-bit fingerprints up to which a pair is checked."""
     share = math.acos(_cosine(percent)) / math.pi
-    return math.ceil(64 * share + DEVIATIONS * math.sqrt(64 * share * (1 - share)))
+    return math.ceil(128 * share + DEVIATIONS * math.sqrt(128 * share * (1 - share)))
 
 
 def distinct_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +143,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _marked(docs: DataFrame, names: tuple[str, str, str], words: int, percent: int, segments: int) -> DataFrame:
-    """docs with its node (names_of its text), fingerprint of 64 bits and keys, no keys for a text without words. No shuffle."""
+    """docs with its node (names_of its text), fingerprint (two numbers of 64 bits) and keys, each once; no keys for a text without
+    words. No shuffle."""
     tables = tables_for(percent, segments)
 
     def run(batches):
@@ -148,18 +153,21 @@ def _marked(docs: DataFrame, names: tuple[str, str, str], words: int, percent: i
                 data, offsets = flat(part.column("text"))
                 hashes, many = distinct_hashes(data, offsets, words)
                 full = np.flatnonzero(many)
-                prints, keys = np.zeros(len(many), np.int64), np.zeros((0, 1), np.int64)
+                prints, ends, keys = np.zeros((len(many), 2), np.int64), np.zeros(len(many) + 1, np.int32), np.zeros(0, np.int64)
                 if len(full):
-                    sums = sums_of(hashes, many[full], 64 + 23 * segments * tables)
-                    prints[full] = np.packbits(sums[:, :64] > 0, axis=1, bitorder="little").view("<i8").reshape(-1)
-                    keys = keys_of(sums[:, 64:], segments)
-                ends = np.zeros(len(many) + 1, np.int32)
-                ends[1:] = np.cumsum((many > 0) * keys.shape[1])
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
+                    sums = sums_of(hashes, many[full], 128 + 23 * segments * tables)
+                    prints[full] = np.packbits(sums[:, :128] > 0, axis=1, bitorder="little").view("<i8")
+                    own = np.sort(keys_of(sums[:, 128:], segments), axis=1)
+                    new = np.column_stack([np.ones(len(own), bool), own[:, 1:] != own[:, :-1]])
+                    keys, held = own[new], np.zeros(len(many), np.int64)
+                    held[full] = new.sum(axis=1)
+                    ends[1:] = np.cumsum(held)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
                 node = pa.array(names_of(data, offsets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, node, pa.array(prints), lists], [*part.schema.names, *names])
+                two = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), 2).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, node, two, lists], [*part.schema.names, *names])
 
-    kinds = [T.LongType(), T.LongType(), T.ArrayType(T.LongType())]
+    kinds = [T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
 
 
@@ -189,40 +197,87 @@ def _place(node: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(4), F.col(node)), F.lit(1 << 40)) / float(1 << 40)
 
 
+def _near(a: Column, b: Column, limit: int) -> Column:
+    """Whether the fingerprints of two structs differ in `limit` bits at most."""
+    return F.bit_count(a["high"].bitwiseXOR(b["high"])) + F.bit_count(a["low"].bitwiseXOR(b["low"])) <= limit
+
+
+def _shared(nodes: DataFrame, limit: int) -> DataFrame:
+    """key, size and x (a struct of place, node, high, low) of the nodes that may have a link in the bucket of a key.
+
+    Of each key SMALL + 1 nodes at most are gathered, those with the smallest places, which each task cuts to before the shuffle. A
+    bucket that is whole in that keeps the nodes that have another one near; so what goes on doesn't grow with chance meetings.
+    Larger ones are joined again, whole."""
+    x = F.struct("place", "node", "high", "low")
+    keyed = nodes.select(F.explode("keys").alias("key"), x.alias("x"))
+    first = Window.partitionBy("key").orderBy("x")
+    lists = keyed.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SMALL + 1).groupBy("key").agg(F.collect_list("x").alias("xs"))
+    meets = F.filter("xs", lambda a: F.exists("xs", lambda b: (a["node"] != b["node"]) & _near(a, b, limit)))
+    lists = lists.filter(F.size("xs") > 1).withColumn("kept", F.when(F.size("xs") <= SMALL, meets).otherwise(F.slice("xs", 1, 1)))
+    met = stage(lists.select("key", F.size("xs").alias("size"), F.explode("kept").alias("x")), "met")
+    small, large = met.filter(F.col("size") <= SMALL), met.filter(F.col("size") > SMALL).select("key")
+    if large.isEmpty():
+        return small
+    whole = keyed.join(large, "key")
+    counts = whole.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    return stage(small.unionByName(whole.join(counts, "key").select("key", "size", "x")), "shared")
+
+
 def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """node and root of each node that is linked to another one, over links of a similarity of `percent` or more.
 
-    `nodes` has node, print and keys, a row per node; `texts` node and text. In the bucket of each key all nodes meet its
-    smallest one first, so that a group of near copies costs a pair per copy. Then, in buckets whose nodes are of several
-    groups still, eight more of them by hash meet all nodes of other groups, then 64, and so on until all have: every pair of a
+    `nodes` has node, place, high, low (its fingerprint) and keys, a row per node; `texts` node and text. In the buckets of the
+    first table all nodes meet the one with the smallest place, then in those of all tables, nodes of other groups than its
+    own alone; so a group of near copies costs a few pairs a copy. Then, in buckets whose nodes are of several groups still, those
+    with the next places, eight or so, meet all nodes of other groups, then 64, and so on until all have: every pair of a
     bucket is compared, unless a chain of links already joins it. Pairs whose fingerprints are far apart aren't checked."""
     limit = apart_at_most(percent)
-    prints = nodes.select("node", "print")
-    keyed = nodes.select("node", "print", F.explode("keys").alias("key")).distinct()
-    size = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).filter("size > 1")
-    shared = stage(keyed.join(size, "key").withColumn("place", _place("node")), "shared")
-    first = shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("print").alias("print_b")).distinct()
-    first = first.join(prints.select(F.col("node").alias("a"), F.col("print").alias("print_a")), "a")
-    first = first.filter(F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= limit).select("a", "b")
-    links = _checked(stage(first, "first"), texts, words, percent, "first_links")
-    roots, met, leads = stage(components(links), "groups"), 0, 8
+    shared = _shared(nodes, limit)
+    lead = shared.groupBy("key").agg(F.min("x").alias("lead"))
+    links, roots, checked = None, None, None
+
+    def grouped(pairs: DataFrame, name: str) -> None:
+        """Checks pairs (a, b) that haven't been, and puts together what their links join."""
+        nonlocal links, roots, checked
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stage(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), f"{name}_pairs")
+        if pairs.isEmpty():
+            return
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        found = _checked(pairs, texts, words, percent, f"{name}_links")
+        links = found if links is None else links.unionByName(found)
+        roots = stage(components(links), "groups")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("node", F.col("x.node"))
+        if roots is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        now = rooted(rows)
+        several = now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
+        return stage(now.join(several, "key"), "mixed")
+
+    star = (F.col("node") != F.col("lead.node")) & _near(F.col("x"), F.col("lead"), limit)
+    one = shared.filter(F.shiftright("key", KEY_BITS) == 0).withColumn("node", F.col("x.node")).join(lead, "key").filter(star)
+    grouped(one.select(F.col("lead.node").alias("a"), F.col("node").alias("b")), "first")
+    every = mixed(shared).join(lead, "key")
+    if roots is not None:
+        of = roots.select(F.col("node").alias("lead_node"), F.col("root").alias("lead_root"))
+        every = every.withColumn("lead_node", F.col("lead.node")).join(of, "lead_node", "left").filter(F.coalesce("lead_root", F.col("lead.node")) != F.col("root"))
+    grouped(every.filter(star).select(F.col("lead.node").alias("a"), F.col("node").alias("b")), "stars")
+    met, leads = 0, 8
     while True:
-        now = shared.filter(F.col("size") > met).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        mixed = stage(now.join(mixed, "key").select("key", "node", "print", "size", "place", "root"), "mixed")
-        if mixed.isEmpty():
-            return roots
-        drawn = mixed.filter((F.col("place") * F.col("size") >= met) & (F.col("place") * F.col("size") < leads))
-        drawn = drawn.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "print", "place", "root")])
-        later = (F.col("place") > F.col("place_a")) | ((F.col("place") == F.col("place_a")) & (F.col("node") > F.col("node_a")))
-        near = F.bit_count(F.col("print").bitwiseXOR(F.col("print_a"))) <= limit
-        pairs = mixed.join(drawn, "key").filter((F.col("root") != F.col("root_a")) & later & near)
-        pairs = stage(pairs.select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b")).distinct(), "pairs")
-        more = _checked(pairs.join(first, ["a", "b"], "left_anti"), texts, words, percent, "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = stage(components(links), "groups")
+        now = mixed(shared.filter(F.col("size") > met))
+        if now.isEmpty():
+            break
+        nth = F.col("x.place") * F.col("size")
+        drawn = now.filter((nth >= met) & (nth < leads)).select("key", F.col("x").alias("y"), F.col("root").alias("other"))
+        pairs = now.join(drawn, "key").filter((F.col("root") != F.col("other")) & (F.col("x") > F.col("y")) & _near(F.col("x"), F.col("y"), limit))
+        grouped(pairs.select(F.col("y.node").alias("a"), F.col("node").alias("b")), "more")
         met, leads = leads, leads * 8
+    return roots if roots is not None else shared.select(F.col("x.node").alias("node"), F.col("x.node").alias("root")).limit(0)
 
 
 def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -241,7 +296,7 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     marked = stage(_marked(docs, (node, print_, keys), words, percent, segments), "marked")
     with scratch(docs.sparkSession) as temporary:
         nodes = marked.groupBy(F.col(node).alias("node")).agg(F.first(print_).alias("print"), F.first(keys).alias("keys"))
-        nodes = stage(nodes, "nodes")
+        nodes = stage(nodes.select(_place("node").alias("place"), "node", F.get("print", 0).alias("high"), F.get("print", 1).alias("low"), "keys"), "nodes")
         groups = similar_groups(nodes, marked.select(F.col(node).alias("node"), "text"), words, percent)
         rows = marked.groupBy(F.col(node).alias("node"), identifier).agg(F.count(F.lit(1)).alias("many"))
         rows = rows.join(groups, "node", "left").select("node", "doc_id", "many", F.coalesce("root", "node").alias("root"))
