@@ -149,3 +149,9 @@ def clauses(text: Column) -> Column:
         return F.transform(found, lambda x: F.struct(x["number"].cast("long").alias("number"), x["clause"].alias("clause")))
 
     return F.flatten(F.transform(sentences, stated))
+
+
+def joined_blocks(blocks: Column) -> Column:
+    """The texts of a message's text blocks (type, text), a line each; empty without any."""
+    said = F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull())
+    return F.array_join(F.transform(said, lambda b: b["text"]), "\n")

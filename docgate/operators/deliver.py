@@ -64,3 +64,13 @@ def contract_view(contracts: DataFrame) -> DataFrame:
     """Contracts newest first, hidden keys as columns of their own."""
     by_human = F.coalesce(F.try_element_at("payload", F.lit(APPROVED_MARK)) == "true", F.lit(False))
     return contracts.withColumns({"approved_by_human": by_human, "payload": flattened(F.col("payload"))}).orderBy(F.desc("decision_id"))
+
+
+def as_json(value: Column) -> Column:
+    """Pages, reasons, findings or costs as one JSON text, without fields that are null."""
+    return F.to_json(value)
+
+
+def from_json(text: Column, schema: str) -> Column:
+    """What as_json() has written, by its schema; null where the text isn't JSON."""
+    return F.from_json(text, schema)

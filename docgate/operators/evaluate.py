@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgate.functions.amounts import close_enough, says
 from docgate.functions.text import clauses
+from docgate.operators.verify import supports
 
 
 def judged_fields(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -48,6 +49,15 @@ def stated_numbers(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(clauses(F.col("text"))).alias("c")).select("doc_id", "c.number", "c.clause")
 
 
+def believed(terms: DataFrame, key: list[str]) -> DataFrame:
+    """n and believed, the share of terms (number, clause) whose clause verification takes as evidence for the number, by key."""
+    none = F.lit(None)
+    asked = {"name": F.lit("term"), "v_text": none.cast("string"), "v_num": F.col("number").cast("double"), "v_bool": none.cast("boolean"), "source_quote": F.col("clause")}
+    asked |= {"ways": F.array().cast("array<string>"), "folded_quote": F.lit("")}
+    judged = terms.withColumns(asked).withColumn("_yes", F.coalesce(supports(), F.lit(False)).cast("int"))
+    return judged.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("_yes").alias("believed"))
+
+
 def schema_difference(df: DataFrame, wanted) -> dict[str, list[str]]:
     """Columns that df lacks, and those that it has too many."""
     have, want = {f.name: f.dataType for f in df.schema}, {f.name: f.dataType for f in wanted}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgate import fixed
 from docgate.functions.text import label
+from docgate.operators.checks import shown
 from docgate.operators.intake import latest_of_each
 from docgate.operators.rules import by_weight
 
@@ -106,3 +107,13 @@ def request(fields: DataFrame) -> DataFrame:
     line = F.concat(label(F.col("name")), F.lit(": "), value, page, F.when(quote == "", "").otherwise(F.concat(F.lit(' "'), quote, F.lit('"'))))
     lines = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))).alias("lines"))
     return lines.select("doc_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("request"))
+
+
+def field_view(fields: DataFrame) -> DataFrame:
+    """Fields as a reviewer sees them: doc_id, name, label, value (as text), currency, confidence (0 if null), quote (empty if null),
+    page and provenance (unknown if null)."""
+    value = F.coalesce(F.col("v_text"), shown(F.col("v_num")), F.col("v_bool").cast("string"))
+    return fields.select(
+        "doc_id", "name", label(F.col("name")).alias("label"), value.alias("value"), "currency", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("source_quote", F.lit("")).alias("quote"), "page", F.coalesce("prov_status", F.lit("unknown")).alias("provenance"),
+    )

@@ -96,3 +96,10 @@ def verdict_lists(fields: DataFrame) -> DataFrame:
     """The names of the fields whose quote was found, and of those whose wasn't."""
     names = lambda s: F.array_sort(F.collect_list(F.when(F.col("prov_status") == s, F.col("name"))))
     return fields.groupBy("doc_id").agg(names("verified").alias("verified"), names("not_found").alias("hallucinated"))
+
+
+def with_provenance(fields: DataFrame, provenance: DataFrame) -> DataFrame:
+    """fields with the prov_status that a table of (doc_id, name, prov_status) has for them; null where it has none. Of several rows for
+    a field the last in order counts."""
+    own = provenance.groupBy("doc_id", "name").agg(F.max("prov_status").alias("prov_status"))
+    return fields.drop("prov_status").join(own, ["doc_id", "name"], "left")

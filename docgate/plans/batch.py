@@ -80,6 +80,13 @@ def dead_letters(rows: DataFrame, stage: str) -> DataFrame:
     return rows.filter("status = 'dead'").select("id", F.lit(stage).alias("stage"), F.col("outcome.error_class").alias("error_class"), F.col("status_reason").alias("message"), "attempts")
 
 
+def letters_beside(letters: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Dead letters (id, attachment_id and more) beside the attachments (id, filename) that they are of, the newest first. A letter whose
+    attachment isn't there is left out."""
+    named = attachments.select(F.col("id").alias("attachment_id"), "filename")
+    return letters.join(named, "attachment_id").orderBy(F.desc("id"))
+
+
 def run_stage(rows: DataFrame, stage: Stage, now: Column) -> tuple[DataFrame, DataFrame]:
     """The whole table after one stage, and its dead letters. Rows that the stage doesn't take stay as they are."""
     due = runnable(rows, now, [stage.consumes])

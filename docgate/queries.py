@@ -173,12 +173,6 @@ def review_queue_join(spark, sf_dir):
     return out.orderBy(F.desc("id")).limit(fixed.QUEUE_ROWS)
 
 
-@query("SELECT event_id, c_name, value FROM events JOIN customer ON c_custkey = user_id WHERE event_type = 'error'")
-def dead_letter_join(spark, sf_dir):
-    letters = _t(spark, sf_dir, "events").filter("event_type = 'error'")
-    return letters.join(_t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("user_id")).select("event_id", "c_name", "value")
-
-
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha256 FROM documents GROUP BY sha256(text)")
 def dedup_content(spark, sf_dir):
     files = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
