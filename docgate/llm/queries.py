@@ -118,7 +118,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_nearest, op3_secret_scan, op4_html_text, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup, op10_lm_score)}
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_secret_scan that SQL can express: how many secrets of the base kinds each document has."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_lm_score that SQL can express: all but the model's own score."""
+    return op10_lm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 5))
+
+
+QUERIES = {f.__name__: f for f in (secret_counts, lm_base_scores, op1_chat_format, op2_nearest, op3_secret_scan, op4_html_text, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup, op10_lm_score)}
 
 _CHAT_SQL = r"""
 WITH rows AS (
@@ -153,4 +163,26 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY norm)
 """
 
-ORACLE_SQL = {"op1_chat_format": _CHAT_SQL, "op9_exact_dedup": _EXACT_SQL}
+_SECRETS_SQL = r"""
+SELECT doc_id,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS n_assign,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+       len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+FROM documents
+"""
+
+#: CRC-32 of a text of ASCII, bit by bit: a step of 256 and more takes a byte in, one of 0 moves on by a bit.
+_CRC_SQL = """xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [256 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0])),
+  lambda crc, x: CASE WHEN x >= 256 THEN xor(crc, x - 256) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END, 4294967295::BIGINT), 4294967295)"""
+
+_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, {_CRC_SQL} % 7 = 2 AS held_out, list_append(regexp_extract_all({_AZ}, '[^\\x20\\x09-\\x0D]+'), ' ') AS tokens FROM documents),
+t AS (SELECT doc_id, held_out, unnest(tokens) AS token FROM d),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 1.0) / (n + v + 1))), 5) AS base_score
+FROM t LEFT JOIN c USING (token), n GROUP BY 1, 2
+"""
+
+ORACLE_SQL = {"op1_chat_format": _CHAT_SQL, "op9_exact_dedup": _EXACT_SQL, "secret_counts": _SECRETS_SQL, "lm_base_scores": _BASE_SQL}
