@@ -13,6 +13,7 @@ from docgate.plans.tables import new_folder
 from docgate.registered import ORACLE_SQL, QUERIES, query
 from docgate.registered import table as _t
 from docgate.streaming.intake import start_intake
+from docgate.streaming.retries import followed
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a ledger: purpose, dollars, and tokens from the number in props."""
@@ -548,11 +549,29 @@ def stream_intake(spark, sf_dir):
     return spark.read.parquet(f"{folder}/events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """WITH e AS (SELECT event_id % 300 AS id, event_id AS n, event_type = 'error' AS failed FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY id, g, failed ORDER BY n) AS run FROM (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY id ORDER BY n) AS g FROM e)),
+  d AS (SELECT id, min(n) FILTER (failed AND run = 3) AS died, max(n) AS last, arg_max(CASE WHEN failed THEN run ELSE 0 END, n) AS run FROM r GROUP BY 1)
+  SELECT id, coalesce(died, last) AS n, CASE WHEN died IS NOT NULL THEN 'dead' WHEN run > 0 THEN 'waiting' ELSE 'advanced' END AS status, CAST(CASE WHEN died IS NOT NULL THEN 3 ELSE run END AS INTEGER) AS attempts FROM d"""
+)
+def stream_retries(spark, sf_dir):
+    """Outcomes as a stream, errors as failures: where the state of each key ends."""
+    folder, batch_rows = new_folder(spark, "retries"), _t(spark, sf_dir, "events")
+    events = spark.readStream.schema(batch_rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    tag = F.when(F.col("event_type") == "error", "failed").otherwise("advanced")
+    outcomes = events.select((F.col("event_id") % 300).alias("id"), F.col("event_id").alias("n"), tag.alias("tag"), F.lit(True).alias("retryable"))
+    write = lambda rows, number: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    running = followed(outcomes, timers=False).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return intake.latest_of_each(spark.read.parquet(f"{folder}/out").drop("batch"), ["id"], "n").select("id", "n", "status", "attempts")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: first of each content, classified, masked, and counted by kind and what was masked."""
-    docs = _t(spark, sf_dir, "documents").withColumn("sha256", F.sha2("text", 256))
-    once = intake.first_of_each(docs.select("doc_id", "text", "sha256"), ["sha256"], [F.col("doc_id")])
-    kinds = triage.classify(once).withColumn("m", personal.mask("text"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "text")
+    first = docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))  # texts stay where they are
+    kinds = triage.classify(docs.join(first, ["sha256", "doc_id"], "left_semi")).withColumn("m", personal.mask("text"))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("m.counts")).alias("masked_categories"))
 
 
