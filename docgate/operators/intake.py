@@ -91,7 +91,7 @@ def store(files: DataFrame, folder: str, named: bool = False) -> None:
     under its own name. A file that is there already is left; one appears only when it is whole, so a task that is run again
     does no harm."""
     keyed = files if named else with_content_key(files)
-    name = F.col("filename") if named else F.concat("sha256", suffix(F.col("filename")))
+    name = F.col("filename") if named else F.concat("sha256", F.coalesce(suffix(F.col("filename")), F.lit("")))
     rows = keyed.select(name.alias("name"), "content").dropDuplicates(["name"])
     path = folder.removeprefix("file:")
 

@@ -99,18 +99,22 @@ def test_resolution(spark):
 
 
 def test_top_three_against_plain_code(spark):
-    from docgate.queries import resolve_top3, token_sort_similarity
+    from docgate.functions.similarity import token_sort_ratio
     from tests.test_queries import SMALL
 
+    nation, part = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("nation", "part"))
+    registry = nation.select(F.col("n_nationkey").cast("int").alias("ordinal"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("legal_name"), F.array().cast("array<string>").alias("aliases"))
+    asked = nation.select(F.col("n_nationkey").alias("query_id"), F.array_join(F.reverse(F.split("n_name", " ")), " ").alias("name"))
     names = [r.n_name for r in spark.read.parquet(f"{SMALL}/nation.parquet").orderBy("n_nationkey").collect()]
-    got = {(r.query_id, r["rank"]): (r.vendor_id, r.score) for r in resolve_top3(spark, SMALL).collect()}
+    got = {(r.query_id, r["rank"]): (r.vendor_id, r.score) for r in resolve.names_against_registry(asked, registry).collect()}
     form = lambda n: n.lower()  # noqa: E731  no punctuation or legal forms in these names
     for i, name in enumerate(names):
         scored = sorted(((-ratio(form(" ".join(reversed(name.split(" ")))), form(n)), j) for j, n in enumerate(names)))[:3]
         for place, (score, j) in enumerate(scored, 1):
             assert got[i, place] == (str(j), pytest.approx(-score / 100, abs=1e-6))
     parts = {r.p_partkey: r.p_name for r in spark.read.parquet(f"{SMALL}/part.parquet").collect()}
-    for r in token_sort_similarity(spark, SMALL).collect():
+    other = F.concat(F.array_join(F.reverse(F.split("p_name", " ")), " "), F.lit("x"))
+    for r in part.select("p_partkey", token_sort_ratio(F.col("p_name"), other).alias("ratio")).collect():
         name = parts[r.p_partkey]
         assert r.ratio == pytest.approx(ratio(name, " ".join(reversed(name.split(" "))) + "x"), abs=1e-6)
 
