@@ -223,30 +223,73 @@ def _shared(nodes: DataFrame, limit: int) -> DataFrame:
     return stage(small.unionByName(whole.join(counts, "key").select("key", "size", "x")), "shared")
 
 
+def _rare(shared: DataFrame, texts: DataFrame, hard: DataFrame, words: int, percent: int) -> DataFrame:
+    """key, size and x like _shared(), for the nodes `hard`, with rare shingles as keys: of all pairs of similar nodes both have a key in
+    common, whereas nodes that share nothing but what many have, such as a long passage, have none.
+
+    A node's shingles are put in one order, the rarest among these nodes first. Of two sets of sizes m <= n whose similarity is s
+    or more, the overlap is at least 2 s m / (1 + s), so the first common shingle stands in the first
+    m - 2 s m / (1 + s) + 1 of the smaller one, and in the first n - s n + 1 of the larger one. A key that is among the
+    former of no node joins nobody."""
+    chosen = texts.join(hard, "node").groupBy("node").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, many = distinct_hashes(*flat(part.column("text")), words)
+                own = np.repeat(part.column("node").to_numpy(), many)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.repeat(many, many)), pa.array(hashes.view(np.int64))], ["node", "n", "key"])
+
+    sets = stage(chosen.mapInArrow(run, "node long, n long, key long"), "sets")
+    common = sets.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    known = sets.join(common, "key")  # shingles of one node alone come first and need no rows of their own
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    rank = alone + F.row_number().over(Window.partitionBy("node").orderBy("held", "key"))
+    least = F.ceil(percent * F.col("n") / 100)
+    inner = F.ceil(2 * percent * F.col("n") / (100 + percent))
+    known = known.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - least + 1)
+    known = known.select("key", "node", (F.col("rank") <= F.col("n") - inner + 1).alias("inner"))
+    size = known.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size"), F.max("inner").alias("joins")).filter("joins and size > 1")
+    who = shared.select(F.col("x.node").alias("node"), "x").distinct()
+    return stage(known.join(size, "key").join(who, "node").select("key", "size", "x"), "rare")
+
+
 def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """node and root of each node that is linked to another one, over links of a similarity of `percent` or more.
 
     `nodes` has node, place, high, low (its fingerprint) and keys, a row per node; `texts` node and text. In the buckets of the
     first table all nodes meet the one with the smallest place, then in those of all tables, nodes of other groups than its
-    own alone; so a group of near copies costs a few pairs a copy. Then, in buckets whose nodes are of several groups still, those
-    with the next places, eight or so, meet all nodes of other groups, then 64, and so on until all have: every pair of a
-    bucket is compared, unless a chain of links already joins it. Pairs whose fingerprints are far apart aren't checked."""
+    own alone; so a group of near copies costs a few pairs a copy. Nodes of large buckets that are of several groups still get
+    their rare shingles as keys instead, since those of a bucket may share no more than a passage that many have. Then, in
+    buckets whose nodes are of several groups, those with the next places, eight or so, meet all nodes of other groups, then 512,
+    and so on until all have: every pair of a bucket is compared, unless a chain of links already joins it. Pairs whose fingerprints are far apart aren't checked."""
     limit = apart_at_most(percent)
     shared = _shared(nodes, limit)
     lead = shared.groupBy("key").agg(F.min("x").alias("lead"))
-    links, roots, checked = None, None, None
+    roots, checked = None, None
 
     def grouped(pairs: DataFrame, name: str) -> None:
-        """Checks pairs (a, b) that haven't been, and puts together what their links join."""
-        nonlocal links, roots, checked
+        """Checks pairs (a, b) that haven't been, and joins the groups that their links touch."""
+        nonlocal roots, checked
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stage(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), f"{name}_pairs")
         if pairs.isEmpty():
             return
         checked = pairs if checked is None else checked.unionByName(pairs)
-        found = _checked(pairs, texts, words, percent, f"{name}_links")
-        links = found if links is None else links.unionByName(found)
-        roots = stage(components(links), "groups")
+        links = _checked(pairs, texts, words, percent, f"{name}_links")
+        if links.isEmpty():
+            return
+        if roots is None:
+            roots = stage(components(links), "groups")
+            return
+        for end in ("a", "b"):  # groups are nodes now, and few
+            of = roots.select(F.col("node").alias(end), "root")
+            links = links.join(of, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        whole = components(links.filter("a <> b").distinct()).withColumnRenamed("root", "whole")
+        whole = stage(whole, "joined")
+        moved = roots.join(whole.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
+        new = whole.join(roots, "node", "left_anti").select("node", F.col("whole").alias("root"))
+        roots = stage(moved.unionByName(new), "groups")
 
     def rooted(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("node", F.col("x.node"))
@@ -267,16 +310,20 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent:
         of = roots.select(F.col("node").alias("lead_node"), F.col("root").alias("lead_root"))
         every = every.withColumn("lead_node", F.col("lead.node")).join(of, "lead_node", "left").filter(F.coalesce("lead_root", F.col("lead.node")) != F.col("root"))
     grouped(every.filter(star).select(F.col("lead.node").alias("a"), F.col("node").alias("b")), "stars")
+    rows = shared.filter(F.col("size") <= SMALL)
+    hard = mixed(shared.filter(F.col("size") > SMALL)).select("node").distinct()
+    if not hard.isEmpty():
+        rows = rows.unionByName(_rare(shared, texts, hard, words, percent))
     met, leads = 0, 8
     while True:
-        now = mixed(shared.filter(F.col("size") > met))
+        now = mixed(rows.filter(F.col("size") > met))
         if now.isEmpty():
             break
         nth = F.col("x.place") * F.col("size")
         drawn = now.filter((nth >= met) & (nth < leads)).select("key", F.col("x").alias("y"), F.col("root").alias("other"))
         pairs = now.join(drawn, "key").filter((F.col("root") != F.col("other")) & (F.col("x") > F.col("y")) & _near(F.col("x"), F.col("y"), limit))
         grouped(pairs.select(F.col("y.node").alias("a"), F.col("node").alias("b")), "more")
-        met, leads = leads, leads * 8
+        met, leads = leads, leads * 64
     return roots if roots is not None else shared.select(F.col("x.node").alias("node"), F.col("x.node").alias("root")).limit(0)
 
 

@@ -62,6 +62,25 @@ def test_a_common_passage_hides_no_pair(spark):
     assert sorted(r.doc_id for r in drop_similar(docs).collect()) == list(range(80)) == sorted(rows[i][0] for i in brute_kept(rows))
 
 
+def test_large_buckets_of_several_groups(spark, monkeypatch):
+    """Texts that share most of their words meet in buckets that count as large; those that are linked besides are all found."""
+    from docgate.llm import shingles as module
+
+    monkeypatch.setattr(module, "SMALL", 3)
+    rng = random.Random(10)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i % 40}x{j}" for j in range(28 + i % 9)]
+        if i >= 40:
+            own[rng.randint(0, 20)] = "changed"
+        rows.append((i, " ".join(passage + own)))
+    kept = sorted(rows[i][0] for i in brute_kept(rows))
+    assert 20 < len(kept) < 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_similar(docs).collect()) == kept
+
+
 def test_pipeline_stage_on_the_small_table(spark):
     import corpus_pipeline
 
