@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +85,23 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, documents.Inpu
     return status, documents.Inputs(files, recorded, long, registry, agents, checks.load_checks(spark))
 
 
+#: What a pass has written, by application and folder: several queries report on one.
+_passes: dict[tuple[str, str], documents.Results] = {}
+
+
 def _processed(spark: SparkSession, sf_dir: str) -> documents.Results:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _passes:
+        try:
+            _passes[key].status.limit(1).collect()
+            return _passes[key]
+        except PySparkException:  # its tables have been deleted
+            del _passes[key]
+    _passes[key] = _process(spark, sf_dir)
+    return _passes[key]
+
+
+def _process(spark: SparkSession, sf_dir: str) -> documents.Results:
     status, inputs = _inputs(spark, sf_dir)
     nothing = spark.createDataFrame([], "decision_id long")
     return documents.process(status, inputs, F.to_timestamp(F.lit(_NOW)), nothing, nothing)
