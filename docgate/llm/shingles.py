@@ -266,6 +266,8 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent:
     limit = apart_at_most(percent)
     shared = _shared(nodes, limit)
     lead = shared.groupBy("key").agg(F.min("x").alias("lead"))
+    asked = shared.select("x.node").distinct()  # all that is checked from here on: other texts move no more
+    texts = stage(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
     roots, checked = None, None
 
     def grouped(pairs: DataFrame, name: str) -> None:
