@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,6 +81,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """rows (a written table) with idx, a row's place from 0 in its group by `order`, nulls first, and n, the group's size.
+
+    Range partitions are sorted; a row's place is that in its partition, less where its group begins there, plus what partitions before
+    hold of the group. Rows that are equal fill as many partitions as they need, so no group and no value is one task's work."""
+    keys = [group, *order, "tie_"]
+    placed = rows.withColumn("tie_", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stage(placed.withColumn("at_", F.monotonically_increasing_id()).drop("tie_"), "placed").withColumn("part_", F.shiftright("at_", 33))
+    each = placed.groupBy(group, "part_").agg(F.min("at_").alias("first_"), F.count(F.lit(1)).alias("rows_"))
+    whole = Window.partitionBy(group)
+    before = F.coalesce(F.sum("rows_").over(whole.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.select(group, "part_", (F.col("first_") - before).alias("from_"), F.sum("rows_").over(whole).alias("n"))
+    return placed.join(each, [group, "part_"]).withColumn("idx", F.col("at_") - F.col("from_")).drop("at_", "part_", "from_")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

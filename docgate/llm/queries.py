@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from docgate.llm import bpe, lm
 from docgate.llm.ann import nearest
 from docgate.llm.chat import format_chats, read_back, unescape
+from docgate.llm.common import ascii_lower
 from docgate.llm.exact_dedup import exact_duplicates
 from docgate.llm.html import extract_text
 from docgate.llm.langid import identify, train
+from docgate.llm.lexical import search
+from docgate.llm.merkle import folded, leaf_of, prove, siblings
 from docgate.llm.packing import pack_documents
 from docgate.llm.secrets import find_secrets, said
 from docgate.llm.simhash import near_duplicates
+from docgate.llm.syncmers import edited, fingerprint, likeness
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +122,39 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), _fold(7) != 2)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest, and what it leads to where a third of the texts have been tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.when(_fold(3) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    row = ["doc_id", "source", "lang", "n_chars"]
+    leaves = docs.select("doc_id", "lang", leaf_of(*row, "text").alias("leaf"), leaf_of(*row, tampered).alias("tampered"))
+    before, after = F.col("before"), F.col("after")
+    out = prove(leaves, tree="lang", by="doc_id", leaf="leaf").select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings(before, after), 256).alias("proof_sha256"), folded(F.col("tampered"), before, after).alias("folded_root")
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, of its edited text, and how like they are to each other and to the next document's."""
+    rows = edited(_table(spark, sf_dir, "documents"), share=4)
+    own, changed = F.col("hashes"), F.col("edited_hashes")
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(own).alias("fingerprint"),
+        fingerprint(changed).alias("edited_fingerprint"),
+        likeness(own, changed).alias("near_edited"),
+        likeness(own, F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op3_secret_scan that SQL can express: how many secrets of the base kinds each document has."""
     return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -128,7 +165,13 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_lm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 5))
 
 
-QUERIES = {f.__name__: f for f in (secret_counts, lm_base_scores, op1_chat_format, op2_nearest, op3_secret_scan, op4_html_text, op5_packing, op6_bpe, op7_simhash, op8_language_id, op9_exact_dedup, op10_lm_score)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        secret_counts, lm_base_scores, op1_chat_format, op2_nearest, op3_secret_scan, op4_html_text, op5_packing, op6_bpe, op7_simhash,
+        op8_language_id, op9_exact_dedup, op10_lm_score, op11_merkle, op12_lexical_search, op13_fingerprints,
+    )
+}
 
 _CHAT_SQL = r"""
 WITH rows AS (
@@ -185,4 +228,62 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_v
 FROM t LEFT JOIN c USING (token), n GROUP BY 1, 2
 """
 
-ORACLE_SQL = {"op1_chat_format": _CHAT_SQL, "op9_exact_dedup": _EXACT_SQL, "secret_counts": _SECRETS_SQL, "lm_base_scores": _BASE_SQL}
+#: Nodes level by level, and each leaf's path; siblings are the other nodes of the runs on the way.
+_MERKLE_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, text,
+         coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+         CASE WHEN {_CRC_SQL} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS tampered
+  FROM documents
+), leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(octet_length(encode(tampered)) || ':' || tampered, '-')) AS changed
+  FROM docs
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), low(tree, level, idx, n, node) AS (
+  SELECT tree, 0, idx, n, leaf FROM placed
+  UNION ALL SELECT tree, any_value(level) + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(node, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY tree, idx // 8
+), tops AS (
+  SELECT tree, level, node, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), high(level, idx, n, node) AS (
+  SELECT 0, idx, n, node FROM tops
+  UNION ALL SELECT any_value(level) + 1, idx // 8, any_value((n + 7) // 8), sha256(string_agg(node, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY idx // 8
+), steps AS (
+  SELECT p.doc_id, p.leaf, l.level, string_agg(l.node, '' ORDER BY l.idx) FILTER (l.idx < p.idx // CAST(8 ** l.level AS BIGINT)) AS before,
+         string_agg(l.node, '' ORDER BY l.idx) FILTER (l.idx > p.idx // CAST(8 ** l.level AS BIGINT)) AS after
+  FROM placed p JOIN low l ON l.tree = p.tree AND l.n > 1 AND l.idx // 8 = p.idx // CAST(8 ** (l.level + 1) AS BIGINT) GROUP BY ALL
+  UNION ALL
+  SELECT p.doc_id, p.leaf, 100 + h.level, string_agg(h.node, '' ORDER BY h.idx) FILTER (h.idx < t.idx // CAST(8 ** h.level AS BIGINT)),
+         string_agg(h.node, '' ORDER BY h.idx) FILTER (h.idx > t.idx // CAST(8 ** h.level AS BIGINT))
+  FROM placed p JOIN tops t USING (tree) JOIN high h ON h.n > 1 AND h.idx // 8 = t.idx // CAST(8 ** (h.level + 1) AS BIGINT) GROUP BY ALL
+), ordered AS (
+  SELECT doc_id, leaf, coalesce(before, '') AS before, coalesce(after, '') AS after, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS step FROM steps
+), climbed(doc_id, leaf, step, node) AS (
+  SELECT doc_id, leaf, 0, changed FROM placed
+  UNION ALL SELECT c.doc_id, c.leaf, c.step + 1, sha256(o.before || c.node || o.after) FROM climbed c JOIN ordered o ON o.doc_id = c.doc_id AND o.step = c.step + 1
+)
+SELECT p.doc_id, p.leaf, t.node AS subroot, r.node AS root,
+       (SELECT sha256(coalesce(string_agg(before || after, '' ORDER BY step), '')) FROM ordered o WHERE o.doc_id = p.doc_id) AS proof_sha256,
+       f.node AS folded_root, f.node = r.node AS verified
+FROM placed p JOIN tops t USING (tree) JOIN high r ON r.n = 1
+JOIN (SELECT doc_id, arg_max(node, step) AS node FROM climbed GROUP BY 1) f ON f.doc_id = p.doc_id
+"""
+
+_TERMS_SQL = "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+
+_SEARCH_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS_SQL} AS term FROM documents), q AS (SELECT item_id, {_TERMS_SQL} AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS n FROM d GROUP BY ALL),
+stats AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM dl),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, stats GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), stats GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op11_merkle": _MERKLE_SQL, "op12_lexical_search": _SEARCH_SQL, "op1_chat_format": _CHAT_SQL, "op9_exact_dedup": _EXACT_SQL, "secret_counts": _SECRETS_SQL, "lm_base_scores": _BASE_SQL}
