@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +17,33 @@ from pyspark.sql import types as T
 from docgate.llm.common import flat, fresh, slices
 
 
+@dataclass(frozen=True)
+class Body:
+    """What may stand behind a match and belongs to it: all up to the first of `marks`, if that is also one of `last` (with the bytes of
+    `rest` behind it), else the longest stretch that `lines` matches, where \\xff stands for the end of the text.
+
+    marks and last are a head and a tail like those of a rule and are followed by the same automaton."""
+
+    marks: tuple[str, str]
+    last: tuple[str, str]
+    rest: bytes
+    lines: str
+
+
 @dataclass(frozen=True)
 class Rule:
     """A secret of a kind: bytes that `head` matches, then the longest run of one or more bytes of the class `tail`.
 
     Matches are leftmost and don't overlap within a rule. One with a run of fewer than `min_tail` bytes, or of fewer than
-    `min_total` bytes in all, is dropped, but its bytes stay used up, as when matches of head+tail are filtered. What `body` matches
-    right behind a match belongs to it, too."""
+    `min_total` bytes in all, is dropped, but its bytes stay used up, as when matches of head+tail are filtered. A `body` behind
+    a match belongs to it, too."""
 
     kind: str
     head: str
     tail: str
     min_tail: int = 1
     min_total: int = 1
-    body: str = ""
+    body: Body | None = None
 
 
 BASE_RULES = (
@@ -39,11 +52,16 @@ BASE_RULES = (
     Rule("hex", "[0-9a-f]{23}", "[0-9a-f]"),
 )
 #: Behind the first line of a private key: all up to its last line, or, if another key or the end of the text comes before,
-#: what still looks like one: fields of the head, then lines (or their escaped forms) of which the first is as long as keys have them (64, 70, 76, or all in one).
+#: what still looks like one: fields of the head, then lines (or their escaped forms) of which the first is as long as keys have them
+#: (64, 70, 76, or all in one).
 _LINE = r"(?:[\x20\t>]|\\[rnt]|[\r\n])"
-KEY_BODY = (
-    r"(?:[^-]|-(?!----(?:BEGIN|END)\x20))*+-----END\x20[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-*+"
-    rf"|{_LINE}++(?:[A-Z][A-Za-z-]*+:\x20[^\r\n\\]*+{_LINE}++)*+(?:[A-Za-z0-9+/]{{120,}}+=*+|[A-Za-z0-9+/]{{76}}|[A-Za-z0-9+/]{{70}}|[A-Za-z0-9+/]{{64}})(?={_LINE}|\Z)(?:{_LINE}++[A-Za-z0-9+/]{{16,}}+=*+)*+(?:{_LINE}++[A-Za-z0-9+/]*+=[A-Za-z0-9+/=]*+)*+(?:{_LINE}++[A-Za-z0-9+/=]++\Z)?"
+_KEY = "[A-Za-z0-9+/]"
+KEY_BODY = Body(
+    ("-----(?:BEGIN|END)", r"\x20"),
+    (r"-----END\x20[A-Z0-9\x20]*PRIVATE\x20KE", "Y"),
+    b" BLOCK-",
+    rf"{_LINE}+(?:[A-Z][A-Za-z-]*:\x20[^\r\n\\\xff]*{_LINE}+)*(?:{_KEY}{{120}}{_KEY}*=*|{_KEY}{{76}}|{_KEY}{{70}}|{_KEY}{{64}})"
+    rf"(?:\xff|{_LINE}(?:{_LINE}*{_KEY}{{16}}{_KEY}*=*(?:{_LINE}+{_KEY}{{16}}{_KEY}*=*)*)?(?:{_LINE}+{_KEY}*=[A-Za-z0-9+/=]*)*(?:{_LINE}+[A-Za-z0-9+/=]+\xff)?)",
 )
 RULES = BASE_RULES + (
     Rule("github", "gh[oprsu]_", "[A-Za-z0-9]", min_tail=36),
@@ -150,7 +168,8 @@ def _minimised(table: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.nda
 @dataclass(frozen=True)
 class Automaton:
     """classes: byte -> class; table: state * width + class -> next state * width; marks: state -> bits of the rules whose
-    tail the state is in; from `marked` on states have marks; reset: classes that lead from any state to the start."""
+    tail the state is in; from `marked` on states have marks; reset: classes that lead from any state to the start; back: each rule's
+    head backwards; bodies: of rules with a body the numbers of its marks and of its last line as rules, and the moves and ends of `lines`."""
 
     rules: tuple[Rule, ...]
     classes: np.ndarray
@@ -160,6 +179,7 @@ class Automaton:
     marked: int
     reset: np.ndarray
     back: tuple[tuple[np.ndarray, np.ndarray], ...]
+    bodies: dict[int, tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def _explore(start, step, alphabet: Sequence[int]) -> tuple[list, np.ndarray]:
@@ -191,22 +211,35 @@ def _reversed(items) -> list:
     return out
 
 
+def _classes(sets: set[frozenset[int]]) -> tuple[np.ndarray, list[int]]:
+    """The class of each byte, where bytes of a class are in the same of the sets, and a byte of each class."""
+    kinds: dict[tuple, int] = {}
+    classes = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)], np.uint8)
+    return classes, [int(np.flatnonzero(classes == c)[0]) for c in range(len(kinds))]
+
+
 def compile_rules(rules: Sequence[Rule] = RULES) -> Automaton:
+    return _compiled(tuple(rules))
+
+
+@lru_cache(4)
+def _compiled(rules: tuple[Rule, ...]) -> Automaton:
     """One minimal automaton that follows all rules at once.
 
     A state holds, for each rule, either that its tail is being read or the positions in its head of all matches that
     may have begun. When a tail ends, that rule begins anew with the byte that ended it."""
-    heads, tails = [], []
-    for r in rules:
+    heads, tails, bodies, followed = [], [], {}, list(rules)
+    for i, r in enumerate(rules):
+        if r.body:
+            bodies[i] = (len(followed), len(followed) + 1)
+            followed += [Rule("", *r.body.marks), Rule("", *r.body.last)]
+    for r in followed:
         nfa = _Nfa()
         start = nfa.state()
         heads.append((nfa, nfa.closed([start]), nfa.add(sre_parser.parse(r.head), start)))
         (op, arg), = sre_parser.parse(r.tail)
         tails.append(_bytes_of(arg if op is sre.IN else [(op, arg)], False))
-    sets = {chars for nfa, _, _ in heads for edges in nfa.edges for chars, _ in edges} | set(tails)
-    kinds: dict[tuple, int] = {}
-    classes = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)], np.uint8)
-    alphabet = [int(np.flatnonzero(classes == c)[0]) for c in range(len(kinds))]
+    classes, alphabet = _classes({chars for nfa, _, _ in heads for edges in nfa.edges for chars, _ in edges} | set(tails))
     in_tail = "tail"
 
     def step(state, byte):
@@ -221,20 +254,27 @@ def compile_rules(rules: Sequence[Rule] = RULES) -> Automaton:
             out.append(in_tail if end in own and byte in tail else nfa.moved(own, byte))
         return tuple(out)
 
-    states, table = _explore(tuple(frozenset() for _ in rules), step, alphabet)
+    states, table = _explore(tuple(frozenset() for _ in followed), step, alphabet)
     marks = np.array([sum(1 << i for i, own in enumerate(s) if own == in_tail) for s in states], np.int64)
     table, marks = _minimised(table, marks)
     width = len(alphabet)
     back = []
-    for r in rules:
+    for r in followed:
         nfa = _Nfa()
         start = nfa.state()
         end = nfa.add(_reversed(sre_parser.parse(r.head)), start)
         subsets, moves = _explore(nfa.closed([start]), nfa.moved, alphabet)
         back.append((moves, np.array([0 if not s else 2 if end in s else 1 for s in subsets])))
+    for i in bodies:
+        nfa = _Nfa()
+        start = nfa.state()
+        end = nfa.add(sre_parser.parse(rules[i].body.lines), start)
+        own, some = _classes({chars for edges in nfa.edges for chars, _ in edges})
+        subsets, moves = _explore(nfa.closed([start]), nfa.moved, some)
+        bodies[i] += (moves[:, own], np.array([0 if not s else 2 if end in s else 1 for s in subsets]))
     return Automaton(
         tuple(rules), classes, width, (table * width).astype(np.int32).reshape(-1), marks.astype(np.int32),
-        int(np.argmax(marks != 0)), (table == 0).all(axis=0), tuple(back),
+        int(np.argmax(marks != 0)), (table == 0).all(axis=0), tuple(back), bodies,
     )
 
 
@@ -297,6 +337,40 @@ def _begin(auto: Automaton, rule: int, classes: np.ndarray, low: int, at: int) -
     return best
 
 
+def _lines_end(moves: np.ndarray, ends: np.ndarray, data: np.ndarray, at: int, stop: int) -> int:
+    """The end of the longest stretch from `at` on that the moves accept, `at` if there is none."""
+    state, best = 0, at
+    while at < stop:
+        state = moves[state, data[at]]
+        if not ends[state]:
+            return best
+        at += 1
+        if ends[state] == 2:
+            best = at
+    return stop if ends[moves[state, 0xFF]] == 2 else best
+
+
+def _body_end(auto: Automaton, rule: int, classes: np.ndarray, data: np.ndarray, where: np.ndarray, marks: np.ndarray, at: int, stop: int) -> int:
+    """The end of what belongs to a match of the rule that ends at `at`, in a text that ends at `stop`."""
+    mark, last, moves, ends = auto.bodies[rule]
+    later = slice(*np.searchsorted(where, [at, stop]))
+    of = lambda r: where[later][(marks[later] >> r & 1).astype(bool)]
+    marked = of(mark)
+    if len(marked):
+        begins = _begin(auto, mark, classes, at, int(marked[0]))
+        for end in of(last).tolist():
+            if _begin(auto, last, classes, at, end) != begins:
+                break
+            block, dash = auto.rules[rule].body.rest[:-1], auto.rules[rule].body.rest[-1]
+            end += 1
+            if data[end : min(end + len(block), stop)].tobytes() == block:
+                end += len(block)
+            while end < stop and data[end] == dash:
+                end += 1
+            return end
+    return _lines_end(moves, ends, data, at, stop)
+
+
 def scan(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """document, rule, start and end (in code points of its text) of each secret, by document, start and rule."""
     classes = auto.classes[data]
@@ -310,12 +384,11 @@ def scan(auto: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
         new = np.append(True, (np.diff(p) != 1) | (np.diff(docs) != 0))
         firsts, lasts = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(p)) - 1
         doc, used = -1, 0
-        body, whole = (re.compile(rule.body.encode()), data.tobytes()) if rule.body else (None, b"")
         for a, b, d in zip(p[firsts].tolist(), p[lasts].tolist(), docs[firsts].tolist(), strict=True):
             low = max(used, int(offsets[d])) if d == doc else int(offsets[d])
             start, end = _begin(auto, r, classes, low, a), b + 1
-            if body and (more := body.match(whole, end, int(offsets[d + 1]))):
-                end = more.end()
+            if rule.body:
+                end = _body_end(auto, r, classes, data, where, marks, end, int(offsets[d + 1]))
             doc, used = d, end
             if end - a >= rule.min_tail and end - start >= rule.min_total:
                 spans.append((d, start, r, end))
