@@ -74,10 +74,14 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written and read back. The table goes at the end of the scratch() block that this is called in, if any."""
+    """df written and read back. The table goes at the end of the scratch() block that this is called in, if any.
+
+    In such a block, which has many steps, the files that a step has shuffled go when its table stands: Spark deletes them once nothing
+    refers to them, which the driver finds out when it collects its garbage, at other times too late for the disks."""
     table, folder = write(df, name)
     if now := _scratch.get():
         now.folders.append(folder)
+        df.sparkSession._jvm.System.gc()
     return table
 
 

@@ -37,12 +37,15 @@ _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder
 
 
 def names_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each text's words, A-Z lower-cased and joined by single blanks; texts without words share one."""
+    """Two 64-bit hashes of each text's words, A-Z lower-cased and joined by single blanks; texts without words share them."""
     text, begin, end, word_at = folded_words(data, offsets)
     full = np.flatnonzero(np.diff(word_at))
-    out = np.full(len(offsets) - 1, xxhash.xxh64_intdigest(b"", 5), np.uint64)
+    none = xxhash.xxh3_128_intdigest(b"", 5)
+    out = np.empty((len(offsets) - 1, 2), np.uint64)
+    out[:] = none & (1 << 64) - 1, none >> 64
     pairs = zip(begin[word_at[full]].tolist(), end[word_at[full + 1] - 1].tolist(), strict=True)
-    out[full] = np.fromiter((xxhash.xxh64_intdigest(text[a:b], 5) for a, b in pairs), np.uint64, len(full))
+    digests = b"".join(xxhash.xxh3_128_intdigest(text[a:b], 5).to_bytes(16, "little") for a, b in pairs)
+    out[full] = np.frombuffer(digests, "<u8").reshape(-1, 2)
     return out
 
 
@@ -142,9 +145,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def _marked(docs: DataFrame, names: tuple[str, str, str], words: int, percent: int, segments: int) -> DataFrame:
-    """docs with its node (names_of its text), fingerprint (two numbers of 64 bits) and keys, each once; no keys for a text without
-    words. No shuffle."""
+def _marked(docs: DataFrame, names: tuple[str, str, str, str], words: int, percent: int, segments: int, named) -> DataFrame:
+    """docs with its node and a check of it (names_of its text), fingerprint (two numbers of 64 bits) and keys, each once; no keys for
+    a text without words. No shuffle."""
     tables = tables_for(percent, segments)
 
     def run(batches):
@@ -163,11 +166,12 @@ def _marked(docs: DataFrame, names: tuple[str, str, str], words: int, percent: i
                     held[full] = new.sum(axis=1)
                     ends[1:] = np.cumsum(held)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
-                node = pa.array(names_of(data, offsets).view(np.int64))
+                own = named(data, offsets).view(np.int64)
+                node, check = (pa.array(np.ascontiguousarray(own[:, i])) for i in (0, 1))
                 two = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), 2).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, node, two, lists], [*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, node, check, two, lists], [*part.schema.names, *names])
 
-    kinds = [T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
+    kinds = [T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
 
 
@@ -205,22 +209,23 @@ def _near(a: Column, b: Column, limit: int) -> Column:
 def _shared(nodes: DataFrame, limit: int) -> DataFrame:
     """key, size and x (a struct of place, node, high, low) of the nodes that may have a link in the bucket of a key.
 
-    Of each key SMALL + 1 nodes at most are gathered, those with the smallest places, which each task cuts to before the shuffle. A
-    bucket that is whole in that keeps the nodes that have another one near; so what goes on doesn't grow with chance meetings.
-    Larger ones are joined again, whole."""
-    x = F.struct("place", "node", "high", "low")
-    keyed = nodes.select(F.explode("keys").alias("key"), x.alias("x"))
-    first = Window.partitionBy("key").orderBy("x")
-    lists = keyed.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SMALL + 1).groupBy("key").agg(F.collect_list("x").alias("xs"))
+    Only keys and nodes are gathered, of each key SMALL + 1 at most, to which each task cuts before the shuffle; fingerprints follow for the
+    few keys that more than one node has. A bucket that is whole in that keeps the nodes that have another one near; so what goes on
+    doesn't grow with chance meetings. Larger ones are joined again, whole."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    first = Window.partitionBy("key").orderBy("node")
+    lists = keyed.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SMALL + 1).groupBy("key").agg(F.collect_list("node").alias("nodes"))
+    met = stage(lists.filter(F.size("nodes") > 1).select("key", F.size("nodes").alias("size"), F.explode("nodes").alias("node")), "met")
+    who = nodes.select("node", F.struct("place", "node", "high", "low").alias("x"))
     meets = F.filter("xs", lambda a: F.exists("xs", lambda b: (a["node"] != b["node"]) & _near(a, b, limit)))
-    lists = lists.filter(F.size("xs") > 1).withColumn("kept", F.when(F.size("xs") <= SMALL, meets).otherwise(F.slice("xs", 1, 1)))
-    met = stage(lists.select("key", F.size("xs").alias("size"), F.explode("kept").alias("x")), "met")
-    small, large = met.filter(F.col("size") <= SMALL), met.filter(F.col("size") > SMALL).select("key")
+    small = met.filter(F.col("size") <= SMALL).join(who, "node").groupBy("key").agg(F.collect_list("x").alias("xs"))
+    small = small.select("key", F.size("xs").alias("size"), F.explode(meets).alias("x"))
+    large = met.filter(F.col("size") > SMALL).select("key").distinct()
     if large.isEmpty():
-        return small
-    whole = keyed.join(large, "key")
+        return stage(small, "shared")
+    whole = stage(keyed.join(large, "key"), "large")
     counts = whole.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    return stage(small.unionByName(whole.join(counts, "key").select("key", "size", "x")), "shared")
+    return stage(small.unionByName(whole.join(counts, "key").join(who, "node").select("key", "size", "x")), "shared")
 
 
 def _rare(shared: DataFrame, texts: DataFrame, hard: DataFrame, words: int, percent: int) -> DataFrame:
@@ -329,20 +334,27 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent:
     return roots if roots is not None else shared.select(F.col("x.node").alias("node"), F.col("x.node").alias("root")).limit(0)
 
 
-def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, named=names_of) -> DataFrame:
     """docs with one row of each group of similar texts: the one with the smallest doc_id, null coming last.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is `percent` or more (A-Z lower-cased, words
     apart by white space of ASCII; a text of fewer words has one shingle of them all); a group is what links join.
-    Texts of the same words are one node; null and texts without words are one, too. A pair at the threshold shares a key, and
+    Texts of the same words are one node, by a hash of 128 bits, of which 64 name the node (`named`; two nodes that have these in common
+    are told apart); null and texts without words are one, too. A pair at the threshold shares a key, and
     so is found, but with probability MISS; pairs above it are missed less often. Rows are decided on, not identifiers:
     where a doc_id stands on several texts, each is judged for itself; of repeated rows one stays. Columns are unchanged;
     no rows give no rows."""
-    node, print_, keys = (fresh(docs, c) for c in ("node", "print", "keys"))
+    node, check, print_, keys = (fresh(docs, c) for c in ("node", "check", "print", "keys"))
     identifier = F.col("doc_id").cast("long").alias("doc_id")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     segments = 2 if docs.count() <= TWO_SEGMENTS else 3
-    marked = stage(_marked(docs, (node, print_, keys), words, percent, segments), "marked")
+    marked = stage(_marked(docs, (node, check, print_, keys), words, percent, segments, named), "marked")
+    several = marked.groupBy(node).agg(F.min(check).alias("least"), F.max(check).alias("most")).filter("least < most").drop("most")
+    several = several.withColumnsRenamed({node: "_node", "least": "_least"})
+    if not several.isEmpty():  # about once in 10^19 / n^2 tables of n texts
+        other = F.col("_least").isNotNull() & (F.col(check) != F.col("_least"))
+        marked = marked.join(F.broadcast(several), F.col(node) == F.col("_node"), "left")
+        marked = stage(marked.withColumn(node, F.when(other, F.xxhash64(node, check)).otherwise(F.col(node))).drop("_node", "_least"), "marked")
     with scratch(docs.sparkSession) as temporary:
         nodes = marked.groupBy(F.col(node).alias("node")).agg(F.first(print_).alias("print"), F.first(keys).alias("keys"))
         nodes = stage(nodes.select(_place("node").alias("place"), "node", F.get("print", 0).alias("high"), F.get("print", 1).alias("low"), "keys"), "nodes")

@@ -47,6 +47,30 @@ def test_pairs_of_0_8_are_found_and_others_stay(spark):
     assert sorted(r.doc_id for r in drop_similar(docs).collect()) == sorted(kept)
 
 
+def test_pairs_of_0_8_by_keys_of_three_segments(spark, monkeypatch):
+    """The keys of tables of many millions of texts find the same."""
+    from docgate.llm import shingles as module
+
+    monkeypatch.setattr(module, "TWO_SEGMENTS", 0)
+    test_pairs_of_0_8_are_found_and_others_stay(spark)
+
+
+def test_nodes_with_one_hash_are_told_apart(spark):
+    """Of texts that share a node's 64 bits only those of the same words are one."""
+
+    def named(data, offsets):
+        from docgate.llm.shingles import names_of
+
+        own = names_of(data, offsets)
+        own[:, 0] &= 3
+        return own
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(i, t) for i, t in enumerate([a, b, c, d, a.upper(), b + " z", c, "one", "", None, "two  words", "Two words"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_similar(docs, named=named).collect()) == sorted(rows[i][0] for i in brute_kept(rows))
+
+
 def test_a_common_passage_hides_no_pair(spark):
     """Texts that share a passage of two thirds meet in large buckets; those with a copy besides are still found."""
     rng = random.Random(9)
