@@ -157,8 +157,7 @@ def mask_text(text: str) -> tuple[str, dict[str, int]]:
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.IntegerType()))]))
-def mask(texts: pd.Series) -> pd.DataFrame:
-    """mask_text() of each text. A null text has null counts: nothing was looked for."""
+def _mask(texts: pd.Series) -> pd.DataFrame:
     rows = [(None, None) if t is None else mask_text(t) for t in texts]
     return pd.DataFrame(rows, columns=["text", "counts"])
 
@@ -168,6 +167,20 @@ def plain(text: Column) -> Column:
     return F.translate(text, BLANKS + EMPTY, " " * len(BLANKS))
 
 
+def suspect(text: Column) -> Column:
+    """Whether a text holds a digit or an @, without which there is nothing to mask."""
+    return F.coalesce(text.rlike(r"(?U)[\d@]"), F.lit(False))
+
+
+def mask(text: Column | str) -> Column:
+    """mask_text() of each text, as text and counts. A null text has null counts: nothing was looked for. Texts that aren't suspect stay in
+    the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    done = _mask(F.when(suspect(text), text))
+    none = F.when(text.isNotNull(), F.create_map().cast("map<string,int>"))
+    return F.struct(F.coalesce(done["text"], plain(text)).alias("text"), F.coalesce(done["counts"], none).alias("counts"))
+
+
 @F.pandas_udf(T.StructType([T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("counts", T.MapType(T.StringType(), T.IntegerType()))]))
 def mask_all(texts: pd.Series) -> pd.DataFrame:
     """mask_text() of each text of an array, and the counts of all together; null for a null array."""

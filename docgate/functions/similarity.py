@@ -34,6 +34,11 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """0 to 100: ratio() of two texts as they are; null if either is."""
+    return _ratio(a, b)
+
+
 def sorted_words(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), " ")
 

@@ -21,17 +21,31 @@ def fold_text(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def fold(texts: pd.Series) -> pd.Series:
-    """fold_text() of each value; there is no built-in for Unicode decomposition."""
+def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def compose(texts: pd.Series) -> pd.Series:
-    """Compatibility composition and case folding."""
+def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
+def _beyond_ascii(text: Column, function) -> Column:
+    """function(text), which lower-cases what is ASCII and no more: such texts don't go to Python."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(function(F.when(~plain, text)))
+
+
+def fold(text: Column) -> Column:
+    """fold_text() of each value; there is no built-in for Unicode decomposition."""
+    return _beyond_ascii(text, _fold)
+
+
+def compose(text: Column) -> Column:
+    """Compatibility composition and case folding."""
+    return _beyond_ascii(text, _compose)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

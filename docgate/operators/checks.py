@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from docgate import fixed
 from docgate.functions.text import jurisdiction
 
-#: A table of checks has so many rows at most.
-CHECKS_AT_MOST = 1000
+#: Checks that are read and evaluated at a time; an agent's findings are numbered from here on, behind any check.
+CHECKS_AT_ONCE, AGENT_FROM = 1000, 1_000_000
 OPERATORS = ("required", "equals", "between", "lte", "gte", "matches_any", "matches_none", "currency_stated")
 CHECK = (
     "ordinal int, id string, section string, field string, op string, severity string, message string, absent_ok boolean, "
     "min double, max double, limit double, expected boolean, values array<string>, categories array<string>"
 )
+FINDINGS = "array<struct<ordinal:int,severity:string,field:string,citation:string,explanation:string>>"
 #: The long table: a row per document and field.
 FIELDS = (
     "doc_id long, name string, v_text string, v_num double, v_bool boolean, currency string, confidence double, "
@@ -73,34 +74,54 @@ def shown(number: Column) -> Column:
     return F.when(number == F.floor(number), number.cast("long").cast("string")).otherwise(number.cast("string"))
 
 
-def findings(fields: DataFrame, vendors: DataFrame, checks: DataFrame) -> DataFrame:
-    """The checks that documents fail: doc_id, ordinal, kind, severity, field, citation, explanation, source.
-
-    vendors has doc_id and category, a row per document to judge; one without fields fails what must be there. Of repeated
-    fields of a document any one counts. The checks, policy of at most CHECKS_AT_MOST rows, become expressions over a document's
-    map of fields: one aggregate by document and a join on the same key, no row per document and check."""
-    rules = checks.withColumnRenamed("values", "values_").orderBy("ordinal").limit(CHECKS_AT_MOST + 1).collect()
-    if len(rules) > CHECKS_AT_MOST:
-        raise ValueError(f"more than {CHECKS_AT_MOST} checks")
-    value = F.struct("v_text", "v_num", "v_bool", "currency")
-    used = fields.filter(F.col("name").isin(*{r.field for r in rules}))
-    own = used.groupBy("doc_id", "name").agg(F.first(value).alias("value"))
-    own = own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("own"))
-    docs = vendors.join(own, "doc_id", "left")
-    docs = docs.withColumn("law", jurisdiction(F.try_element_at("own", F.lit("governing_law"))["v_text"]))
+def _failed(rules: list[Row], values: dict[str, Column], law: Column, category: Column) -> Column:
+    """The findings of some checks: array<struct<ordinal, severity, field, citation, explanation>>. values has each field's value."""
     failed = []
     for r in rules:
-        field = F.try_element_at("own", F.lit(r.field))
+        field = values[r.field]
         said, shows = F.lit(r.message), F.coalesce(field["v_text"], shown(field["v_num"]), field["v_bool"].cast("string"), F.lit(""))
         limits = {n: F.coalesce(shown(F.lit(getattr(r, n)).cast("double")), F.lit("")) for n in ("min", "max", "limit")}
         quoted = F.when(field["v_text"].isNotNull(), F.concat(F.lit("'"), field["v_text"], F.lit("'"))).otherwise(F.nullif(shows, F.lit("")))
         for name, x in {"value!r": F.coalesce(quoted, F.lit("None")), "value": shows, **limits}.items():
             if f"{{{name}}}" in r.message:
                 said = F.replace(said, F.lit(f"{{{name}}}"), x)
-        due = F.lit(True) if r.categories is None else F.coalesce(F.col("category"), F.lit("")).isin(*r.categories)
+        due = F.lit(True) if r.categories is None else F.coalesce(category, F.lit("")).isin(*r.categories)
         finding = F.struct(F.lit(r.ordinal).alias("ordinal"), F.lit(r.severity).alias("severity"), F.lit(r.field).alias("field"), F.lit(r.section).alias("citation"), said.alias("explanation"))
-        failed.append(F.when(due & ~passes(r, field, F.col("law")), finding))
-    found = docs.select("doc_id", F.explode(F.filter(F.array(*failed), lambda x: x.isNotNull())).alias("f"))
+        failed.append(F.when(due & ~passes(r, field, law), finding))
+    return F.filter(F.array(*failed), lambda x: x.isNotNull())
+
+
+def judged(docs: DataFrame, checks: DataFrame) -> DataFrame:
+    """docs (category, fields: array<struct<name, v_text, v_num, v_bool, currency>> and more) with `findings`, those of the checks that a
+    document fails, in the checks' order.
+
+    A document without fields, or with null, fails what must be there. Of repeated fields of a document the smallest value counts, null
+    before all. The checks are policy; they become expressions over a document's own row, so no row moves. They are read and evaluated
+    in blocks of CHECKS_AT_ONCE."""
+    ordered = checks.withColumnRenamed("values", "values_")
+    last = ordered.agg(F.max("ordinal")).first()[0]
+    out = docs.withColumn("findings", F.array().cast(FINDINGS))
+    for start in range(0, -1 if last is None else last + 1, CHECKS_AT_ONCE):
+        rules = ordered.filter(F.col("ordinal").between(start, start + CHECKS_AT_ONCE - 1)).orderBy("ordinal").collect()
+        if not rules:
+            continue
+        names = {r.field: f"_value{i}" for i, r in enumerate({r.field: r for r in rules}.values())} | {"governing_law": "_law_value"}
+        value = lambda name: F.array_min(F.transform(F.filter("fields", lambda f: f["name"] == name), lambda f: F.struct(f["v_text"].alias("v_text"), f["v_num"].alias("v_num"), f["v_bool"].alias("v_bool"), f["currency"].alias("currency"))))
+        own = out.withColumns({column: value(name) for name, column in names.items()})
+        own = own.withColumn("_law", jurisdiction(F.col("_law_value.v_text")))
+        found = _failed(rules, {name: F.col(column) for name, column in names.items()}, F.col("_law"), F.col("category"))
+        out = own.withColumn("findings", F.concat("findings", found)).drop("_law", *names.values())
+    return out
+
+
+def findings(fields: DataFrame, vendors: DataFrame, checks: DataFrame) -> DataFrame:
+    """The checks that documents fail: doc_id, ordinal, kind, severity, field, citation, explanation, source.
+
+    vendors has doc_id and category, a row per document to judge; fields is the long table, gathered by document in one aggregate and judged
+    as in judged()."""
+    own = fields.groupBy("doc_id").agg(F.collect_list(F.struct("name", "v_text", "v_num", "v_bool", "currency")).alias("fields"))
+    docs = judged(vendors.select("doc_id", "category").join(own, "doc_id", "left"), checks)
+    found = docs.select("doc_id", F.explode("findings").alias("f"))
     return found.select("doc_id", "f.ordinal", F.lit("policy_deviation").alias("kind"), "f.severity", "f.field", "f.citation", "f.explanation", F.lit("rules").alias("source"))
 
 
@@ -110,7 +131,7 @@ def recorded(findings_: DataFrame, agents: DataFrame) -> DataFrame:
     behind any check, in the order of their texts."""
     order = Window.partitionBy("doc_id").orderBy("citation", "field", "explanation", "severity", "kind")
     own = agents.join(findings_.select("doc_id").distinct(), "doc_id", "left_anti")
-    own = own.withColumns({"ordinal": F.lit(CHECKS_AT_MOST) + F.row_number().over(order), "source": F.lit("agent")})
+    own = own.withColumns({"ordinal": F.lit(AGENT_FROM) + F.row_number().over(order), "source": F.lit("agent")})
     return findings_.unionByName(own.select(*findings_.columns))
 
 

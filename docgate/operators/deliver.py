@@ -35,10 +35,14 @@ def items_to_open(decisions: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def resolved(items: DataFrame, actions: DataFrame) -> DataFrame:
-    """items after actions (decision_id, action, corrections, resolved_by, resolved_at): an open one becomes approved or
-    rejected, others stay as they are. The decision itself isn't touched."""
-    last = actions.groupBy("decision_id").agg(F.max_by(F.struct("action", "corrections", "resolved_by", "resolved_at"), "resolved_at").alias("a"))
-    both = items.drop("human_corrections", "resolved_by", "resolved_at").join(last, "decision_id", "left")
+    """items after actions (decision_id, action, corrections, resolved_by, resolved_at): an open one becomes approved or rejected by the
+    first action on it, which closes it; later actions change nothing, nor does any on an item that isn't open. Of actions at one time
+    one that doesn't approve comes first, then by who acted; an action without a time comes last. The decision itself isn't touched."""
+    kept = F.struct("action", "corrections", "resolved_by", "resolved_at")
+    approves = F.coalesce(F.col("action") == "approve", F.lit(False))
+    order = F.struct(F.col("resolved_at").isNull(), "resolved_at", approves, F.coalesce("resolved_by", F.lit("")))
+    first = actions.groupBy("decision_id").agg(F.min_by(kept, order).alias("a"))
+    both = items.drop("human_corrections", "resolved_by", "resolved_at").join(first, "decision_id", "left")
     acts = (F.col("state") == "open") & F.col("a").isNotNull()
     state = F.when(acts, F.when(F.col("a.action") == "approve", "approved").otherwise("rejected")).otherwise(F.col("state"))
     return both.select(

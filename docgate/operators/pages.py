@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgate import fixed
 from docgate.functions.amounts import page_tokens
-from docgate.functions.personal import mask_all, plain
+from docgate.functions.personal import mask_all, plain, suspect
 
 PAGE = "struct<number:int,kind:string,text:string,image_path:string,width:int,height:int>"
 
@@ -58,8 +58,7 @@ def masked(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     The pages of a document go through one function together, without a shuffle; those of documents that hold neither a digit nor
     an @, and so nothing to mask, stay in the JVM."""
     texts = F.transform("pages", lambda p: p["text"])
-    suspect = F.exists(texts, lambda t: F.coalesce(t.rlike(r"(?U)[\d@]"), F.lit(False)))
-    out = docs.drop("redactions").withColumn("_m", mask_all(F.when(suspect, texts)))
+    out = docs.drop("redactions").withColumn("_m", mask_all(F.when(F.exists(texts, suspect), texts)))
     new = F.coalesce("_m.texts", F.transform(texts, plain))
     pages = F.transform("pages", lambda p, i: p.withField("text", F.get(new, i)))
     return out.withColumns({"pages": pages, "redactions": F.coalesce("_m.counts", F.create_map().cast("map<string,int>"))}).drop("_m")

@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgate import fixed
-from docgate.functions.similarity import could_reach, ratio, sorted_words, token_sort_ratio
+from docgate.functions.similarity import could_reach, ratio, similarity, sorted_words, token_sort_ratio
 from docgate.functions.text import company_form, registration_form
+from docgate.plans.tables import kept
 
-#: Registry labels that go to every task at a time.
-LABELS = 50_000
+#: The least similarities (0 to 1) that are looked for by common bigrams, one after the other; what they leave is compared in cells.
+BIGRAM_STEPS = (fixed.MIN_MATCH, 2 / 3)
+#: Names and labels of a cell, where all are compared.
+CELL = 2_000
+_SLACK = 1e-9
 
 
 def labels(registry: DataFrame) -> DataFrame:
@@ -26,49 +30,100 @@ def labels(registry: DataFrame) -> DataFrame:
     )
 
 
-def _best(known: list[tuple], k: int):
-    """For each form of a batch the k best of the labels `known` (sorted form, place, vendor_id, vendor_name). Labels whose length
-    rules them out aren't compared."""
+def _bigrams(forms: DataFrame) -> DataFrame:
+    """words, gram, n: the bigrams of each text, with marks at both ends, numbered among equal ones, and the length of the text."""
+    padded = F.concat(F.lit("\u0002"), "words", F.lit("\u0003"))
+    n = F.char_length("words")
+    each = forms.select("words", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(padded, i, F.lit(2)))).alias("gram"))
+    each = each.groupBy("words", "n", "gram").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    each = each.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return each.select("words", "n", F.struct("gram", "nth").alias("gram"))
+
+
+def _rare_first(grams: DataFrame, common: DataFrame, least: float) -> DataFrame:
+    """Of each text's bigrams the rarest ones, so many that another text of the similarity has one of them among its own.
+
+    Two texts of n and m letters with a common subsequence of L have 3 L - n - m + 1 bigrams in common, as a letter that only one of them has
+    spoils two of its own bigrams and one of the other's. With 2 L >= least (n + m) that is (n + m) (1.5 least - 1) + 1 and more; m is
+    n least / (2 - least) at least. Of n + 1 bigrams in one order, all but so many less one can miss."""
+    fewest = F.ceil(F.col("n") * (least / (2 - least)) - _SLACK)
+    shared = F.ceil((F.col("n") + fewest) * (1.5 * least - 1) + 1 - _SLACK)
+    ranked = grams.join(common, "gram")
+    place = F.row_number().over(Window.partitionBy("words").orderBy("texts", "gram"))
+    return ranked.withColumn("place", place).filter(F.col("place") <= F.col("n") + 2 - shared).select("words", "n", "gram")
+
+
+def near_names(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """words, other, score of all pairs of a text of `asked` and one of `known` (both: bigrams, as of _bigrams()) that are similar to `least`,
+    which is two thirds or more. Texts are compared that share one of their rarest bigrams and whose lengths allow it."""
+    if not 2 / 3 <= least <= 1:
+        raise ValueError("bigrams find similarities of two thirds and more")
+    common = asked.select("gram").unionAll(known.select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    left = _rare_first(asked, common, least)
+    right = _rare_first(known, common, least).withColumnsRenamed({"words": "other", "n": "m"})
+    fits = 2.0 * F.least("n", "m") >= least * (F.col("n") + F.col("m")) - _SLACK
+    pairs = left.join(right, "gram").filter(fits).select("words", "other").distinct()
+    return pairs.withColumn("score", similarity(F.col("words"), F.col("other")) / 100.0).filter(F.col("score") >= least)
+
+
+def _cell(asked: pd.DataFrame, known: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each text of a cell the k most similar labels. Labels whose length rules them out aren't compared."""
     by_length: dict[int, list[tuple]] = {}
-    for label in known:
+    for label in zip(known["other"], known["ordinal"], known["nth"], strict=True):
         by_length.setdefault(len(label[0]), []).append(label)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for form, words in zip(batch["query_form"], batch["words"], strict=True):
-                n, best = len(words), []
-                reach = {m: 200.0 * min(n, m) / (n + m) if n + m else 100.0 for m in by_length}
-                for m in sorted(by_length, key=lambda m: (-reach[m], m)):
-                    if len(best) >= k and reach[m] < -best[k - 1][0]:
-                        break
-                    best += [(-ratio(words, label[0]), *label[1:]) for label in by_length[m]]
-                    best = sorted(best)[:k]
-                out += [(form, -score / 100.0, *rest) for score, *rest in best]
-            yield pd.DataFrame(out, columns=["query_form", "score", "ordinal", "nth", "vendor_id", "vendor_name"])
-
-    return run
+    out = []
+    for words in asked["words"]:
+        n, best = len(words), []
+        reach = {m: 200.0 * min(n, m) / (n + m) if n + m else 100.0 for m in by_length}
+        for m in sorted(by_length, key=lambda m: (-reach[m], m)):
+            if len(best) >= k and reach[m] < -best[k - 1][0]:
+                break
+            best = sorted(best + [(-ratio(words, label[0]), *label[1:], label[0]) for label in by_length[m]])[:k]
+        out += [(words, other, -score / 100.0) for score, _, _, other in best]
+    return pd.DataFrame(out, columns=["words", "other", "score"])
+
+
+def _in_cells(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """words, other, score of the k most similar labels (other, ordinal, nth) of each text, by comparison with all: texts and labels are
+    dealt to rows and columns of cells, and each cell is one group of CELL of both at most, as hashes deal."""
+    rows, columns = (max(1, -(-df.count() // (CELL // 2))) for df in (asked, known))
+    dealt = lambda text, n: F.pmod(F.xxhash64(text), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("words", dealt("words", rows).alias("row"), every(columns).alias("column"))
+    right = known.select("other", "ordinal", "nth", dealt("other", columns).alias("column"), every(rows).alias("row"))
+    cells = left.groupBy("row", "column").cogroup(right.groupBy("row", "column"))
+    return cells.applyInPandas(lambda a, b: _cell(a, b, k), "words string, other string, score double")
 
 
 def names_against_registry(queries: DataFrame, registry: DataFrame, k: int = 3) -> DataFrame:
     """The k best labels of each query (query_id, name): query_id, rank, vendor_id, vendor_name, score (0 to 1).
 
-    Each distinct name is compared once with the labels, which go to the tasks in blocks of LABELS, one after the other where the
-    registry has more. Ties go to the label that stands first. A null name takes no part; no rows give no rows."""
-    spark = queries.sparkSession
-    known = labels(registry).select(sorted_words(F.col("form")).alias("words"), "place.*", "vendor_id", "vendor_name")
-    blocks = -(-known.count() // LABELS)
-    forms = queries.filter("name is not null").select("query_id", company_form(F.col("name")).alias("query_form"))
-    asked = forms.select("query_form").distinct().withColumn("words", sorted_words(F.col("query_form")))
-    schema = "query_form string, score double, ordinal int, nth int, vendor_id string, vendor_name string"
-    found = spark.createDataFrame([], schema)
-    for block in range(blocks):
-        part = known.filter(F.pmod(F.xxhash64("words", "ordinal", "nth"), F.lit(blocks)) == block) if blocks > 1 else known
-        rows = [tuple(r) for r in part.collect()]  # about LABELS rows
-        found = found.unionByName(asked.mapInPandas(_best(rows, k), schema))
-    order = Window.partitionBy("query_form").orderBy(F.desc("score"), "ordinal", "nth")
-    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return forms.join(best, "query_form").select("query_id", "rank", "vendor_id", "vendor_name", "score")
+    Each distinct name is compared once. Names that have k labels of a similarity of BIGRAM_STEPS are settled by a join on rare bigrams,
+    which finds all such labels; only the others are compared with all labels, in cells, so that the closest is known however far
+    it is. Labels never pass the driver. Ties go to the label that stands first. A null name takes no part; no rows give no rows."""
+    known = kept(labels(registry).select(sorted_words(F.col("form")).alias("other"), "place.*", "vendor_id", "vendor_name"), "labels")
+    forms = queries.filter("name is not null").select("query_id", sorted_words(company_form(F.col("name"))).alias("words"))
+    rest = kept(forms.select("words").distinct(), "names")
+    asked_grams = kept(_bigrams(rest), "name_bigrams")
+    known_grams = kept(_bigrams(known.select(F.col("other").alias("words")).distinct()), "label_bigrams")
+    order = Window.partitionBy("words").orderBy(F.desc("score"), "ordinal", "nth")
+    best = None
+    for least in (*BIGRAM_STEPS, None):
+        if rest.isEmpty():
+            break
+        if least is None:
+            pairs = _in_cells(rest, known.groupBy("other").agg(F.min(F.struct("ordinal", "nth")).alias("first")).select("other", "first.*"), k)
+        else:
+            pairs = near_names(asked_grams.join(rest, "words", "left_semi"), known_grams, least)
+        ranked = pairs.join(known, "other").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        ranked = kept(ranked.select("words", "rank", "vendor_id", "vendor_name", "score"), "ranked")
+        if least is not None:
+            settled = ranked.filter(F.col("rank") == k).select("words")
+            ranked, rest = ranked.join(settled, "words", "left_semi"), kept(rest.join(settled, "words", "left_anti"), "names")
+        best = ranked if best is None else best.unionByName(ranked)
+    if best is None:
+        best = queries.sparkSession.createDataFrame([], "words string, rank int, vendor_id string, vendor_name string, score double")
+    return forms.join(best, "words").select("query_id", "rank", "vendor_id", "vendor_name", "score")
 
 
 def agreement(pairs: DataFrame, name: str, form: str, threshold: float) -> DataFrame:
@@ -77,15 +132,15 @@ def agreement(pairs: DataFrame, name: str, form: str, threshold: float) -> DataF
     return pairs.filter(could_reach(a, b, 100 * threshold)).withColumn("score", token_sort_ratio(a, b) / 100.0).filter(F.col("score") >= threshold)
 
 
-def resolve(queries: DataFrame, registry: DataFrame, threshold: float = fixed.MIN_MATCH) -> DataFrame:
+def resolve(queries: DataFrame, registry: DataFrame, threshold: float = fixed.MIN_MATCH, k: int = 3) -> DataFrame:
     """query_id, vendor_id, score, matched_on, runners_up of each query (query_id, name, registration_id).
 
     matched_on is registration_id where the number is known and the name agrees (score 1), conflict where the name
     doesn't (no vendor, the agreement as score), else name from the threshold on, else none. A blank name resolves to
     nothing; an unknown number leaves the name to decide. Registration numbers are an equi-join, whose small side Spark
-    broadcasts by its size; names are compared with all labels."""
+    broadcasts by its size; of labels by name the k best are found, all but the first as runners-up."""
     blank = F.coalesce(F.trim("name"), F.lit("")) == ""
-    ranked = names_against_registry(queries.filter(~blank), registry)
+    ranked = names_against_registry(queries.filter(~blank), registry, k)
     best = ranked.groupBy("query_id").agg(
         F.max_by(F.struct("vendor_id", "score"), -F.col("rank")).alias("best"),
         F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", F.col("vendor_name").alias("name"), "score")))).alias("others"),

@@ -1,4 +1,4 @@
-"""Exact dense retrieval over a small set of clauses."""
+"""Exact retrieval: over vectors of a playbook's clauses, and over sparse postings of their words."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgate.functions.text import fold, shorten
+from docgate.plans.tables import kept
 
-#: Clauses that go to every task at a time.
-CLAUSES = 100_000
+#: Bytes of clauses' vectors that go to every task at a time.
+CLAUSE_BYTES = 32 << 20
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -22,10 +23,11 @@ def search(queries: DataFrame, clauses: DataFrame, k: int = 3) -> DataFrame:
     """The k clauses nearest to each query: query_id, rank, section, score = 1 / (1 + squared distance); ties to the smaller
     section. Queries or clauses without a vector take no part; no rows give no rows.
 
-    The clauses are a playbook; they go to the tasks in blocks of CLAUSES, one after the other where there are more.
+    The clauses are a playbook; they go to the tasks in blocks of CLAUSE_BYTES, one after the other where there are more.
     Each block keeps k rows a query before the shuffle."""
     known = clauses.filter("embedding is not null").select("section", F.col("embedding").alias("_embedding"))
-    blocks = max(1, -(-known.count() // CLAUSES))
+    size = known.agg(F.coalesce(F.sum(8 * F.size("_embedding") + F.octet_length("section") + 32), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // CLAUSE_BYTES))
     asked = queries.filter("embedding is not null").select("query_id", "embedding")
     near = None
     for block in range(blocks):
@@ -43,29 +45,80 @@ def terms(text: Column) -> Column:
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
-def embedded(texts: DataFrame, key: str, corpus: DataFrame, text: str = "text", dim: int = 256) -> DataFrame:
-    """key and embedding of each row: hashed TF-IDF of length 1. Terms are hashed to `dim` places; a place's weight is one more
-    than the logarithm of (1 + documents) / (1 + documents that have it), over `corpus`. A text without terms, or null, gets zeros.
-
-    Used where no other embedding is at hand: a query is embedded with the weights of the clauses that it is asked of."""
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_places", F.transform(terms(F.coalesce(F.col(text), F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
-
-    held = placed(corpus).select(F.explode(F.array_distinct("_places")).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-    total = corpus.count()
-    weight = {r.place: math.log((1 + total) / (1 + r.n)) + 1 for r in held.collect()}  # dim rows at most
-    idf = F.array(*[F.lit(weight.get(i, math.log(1 + total) + 1)) for i in range(dim)])
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("_places", lambda p: p == i)).cast("double"))
-    raw = placed(texts).withColumn("_raw", F.zip_with(counts, idf, lambda n, w: n * w))
-    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
-    return raw.withColumn("_length", length).select(key, F.transform("_raw", lambda x: F.when(F.col("_length") > 0, x / F.col("_length")).otherwise(0.0)).alias("embedding"))
-
-
-def search_text(queries: DataFrame, clauses: DataFrame, k: int = 3, dim: int = 256) -> DataFrame:
-    """search() by what is asked in words: queries has query_id and text, clauses section, title and body."""
+def weights(clauses: DataFrame) -> tuple[DataFrame, int]:
+    """term, idf over the clauses (section, text): one more than the logarithm of (1 + clauses) / (1 + those that have the term); and the
+    number of clauses."""
+    total = clauses.select("section").distinct().count()
+    held = clauses.select("section", F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).distinct()
+    return held.groupBy("term").agg((F.log((1 + F.lit(total)) / (1.0 + F.count(F.lit(1)))) + 1).alias("idf")), total
+
+
+def postings(texts: DataFrame, key: str, idf: DataFrame, total: int) -> DataFrame:
+    """key, term, weight: a text's terms by TF-IDF, each text's weights of length 1. Terms that no clause has count as held by none."""
+    counts = texts.select(key, F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("times"))
+    raw = counts.join(idf, "term", "left").withColumn("raw", F.col("times") * F.coalesce("idf", F.lit(math.log(1 + total) + 1)))
+    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
+    return raw.join(length, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
+
+
+def _top(rows: DataFrame, group: str, by: Column, k: int, *ties: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(group).orderBy(by, *ties))
+    return rows.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def nearest_by_terms(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """query_id, section, near (the sum of products of weights): the k clauses nearest to each query, of those that share a term with it; equal to
+    nine digits, the smaller section. asked and known are postings, by query_id and by section.
+
+    Term at a time, with bounds. For each term the k clauses of most weight are known; what queries get from these alone has a k-th
+    largest sum, which is a threshold for the k-th result. A query's terms that together can't reach the threshold, from the least on,
+    find no candidates, so the terms that all texts have are joined for candidates alone, and of those only for the ones that can
+    still reach it."""
+    heads = kept(_top(known, "term", F.desc("weight"), k, "section").drop("rank"), "heads")
+    most = heads.groupBy("term").agg(F.max("weight").alias("most"))
+    met = asked.join(most, "term").withColumn("most", F.col("weight") * F.col("most"))
+    sums = met.join(heads.withColumnRenamed("weight", "own"), "term").groupBy("query_id", "section").agg(F.sum(F.col("weight") * F.col("own")).alias("sum"))
+    # Sums of floating numbers in another order differ by less than the slack
+    least = _top(sums, "query_id", F.desc("sum"), k).filter(F.col("rank") == k).select("query_id", (F.col("sum") * (1 - 1e-9) - 1e-9).alias("least"))
+    rising = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.join(least, "query_id", "left").withColumns({"least": F.coalesce("least", F.lit(-1.0)), "below": F.sum("most").over(rising)})
+    rest = F.coalesce(F.max(F.when(F.col("below") < F.col("least"), F.col("below"))).over(Window.partitionBy("query_id")), F.lit(0.0))
+    met = kept(met.withColumns({"left_out": F.col("below") < F.col("least"), "rest": rest}).drop("most", "below"), "met")
+    by_clause = known.withColumnRenamed("weight", "own")
+    found = met.filter("not left_out").join(by_clause, "term").groupBy("query_id", "section")
+    found = found.agg(F.sum(F.col("weight") * F.col("own")).alias("near"), F.first("least").alias("least"), F.first("rest").alias("rest"))
+    found = kept(found.filter(F.col("near") + F.col("rest") >= F.col("least")).select("query_id", "section", "near"), "candidates")
+    more = found.select("query_id", "section").join(met.filter("left_out").select("query_id", "term", "weight"), "query_id")
+    more = more.join(by_clause, ["section", "term"]).select("query_id", "section", (F.col("weight") * F.col("own")).alias("near"))
+    scored = found.unionByName(more).groupBy("query_id", "section").agg(F.round(F.sum("near"), 9).alias("near"))
+    return _top(scored, "query_id", F.desc("near"), k, "section").drop("rank")
+
+
+def search_text(queries: DataFrame, clauses: DataFrame, k: int = 3) -> DataFrame:
+    """search() by what is asked in words, where no embedding is at hand: queries has query_id and text, clauses section, title and body.
+
+    Texts are compared by TF-IDF of their words and pairs of words, weighed over the clauses. Clauses that share no term with a query are
+    as far from it as any text can be; they come after the others by section, one without a term before those that have some. A query
+    without a term (or null) is next to clauses without one. Sections are distinct. No clauses or no queries give no rows."""
     said = clauses.select("section", F.concat_ws(" ", "title", "body").alias("text"))
-    return search(embedded(queries, "query_id", said, dim=dim), embedded(said, "section", said, dim=dim), k)
+    idf, total = weights(said)
+    idf = kept(idf, "idf")
+    known = kept(postings(said, "section", idf, total), "postings")
+    asked = kept(postings(queries.select("query_id", "text"), "query_id", idf, total), "asked")
+    near = nearest_by_terms(asked, known, k)
+    # What a query shares no term with: of each sort the first 2 k sections do, since k of them at most are among the near ones
+    wordy = known.select("section").distinct().withColumn("wordy", F.lit(1))
+    sorts = said.select("section").distinct().join(wordy, "section", "left").withColumn("wordy", F.coalesce("wordy", F.lit(0)))
+    fill = [(r.section, float(r.wordy)) for r in _top(sorts, "wordy", F.col("section"), 2 * k).collect()]
+    if not fill:
+        return queries.sparkSession.createDataFrame([], "query_id long, rank int, section string, score double")
+    fill = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(wordy).alias("wordy")) for section, wordy in fill])
+    own = asked.select("query_id").distinct().withColumn("asks", F.lit(1.0))
+    every = queries.select("query_id").distinct().join(own, "query_id", "left").withColumn("f", F.explode(fill))
+    far = every.select("query_id", "f.section", (F.coalesce("asks", F.lit(0.0)) + F.col("f.wordy")).alias("d"))
+    far = far.join(near, ["query_id", "section"], "left_anti")
+    found = near.select("query_id", "section", (2 - 2 * F.col("near")).alias("d")).unionByName(far)
+    return _top(found, "query_id", F.col("d"), k, "section").select("query_id", "rank", "section", (1 / (1 + F.col("d"))).alias("score"))
 
 
 def with_text(found: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -311,8 +311,8 @@ def dni_letters(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), personal.dni(value).alias("valid"))
 
 
-def _order_fields(spark, sf_dir) -> DataFrame:
-    """orders as the long table of fields."""
+def _order_docs(spark, sf_dir) -> DataFrame:
+    """orders as documents with their fields, and what else routing needs, judged by the checks."""
     o = _t(spark, sf_dir, "orders")
     law = F.when(F.col("o_orderstatus") == "O", "German law").when(F.col("o_orderstatus") == "F", "New South Wales, Australia")
     none = lambda kind: F.lit(None).cast(kind)
@@ -336,13 +336,16 @@ def _order_fields(spark, sf_dir) -> DataFrame:
         field("effective_date", v_text=F.date_format("o_orderdate", "yyyy-MM-dd")),
         field("termination_notice_days", v_num=F.col("o_custkey") % 100),
     )
-    each = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", "f.*")
-    return each.withColumns({"confidence": F.when(F.col("doc_id") % 7 == 0, 0.5).otherwise(0.9), "prov_status": F.when(F.coalesce(F.col("v_text"), F.col("v_num").cast("string"), F.col("v_bool").cast("string")).isNull(), "absent").otherwise("verified")})
-
-
-def _order_findings(spark, sf_dir) -> DataFrame:
-    vendors = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("goods").alias("category"))
-    return checks.findings(_order_fields(spark, sf_dir), vendors, checks.load_checks(spark))
+    docs = o.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.lit("goods").alias("category"),
+        fields.alias("fields"),
+        F.when(F.col("o_orderkey") % 11 == 0, "other").otherwise("contract").alias("document_kind"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey").cast("string")).alias("counterparty_id"),
+        F.lit(0.5).alias("counterparty_score"),
+        F.when(F.col("o_custkey") % 3 == 0, "suspended").otherwise("approved").alias("counterparty_status"),
+    )
+    return checks.judged(docs, checks.load_checks(spark))
 
 
 _FINDINGS_SQL = """found AS (
@@ -358,7 +361,8 @@ _FINDINGS_SQL = """found AS (
 
 @query(f"WITH {_FINDINGS_SQL} SELECT * FROM found")
 def threshold_findings(spark, sf_dir):
-    return _order_findings(spark, sf_dir).select("doc_id", "field", "citation", "severity")
+    """A row per check that an order fails: fields stay with their order, only findings are exploded."""
+    return _order_docs(spark, sf_dir).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.field", "f.citation", "f.severity")
 
 
 @query(
@@ -372,19 +376,15 @@ def threshold_findings(spark, sf_dir):
   SELECT doc_id, CAST(n_reasons AS INTEGER) AS n_reasons, CASE WHEN n_reasons = 0 THEN 'auto_approved' WHEN other THEN 'rejected' ELSE 'needs_review' END AS route FROM r"""
 )
 def route_decisions(spark, sf_dir):
-    found = _order_findings(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "severity", "field", "citation", "explanation"))).alias("findings"))
-    stated = F.coalesce(F.col("v_text"), F.col("v_num").cast("string"), F.col("v_bool").cast("string")).isNotNull()
-    fields = _order_fields(spark, sf_dir).withColumn("has_value", stated)
-    fields = fields.groupBy("doc_id").agg(F.collect_list(F.struct("name", "has_value", "confidence", "prov_status")).alias("fields"))
-    o = _t(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("doc_id"),
-        F.when(F.col("o_orderkey") % 11 == 0, "other").otherwise("contract").alias("document_kind"),
-        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey").cast("string")).alias("counterparty_id"),
-        F.lit(0.5).alias("counterparty_score"),
-        F.when(F.col("o_custkey") % 3 == 0, "suspended").otherwise("approved").alias("counterparty_status"),
-    )
-    none = F.array().cast("array<struct<ordinal:int,severity:string,field:string,citation:string,explanation:string>>")
-    evidence = o.join(found, "doc_id", "left").join(fields, "doc_id").withColumn("findings", F.coalesce("findings", none))
+    """Orders by the rules, from fields and findings in their own row."""
+    confidence = F.when(F.col("doc_id") % 7 == 0, 0.5).otherwise(0.9)
+
+    def weighed(f: Column) -> Column:
+        stated = f["v_text"].isNotNull() | f["v_num"].isNotNull() | f["v_bool"].isNotNull()
+        status = F.when(stated, "verified").otherwise("absent")
+        return F.struct(f["name"].alias("name"), stated.alias("has_value"), confidence.alias("confidence"), status.alias("prov_status"))
+
+    evidence = _order_docs(spark, sf_dir).withColumn("fields", F.transform("fields", weighed))
     return rules.decide(evidence).select("doc_id", F.size("reasons").alias("n_reasons"), "route")
 
 
@@ -542,7 +542,7 @@ def stream_intake(spark, sf_dir):
     batch_rows = _t(spark, sf_dir, "events")
     stream = lambda: spark.readStream.schema(batch_rows.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     for run in ("a", "b"):
-        running = start_intake(stream(), f"{folder}/events", f"{folder}/checkpoint-{run}", "event_id", "long", {"availableNow": True})
+        running = start_intake(stream(), f"{folder}/events", f"{folder}/checkpoint-{run}", "event_id", "ts", trigger={"availableNow": True})
         running.awaitTermination()
         if running.exception():
             raise AnalysisException(str(running.exception()))
@@ -567,11 +567,28 @@ def stream_retries(spark, sf_dir):
     return intake.latest_of_each(spark.read.parquet(f"{folder}/out").drop("batch"), ["id"], "n").select("id", "n", "status", "attempts")
 
 
+@query(
+    f"""WITH first AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text),
+  {_TRIAGE_SQL.replace("FROM documents JOIN begun ON i = doc_id %", "FROM documents JOIN first USING (doc_id) JOIN begun ON i = 0 * doc_id %")}
+  SELECT kind, count(*) AS documents FROM judged GROUP BY 1"""
+)
+def flagship_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of flagship that SQL can express: how many documents of each kind."""
+    return flagship(spark, sf_dir).select("kind", "documents")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents: first of each content, classified, masked, and counted by kind and what was masked."""
+    """documents: first of each content, classified, masked, and counted by kind and what was masked. Texts that are null are one content.
+
+    Which document of a content is the first is found on digests; texts move to be dealt evenly where the scan has fewer tasks than cores."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "text")
-    first = docs.groupBy("sha256").agg(F.min("doc_id").alias("doc_id"))  # texts stay where they are
-    kinds = triage.classify(docs.join(first, ["sha256", "doc_id"], "left_semi")).withColumn("m", personal.mask("text"))
+    first = docs.groupBy("sha256").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("sha256", "first_sha256")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("sha256").eqNullSafe(F.col("first_sha256"))
+    texts = docs.join(first, same, "left_semi")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a file of few row groups
+        texts = texts.repartition(4 * cores, "doc_id")
+    kinds = triage.classify(texts).withColumn("m", personal.mask("text"))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("m.counts")).alias("masked_categories"))
 
 

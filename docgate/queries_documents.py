@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgate.operators import checks
 from docgate.plans import documents
+from docgate.plans.store import Store
+from docgate.plans.tables import new_folder
 from docgate.registered import query
 from docgate.registered import table as _t
 
@@ -34,12 +37,20 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, documents.Inpu
         text.alias("first_page_text"),
         text.alias("text"),
     )
-    recorded = c.filter(last != 4).select(
+    turn = F.floor(F.col("id") / 10) % 4
+    error = F.when(turn == 0, "RefusalError").when(turn == 1, "BudgetExceededError").when(turn == 2, "KeyError").otherwise("TruncatedError")
+    failed = (last == 6) & (F.col("attempt") == 0)
+    tries = c.withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1))))
+    recorded = tries.filter((last != 4) & ((F.col("attempt") == 0) | ((last == 6) & (turn == 3)))).select(
         "id",
-        F.when(last == 5, "other").otherwise("contract").alias("document_kind"),
-        F.when(last == 6, "Refused").alias("error_class"),
-        F.lit(False).alias("retryable"),
+        "attempt",
+        F.when(~failed, F.when(last == 5, "other").otherwise("contract")).alias("document_kind"),
+        F.when(failed, error).alias("error_class"),
+        F.when(failed, "no").alias("message"),
+        F.lit(0.01).alias("usd"),
     )
+    runs = tries.filter(F.when(F.col("attempt") == 0, F.col("id") % 17 != 0).otherwise(F.col("id") % 34 == 0))
+    runs = runs.select("id", "attempt", F.when(F.col("id") % 17 == 1, "RefusalError").alias("error_class"), F.lit("no").alias("message"), F.lit(0.1).alias("usd"))
     none = lambda kind: F.lit(None).cast(kind)
 
     def field(name: str, quote, v_text=None, v_num=None, currency=None):
@@ -82,50 +93,43 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, documents.Inpu
     status = c.select(
         "id", F.lit("received").alias("status"), none("string").alias("status_reason"), F.lit(0).alias("attempts"), none("timestamp").alias("retry_after"), F.to_timestamp(F.lit("1995-01-01")).alias("updated_at")
     )
-    return status, documents.Inputs(files, recorded, long, registry, agents, checks.load_checks(spark))
-
-
-#: What a pass has written, by application and folder: several queries report on one.
-_passes: dict[tuple[str, str], documents.Results] = {}
-
-
-def _processed(spark: SparkSession, sf_dir: str) -> documents.Results:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _passes:
-        try:
-            _passes[key].status.limit(1).collect()
-            return _passes[key]
-        except PySparkException:  # its tables have been deleted
-            del _passes[key]
-    _passes[key] = _process(spark, sf_dir)
-    return _passes[key]
+    return status, documents.Inputs(files, recorded, long, registry, runs, agents, checks.load_checks(spark))
 
 
-def _process(spark: SparkSession, sf_dir: str) -> documents.Results:
+def _processed(spark: SparkSession, sf_dir: str, until: str = "deliver") -> Store:
+    """A new store after one pass of the stages up to the one named."""
     status, inputs = _inputs(spark, sf_dir)
-    nothing = spark.createDataFrame([], "decision_id long")
-    return documents.process(status, inputs, F.to_timestamp(F.lit(_NOW)), nothing, nothing)
+    store = Store(spark, new_folder(spark, "intake"))
+    documents.begin(store, status)
+    documents.process(store, inputs, F.to_timestamp(F.lit(_NOW)), until)
+    return store
 
 
-_FOUND_SQL = """own AS (SELECT c_custkey AS id, c_custkey % 10 AS last, CASE WHEN c_custkey % 60 > 45 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 40 > 24 THEN 1 ELSE 0 END AS n FROM customer),
-  judged AS (SELECT *, CASE WHEN n = 0 AND id % 13 = 0 THEN 1 ELSE 0 END AS a FROM own),
-  weighed AS (SELECT *, n + a + CASE WHEN id % 3 = 0 OR id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 THEN 2 ELSE 0 END AS reasons FROM judged)"""
+_OWN_SQL = """own AS (SELECT c_custkey AS id, c_custkey % 10 AS last, (c_custkey // 10) % 4 AS turn,
+    CASE WHEN c_custkey % 60 > 45 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 40 > 24 THEN 1 ELSE 0 END AS n FROM customer)"""
+
+_FOUND_SQL = f"""{_OWN_SQL},
+  judged AS (SELECT *, CASE WHEN n = 0 AND id % 13 = 0 THEN 1 ELSE 0 END AS a,
+    CASE WHEN last < 4 OR last = 5 THEN 'rejected' WHEN last = 4 THEN 'loaded'
+      WHEN last = 6 THEN CASE turn WHEN 0 THEN 'rejected' WHEN 3 THEN 'loaded' ELSE 'dead' END
+      WHEN n = 0 AND id % 17 = 0 THEN 'extracted' WHEN n = 0 AND id % 17 = 1 THEN 'rejected' ELSE 'delivered' END AS state FROM own),
+  weighed AS (SELECT *, state = 'delivered' AS ok, n + a + CASE WHEN id % 3 = 0 OR id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 THEN 2 ELSE 0 END AS reasons FROM judged)"""
 
 
 @query(
-    f"""WITH {_FOUND_SQL} SELECT id, CASE WHEN last < 4 OR last = 5 THEN 'rejected' WHEN last = 4 THEN 'loaded' WHEN last = 6 THEN 'dead' ELSE 'delivered' END AS status,
-  CASE WHEN last IN (4, 6) THEN 1 ELSE 0 END AS attempts, CASE WHEN last = 4 THEN TIMESTAMP '{_NOW} 00:00:30' END AS retry_after,
-  CASE WHEN last < 7 THEN NULL WHEN reasons = 0 THEN 'auto_approved' ELSE 'needs_review' END AS route,
-  CASE WHEN last > 6 THEN CAST(reasons AS INTEGER) ELSE 0 END AS reasons, last > 6 AND reasons = 0 AS filed, last > 6 AND reasons > 0 AS queued,
-  CASE WHEN last > 6 AND reasons = 0 THEN 8 ELSE 0 END AS keys FROM weighed"""
+    f"""WITH {_FOUND_SQL} SELECT id, state AS status, CASE WHEN state IN ('loaded', 'extracted', 'dead') THEN 1 ELSE 0 END AS attempts,
+  CASE WHEN state IN ('loaded', 'extracted') THEN TIMESTAMP '{_NOW} 00:00:30' END AS retry_after,
+  CASE WHEN NOT ok THEN NULL WHEN reasons = 0 THEN 'auto_approved' ELSE 'needs_review' END AS route,
+  CASE WHEN ok THEN CAST(reasons AS INTEGER) ELSE 0 END AS reasons, ok AND reasons = 0 AS filed, ok AND reasons > 0 AS queued,
+  CASE WHEN ok AND reasons = 0 THEN 8 ELSE 0 END AS keys FROM weighed"""
 )
 def intake_end_to_end(spark, sf_dir):
     """Where every file ends: its state, attempts and next try, route, number of reasons, and what was delivered."""
     r = _processed(spark, sf_dir)
-    filed = r.contracts.select(F.col("decision_id").alias("id"), F.size("payload").alias("keys"))
-    queued = r.items.select(F.col("decision_id").alias("id"), F.lit(True).alias("queued"))
-    decided = r.decisions.select("id", "route", F.size("reasons").alias("reasons"))
-    out = r.status.select("id", "status", "attempts", "retry_after").join(decided, "id", "left").join(filed, "id", "left").join(queued, "id", "left")
+    filed = r.read("contracts").select(F.col("decision_id").alias("id"), F.size("payload").alias("keys"))
+    queued = r.read("items").select(F.col("decision_id").alias("id"), F.lit(True).alias("queued"))
+    decided = r.read("decisions").select("id", "route", F.size("reasons").alias("reasons"))
+    out = r.read("status", "id").select("id", "status", "attempts", "retry_after").join(decided, "id", "left").join(filed, "id", "left").join(queued, "id", "left")
     return out.withColumns(
         {"filed": F.col("keys").isNotNull(), "queued": F.coalesce("queued", F.lit(False)), "reasons": F.coalesce("reasons", F.lit(0)), "keys": F.coalesce("keys", F.lit(0))}
     )
@@ -133,35 +137,41 @@ def intake_end_to_end(spark, sf_dir):
 
 @query(
     f"""WITH {_FOUND_SQL} SELECT id, CASE last WHEN 0 THEN 'not accepted: zip' WHEN 1 THEN 'empty' WHEN 2 THEN 'invoice: invoice, amount due, subtotal'
-  WHEN 3 THEN 'no page has text or an image' WHEN 5 THEN 'read as other' WHEN 4 THEN NULL WHEN 6 THEN NULL
-  ELSE CASE WHEN reasons = 0 THEN 'filed' ELSE 'queued for review' END END AS status_reason FROM weighed"""
+  WHEN 3 THEN 'no page has text or an image' WHEN 5 THEN 'read as other' WHEN 4 THEN 'NoExtraction: no call is recorded'
+  WHEN 6 THEN CASE turn WHEN 0 THEN 'the model declined to read this: no' WHEN 1 THEN 'BudgetExceededError: no' WHEN 2 THEN 'KeyError: no' ELSE 'TruncatedError: no' END
+  ELSE CASE state WHEN 'extracted' THEN 'NoAgentRun: no call is recorded' WHEN 'rejected' THEN 'the model declined to review this: no'
+    ELSE CASE WHEN reasons = 0 THEN 'filed' ELSE 'queued for review' END END END AS status_reason FROM weighed"""
 )
 def intake_reasons(spark, sf_dir):
     """Why each file is where it is."""
-    return _processed(spark, sf_dir).status.select("id", "status_reason")
+    return _processed(spark, sf_dir).read("status", "id").select("id", "status_reason")
 
 
-@query("SELECT c_custkey AS id, 'extract' AS stage, 'Refused' AS error_class, 1 AS attempts FROM customer WHERE c_custkey % 10 = 6")
+@query(
+    """SELECT c_custkey AS id, 'extract' AS stage, CASE WHEN (c_custkey // 10) % 4 = 1 THEN 'BudgetExceededError' ELSE 'KeyError' END AS error_class, 1 AS attempts
+  FROM customer WHERE c_custkey % 10 = 6 AND (c_custkey // 10) % 4 IN (1, 2)"""
+)
 def intake_letters(spark, sf_dir):
-    return _processed(spark, sf_dir).letters.select("id", "stage", "error_class", "attempts")
+    """Letters of what died: a refusal is rejected and leaves none, a spent budget and a fault of the code aren't tried again."""
+    return _processed(spark, sf_dir, "extract").read("letters").select("id", "stage", "error_class", "attempts")
 
 
 @query(
-    f"""WITH {_FOUND_SQL}, last_ones AS (SELECT * FROM weighed WHERE last > 6)
+    f"""WITH {_FOUND_SQL}, last_ones AS (SELECT * FROM weighed WHERE ok)
   SELECT source, severity, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'rules' AS source, 'medium' AS severity, n FROM last_ones UNION ALL SELECT 'agent', 'medium', a FROM last_ones) GROUP BY 1, 2 HAVING sum(n) > 0"""
 )
 def intake_findings(spark, sf_dir):
-    """Findings of the checks and, where these found nothing, of the agent."""
-    return _processed(spark, sf_dir).findings.groupBy("source", "severity").agg(F.count(F.lit(1)).alias("n"))
+    """Findings of the checks and, where these found nothing, of the agent, of documents that were enriched."""
+    return _processed(spark, sf_dir, "enrich").read("findings").groupBy("source", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'V' || c_custkey END AS counterparty_id,
-  CASE WHEN c_custkey % 3 = 0 THEN 'conflict' ELSE 'registration_id' END AS matched_on, c_custkey % 3 <> 0 AS sure FROM customer WHERE c_custkey % 10 > 6"""
+    f"""WITH {_FOUND_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE 'V' || id END AS counterparty_id,
+  CASE WHEN id % 3 = 0 THEN 'conflict' ELSE 'registration_id' END AS matched_on, id % 3 <> 0 AS sure FROM weighed WHERE ok"""
 )
 def intake_counterparties(spark, sf_dir):
     """Registration numbers decide, and a name that doesn't agree with the number's owner resolves to nobody."""
-    out = _processed(spark, sf_dir).enrichments
+    out = _processed(spark, sf_dir, "enrich").read("enrichments")
     return out.select("id", "counterparty_id", "matched_on", (F.col("counterparty_score") == 1).alias("sure"))
 
 
@@ -172,10 +182,78 @@ def intake_counterparties(spark, sf_dir):
 )
 def intake_verdicts(spark, sf_dir):
     """Quotes against the masked pages: numbers, dates, names and laws, stated and invented."""
-    return _processed(spark, sf_dir).fields.groupBy("name", "prov_status", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return _processed(spark, sf_dir, "extract").read("fields").groupBy("name", "prov_status", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey AS id, 1 AS page_count, CASE WHEN c_custkey % 10 = 3 THEN 0 ELSE 1 END AS text_pages, CASE WHEN c_custkey % 10 = 3 THEN 0 ELSE 1 END AS emails FROM customer WHERE c_custkey % 10 > 2")
+@query("SELECT c_custkey AS id, 1 AS page_count, 1 AS text_pages, 1 AS emails FROM customer WHERE c_custkey % 10 > 3")
 def intake_pages(spark, sf_dir):
-    """Pages of the files that passed triage, and what was masked on them."""
-    return _processed(spark, sf_dir).documents.select("id", "page_count", "text_pages", F.coalesce(F.try_element_at("redactions", F.lit("email")), F.lit(0)).alias("emails"))
+    """Pages of the files that could be loaded, and what was masked on them."""
+    return _processed(spark, sf_dir, "load").read("documents").select("id", "page_count", "text_pages", F.coalesce(F.try_element_at("redactions", F.lit("email")), F.lit(0)).alias("emails"))
+
+
+@query(
+    f"""WITH {_OWN_SQL}, ends AS (
+    SELECT *, CASE WHEN id % 29 = 0 THEN 'waits' WHEN last = 0 AND (id // 10) % 3 = 0 THEN 'was delivered' WHEN last < 4 OR last = 5 THEN 'rejected'
+      WHEN last = 4 THEN 'dead of tries' WHEN last = 6 AND turn = 0 THEN 'rejected' WHEN last = 6 AND turn IN (1, 2) THEN 'dead at once'
+      WHEN n = 0 AND id % 17 = 1 THEN 'rejected' WHEN n = 0 AND id % 17 = 0 AND id % 2 = 1 THEN 'dead of tries' ELSE 'delivered' END AS ending FROM own)
+  SELECT id, CASE WHEN ending = 'waits' THEN 'received' WHEN ending LIKE 'dead%' THEN 'dead' WHEN ending LIKE '%delivered' THEN 'delivered' ELSE ending END AS status,
+    CASE ending WHEN 'waits' THEN 1 WHEN 'dead of tries' THEN 3 WHEN 'dead at once' THEN 1 ELSE 0 END AS attempts,
+    CASE ending WHEN 'dead of tries' THEN 1 WHEN 'dead at once' THEN 1 ELSE 0 END AS letters,
+    CASE WHEN ending = 'delivered' THEN 1 ELSE 0 END AS deliveries
+  FROM ends"""
+)
+def drained_backlog(spark, sf_dir):
+    """A backlog in mixed states, drained at four times: documents that waited are tried again, end, or die after three tries; one
+    whose time doesn't come stays."""
+    status, inputs = _inputs(spark, sf_dir)
+    waits, done = F.col("id") % 29 == 0, (F.col("id") % 10 == 0) & (F.floor(F.col("id") / 10) % 3 == 0)
+    status = status.withColumns(
+        {
+            "status": F.when(~waits & done, "delivered").otherwise(F.col("status")),
+            "attempts": F.when(waits, 1).otherwise(0),
+            "retry_after": F.when(waits, F.to_timestamp(F.lit("2000-01-01"))),
+        }
+    )
+    store = Store(spark, new_folder(spark, "backlog"))
+    documents.begin(store, status)
+    documents.process(store, inputs, F.to_timestamp(F.lit(_NOW)), "load")
+    for seconds in (0, 60, 300, 600):
+        documents.drain(store, inputs, F.to_timestamp(F.lit(_NOW)) + F.make_interval(secs=F.lit(seconds)))
+    letters = store.read("letters").groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("letters"))
+    made = store.read("contracts").select("decision_id").unionAll(store.read("items").select("decision_id"))
+    made = made.groupBy(F.col("decision_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("deliveries"))
+    out = store.read("status", "id").join(letters, "id", "left").join(made, "id", "left")
+    return out.select("id", "status", "attempts", F.coalesce("letters", F.lit(0)).alias("letters"), F.coalesce("deliveries", F.lit(0)).alias("deliveries"))
+
+
+@query(
+    f"""WITH {_FOUND_SQL}
+  SELECT 'documents' AS name, count(*) AS n FROM weighed WHERE last > 3 UNION ALL SELECT 'extractions', count(*) FROM weighed WHERE last > 6
+  UNION ALL SELECT 'fields', 8 * count(*) FROM weighed WHERE last > 6 UNION ALL SELECT 'enrichments', count(*) FROM weighed WHERE ok
+  UNION ALL SELECT 'decisions', count(*) FROM weighed WHERE ok UNION ALL SELECT 'contracts', count(*) FROM weighed WHERE ok AND reasons = 0
+  UNION ALL SELECT 'items', count(*) FROM weighed WHERE ok AND reasons > 0
+  UNION ALL SELECT 'ledger', count(*) FILTER (last > 4) + count(*) FILTER (last > 6 AND id % 17 <> 0) FROM weighed
+  UNION ALL SELECT 'letters', count(*) FROM weighed WHERE state = 'dead'"""
+)
+def outputs_after_crashes(spark, sf_dir):
+    """Rows of each table after a drain that was broken off twice, before a commit and between two writes, and begun anew: each output
+    once, and each call booked once."""
+    status, inputs = _inputs(spark, sf_dir)
+    folder, seen, now = new_folder(spark, "crashed"), [], F.to_timestamp(F.lit(_NOW))
+
+    def crash(step: str) -> None:
+        seen.append(step)
+        if (step, seen.count(step)) in (("rename", 5), ("write enrichments", 1)):
+            raise InterruptedError(step)
+
+    documents.begin(Store(spark, folder), status)
+    for _ in range(3):
+        try:
+            documents.drain(Store(spark, folder, crash), inputs, now)
+            break
+        except InterruptedError:
+            continue
+    store = Store(spark, folder)
+    names = ("documents", "extractions", "fields", "enrichments", "decisions", "contracts", "items", "ledger", "letters")
+    counts = [store.read(n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
+    return functools.reduce(DataFrame.unionAll, counts)

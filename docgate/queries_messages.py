@@ -363,10 +363,45 @@ def text_search(spark, sf_dir):
     n = _t(spark, sf_dir, "nation")
     said = F.concat_ws(" ", F.lit("the"), F.lower("n_name"), F.format_string("law%d clause%d term%d", "n_nationkey", "n_nationkey", "n_nationkey"))
     clauses = n.select(F.format_string("n%d", "n_nationkey").alias("section"), F.lit("").alias("title"), said.alias("body"))
-    found = retrieval.search_text(n.select(F.col("n_nationkey").alias("query_id"), F.upper(said).alias("text")), clauses, k=1, dim=4096)
+    found = retrieval.search_text(n.select(F.col("n_nationkey").alias("query_id"), F.upper(said).alias("text")), clauses, k=1)
     return found.withColumn("score", F.round("score", 6))
 
 
+def _words_sql(text: str) -> str:
+    """Words of a text without accents and case."""
+    folded = f"replace(strip_accents(lower(replace(coalesce({text}, ''), 'ß', 'ss'))), '’', chr(39))"
+    return f"list_filter(regexp_split_to_array({folded}, '[^\\p{{L}}\\p{{N}}§]+'), lambda w: w <> '')"
+
+
+_PAIRS_SQL = "list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+
+@query(
+    f"""WITH sentences AS (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?\\n]+') AS s FROM documents)),
+  asked AS (SELECT doc_id * 100000 + i AS query_id, {_PAIRS_SQL} AS t FROM (SELECT doc_id, i, {_words_sql("s[i + 1]")} AS w FROM sentences) WHERE len(w) > 2),
+  clauses AS (SELECT 'b' || item_id AS section, {_PAIRS_SQL} AS t FROM (SELECT item_id, {_words_sql("text")} AS w FROM benchmark)),
+  held AS (SELECT section, unnest(t) AS term FROM clauses), said AS (SELECT query_id, unnest(t) AS term FROM asked),
+  n AS (SELECT count(*) AS n FROM clauses),
+  idf AS (SELECT term, ln((1 + any_value(n)) / (1.0::DOUBLE + count(DISTINCT section))) + 1 AS idf FROM held, n GROUP BY term),
+  c AS (SELECT section, term, count(*) * any_value(idf) AS raw FROM held JOIN idf USING (term) GROUP BY ALL),
+  q AS (SELECT query_id, term, count(*) * any_value(coalesce(idf, ln(1 + n) + 1)) AS raw FROM said LEFT JOIN idf USING (term), n GROUP BY ALL),
+  cn AS (SELECT section, sqrt(sum(raw * raw)) AS length FROM c GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(raw * raw)) AS length FROM q GROUP BY 1),
+  near AS (
+    SELECT query_id, section, round(sum(q.raw / qn.length * c.raw / cn.length), 9) AS near
+    FROM q JOIN c USING (term) JOIN qn USING (query_id) JOIN cn USING (section) GROUP BY ALL),
+  every AS (SELECT query_id, section, coalesce(near, 0) AS near FROM (SELECT query_id, section FROM qn, cn) LEFT JOIN near USING (query_id, section)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, section) AS rank FROM every)
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, section, round(1 / (3 - 2 * near), 6) AS score FROM ranked WHERE rank <= 3"""
+)
+def playbook_search(spark, sf_dir):
+    """The sentences of all documents, of three words and more, asked of a playbook of the benchmark's passages."""
+    sentences = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[.!?\n]+")).alias("i", "text"))
+    words = F.size(F.filter(F.split("text", r"(?U)[^\p{L}\p{N}§]+"), lambda w: w != ""))
+    asked = sentences.filter(words > 2).select((F.col("doc_id") * 100000 + F.col("i")).alias("query_id"), "text")
+    clauses = _t(spark, sf_dir, "benchmark").select(F.format_string("b%d", "item_id").alias("section"), F.lit("").alias("title"), F.col("text").alias("body"))
+    return retrieval.search_text(asked, clauses, k=3).withColumn("score", F.round("score", 6))
+
+
 @query(
     """SELECT c_custkey AS query_id, '§1 Title' AS citation, '§1 Title ' || repeat('words ', 67) || 'words [...]' AS text FROM customer"""
 )
@@ -393,18 +428,25 @@ def resolve_parties(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT p_partkey, p_name, len(string_split(p_name, ' ')) AS n FROM part)
-  SELECT p_partkey, CAST(1 AS INTEGER) AS rank, round(2.0 * length(p_name) / (2 * length(p_name) + 3), 6) AS score FROM w"""
+    """WITH names AS (SELECT p_name AS name, min(p_partkey) AS first, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS words FROM part GROUP BY p_name),
+  asked AS (SELECT p_partkey, array_to_string(list_sort(string_split(p_name || ' ' || lower(p_type), ' ')), ' ') AS words FROM part),
+  pairs AS (SELECT DISTINCT a.words AS a, n.words AS b, n.name, n.first FROM asked a, names n),
+  tables AS ( -- the usual table of common subsequences, row by row, each row the running maximum of what its letter allows
+    SELECT *, list_reduce(
+      list_transform(string_split(b, ''), lambda c: list_prepend(ascii(c), list_transform(string_split(a, ''), lambda x: ascii(x)))),
+      lambda row, x: list_transform(range(len(row)), lambda j: list_max(list_transform(range(j + 1), lambda i: CASE WHEN i > 0 AND x[i + 1] = x[1] THEN row[i] + 1 ELSE row[i + 1] END))),
+      list_transform(range(length(a) + 1), lambda x: 0)) AS t FROM pairs),
+  ranked AS (SELECT *, 2.0 * t[len(t)] / (length(a) + length(b)) AS score, row_number() OVER (PARTITION BY a ORDER BY score DESC, first) AS rank FROM tables)
+  SELECT p_partkey, CAST(rank AS INTEGER) AS rank, name AS vendor_id, round(score, 6) AS score FROM asked JOIN ranked ON a = asked.words WHERE rank <= 3"""
 )
 def resolve_top3(spark, sf_dir):
-    """The names of all parts, with their words turned round and a letter more, against the parts' own names as a registry:
-    the best score is that of the own name, or of a name as near."""
+    """Each part's name with its type behind it, against the distinct names of parts as a registry: the three closest names and how close."""
     p = _t(spark, sf_dir, "part")
-    names = p.select("p_name").distinct()
-    registry = names.select(F.pmod(F.xxhash64("p_name"), F.lit(1 << 30)).cast("int").alias("ordinal"), F.col("p_name").alias("id"), F.col("p_name").alias("legal_name"), F.array().cast("array<string>").alias("aliases"))
-    asked = p.select(F.col("p_partkey").alias("query_id"), F.concat(F.array_join(F.reverse(F.split("p_name", " ")), " "), F.lit(" qz")).alias("name"))
-    best = resolve.names_against_registry(asked, registry, k=1)
-    return best.select(F.col("query_id").alias("p_partkey"), "rank", F.round("score", 6).alias("score"))
+    names = p.groupBy(F.col("p_name").alias("id")).agg(F.min("p_partkey").cast("int").alias("ordinal"))
+    registry = names.select("ordinal", "id", F.col("id").alias("legal_name"), F.array().cast("array<string>").alias("aliases"))
+    asked = p.select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"))
+    best = resolve.names_against_registry(asked, registry, k=3)
+    return best.select(F.col("query_id").alias("p_partkey"), "rank", "vendor_id", F.round("score", 6).alias("score"))
 
 
 @query(

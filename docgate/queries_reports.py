@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgate.operators import deliver, evaluate, intake, ledger, resolve, review, verify
+from docgate.operators import deliver, evaluate, intake, ledger, resolve, review, traces, verify
 from docgate.plans import batch
 from docgate.plans.tables import new_folder
 from docgate.registered import query
@@ -119,15 +119,19 @@ def _acted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 2 = 1 THEN 'rejected' WHEN o_orderkey % 5 = 0 THEN 'approved' WHEN o_orderkey % 5 = 1 THEN 'rejected' ELSE 'open' END AS state,
-  coalesce(CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'p2' WHEN 1 THEN 'p3' END END, '-') AS resolved_by FROM orders WHERE o_orderkey % 3 = 1"""
+    """WITH actions AS (
+    SELECT o_orderkey AS decision_id, 'approve' AS action, 'p2' AS who, 2 AS day FROM orders WHERE o_orderkey % 5 IN (0, 1)
+    UNION ALL SELECT o_orderkey, 'reject', CASE WHEN o_orderkey % 5 = 0 THEN 'p1' ELSE 'p3' END, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 3 END FROM orders WHERE o_orderkey % 5 IN (0, 1)),
+  first AS (SELECT * FROM actions QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY day) = 1)
+  SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 2 = 1 THEN 'rejected' WHEN action = 'approve' THEN 'approved' WHEN action = 'reject' THEN 'rejected' ELSE 'open' END AS state,
+  CASE WHEN o_orderkey % 2 = 0 THEN coalesce(who, '-') ELSE '-' END AS resolved_by FROM orders LEFT JOIN first ON decision_id = o_orderkey WHERE o_orderkey % 3 = 1"""
 )
 def resolved_items(spark, sf_dir):
-    """Items after reviewers' actions: the last one counts, and only on open items."""
+    """Items after reviewers' actions: the first one closes an open item."""
     return _acted(spark, sf_dir).select("decision_id", "state", F.coalesce("resolved_by", F.lit("-")).alias("resolved_by"))
 
 
-@query("SELECT o_orderkey AS decision_id, '9' AS term, true AS approved_by_human, CAST(1 AS INTEGER) AS keys FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 AND o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS decision_id, '9' AS term, true AS approved_by_human, CAST(1 AS INTEGER) AS keys FROM orders WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 AND o_orderkey % 5 = 1")
 def promoted_contracts(spark, sf_dir):
     """Contracts of items that a person approved: corrected, marked, with the mark as a column of its own."""
     decisions = _decisions(spark, sf_dir).dropDuplicates(["decision_id"])
@@ -276,3 +280,27 @@ def media_types(spark, sf_dir):
 def terminal_states(spark, sf_dir):
     k = F.col("o_orderkey")
     return _t(spark, sf_dir, "orders").select(k.alias("id"), batch.is_terminal(F.when(k % 3 == 0, F.element_at(F.array(F.lit("delivered"), F.lit("rejected"), F.lit("dead")), (k % 9 / 3 + 1).cast("int"))).otherwise("loaded")).alias("ended"))
+
+
+@query(
+    """WITH c AS (
+    SELECT conv_id AS id, role, coalesce(max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w, 0) = 1 AS looked, conv_id % 3 <> 0 AND coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), '') = 'user' AS seen
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT id, true AS ran, max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = 1 AS consulted, count(*) AS calls, count(*) FILTER (role = 'assistant') AS findings,
+    count(*) FILTER (role = 'assistant' AND NOT looked) AS unfounded, count(*) FILTER (role = 'assistant' AND seen) AS cited FROM c GROUP BY 1"""
+)
+def agent_traces(spark, sf_dir):
+    """Conversations as traces of an agent in JSON, users' turns as searches and answers as findings that cite the section of the turn
+    before (or one that no search gave): what was called, and which findings nothing was looked up for."""
+    turn, role = F.col("turn"), F.col("role")
+    section = lambda n: F.concat(F.lit("§"), n.cast("string"))
+    search = traces.recorded(F.lit(traces.SEARCH), F.struct(F.col("text").alias("question")), F.array(F.struct(section(turn).alias("section"), F.lit(0.5).alias("score"))))
+    cited = F.when(F.col("conv_id") % 3 == 0, "§x").otherwise(section(turn - 1))
+    record = traces.recorded(F.lit(traces.RECORD), F.struct(F.lit("policy_deviation").alias("kind"), cited.alias("citation"), F.col("text").alias("explanation")), F.struct(F.lit(True).alias("recorded")))
+    other = traces.recorded(role, F.struct(F.col("text").alias("said")), F.struct(F.lit(None).cast("string").alias("nothing")))
+    call = F.when(role == "user", search).when(role == "assistant", record).otherwise(other)
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", F.struct(turn.alias("turn"), F.to_json(call).alias("call")).alias("c"))
+    kept = rows.groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list("c")).alias("c"))
+    kept = kept.select("id", F.concat(F.lit("["), F.array_join(F.transform("c", lambda x: x["call"]), ","), F.lit("]")).alias("trace"))
+    cites = traces.found(traces.calls(kept)).groupBy("id").agg(F.count(F.when(F.col("seen"), 1)).alias("cited"))
+    return traces.summary(kept).join(cites, "id", "left").withColumn("cited", F.coalesce("cited", F.lit(0)))

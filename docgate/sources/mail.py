@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import warnings
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from email import message_from_bytes
 from email.header import decode_header, make_header
 from email.utils import parseaddr, parsedate_to_datetime
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 MESSAGE = (
     "message_id string, sender string, subject string, received_at timestamp, source string, "
@@ -83,3 +87,101 @@ def read_mailbox(spark: SparkSession, folder: str) -> DataFrame:
     if folder.rstrip("/").rpartition("/")[2].lower() != INTAKE:
         warnings.warn(f"{folder} isn't the folder {INTAKE}: are these messages meant for the intake?", stacklevel=2)
     return messages(files)
+
+
+class Mailbox(DataSource):
+    """Format "mailbox": the messages that wait in a folder of .eml files, as rows of MESSAGE.
+
+    Options: path (a folder that driver and executors see, by any address that Arrow's file systems know) and limit (messages a batch of a
+    stream, 25). A stream gives the oldest first; what a batch gave is moved to the folder `seen` when the batch stands, not before, so
+    a batch that failed is read again. A personal mailbox with many messages is refused."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "mailbox"
+
+    def schema(self) -> str:
+        return MESSAGE
+
+    def reader(self, schema) -> MailboxReader:
+        return MailboxReader(self.options)
+
+    def streamReader(self, schema) -> MailboxStream:  # noqa: N802
+        return MailboxStream(self.options)
+
+
+class Letters(InputPartition):
+    """Names of messages that one task reads."""
+
+
+class MailboxReader(DataSourceReader):
+    """All messages that wait, none of which is marked."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.folder, self.limit = options["path"].rstrip("/"), int(options.get("limit", "25"))
+
+    def files(self):
+        """The file system and the folder's path in it."""
+        return pafs.FileSystem.from_uri(self.folder)
+
+    def waiting(self) -> list[str]:
+        """Names of the messages that wait, the oldest first."""
+        system, path = self.files()
+        found = [f for f in system.get_file_info(pafs.FileSelector(path)) if f.is_file and f.base_name.endswith(".eml")]
+        if self.folder.rpartition("/")[2].lower() == PERSONAL and len(found) > PERSONAL_MESSAGES:
+            raise ValueError(f"{self.folder} looks like a personal mailbox")
+        return [f.base_name for f in sorted(found, key=lambda f: (f.mtime_ns, f.base_name))]
+
+    def partitions(self) -> list[InputPartition]:
+        names = self.waiting()
+        return [Letters(names[i : i + self.limit]) for i in range(0, len(names), self.limit)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        system, path = self.files()
+        for name in partition.value:
+            where = next((p for p in (f"{path}/{name}", f"{path}/seen/{name}") if system.get_file_info(p).is_file), None)
+            if where is None:  # taken away by another
+                continue
+            with system.open_input_file(where) as file:
+                at = system.get_file_info(where).mtime or datetime.now(timezone.utc)
+                *fields, attachments = parse(file.read(), f"{self.folder}/{name}", at)
+            yield (*fields, [(a["filename"], a["content"], a["declared_mime"]) for a in attachments])
+
+
+class MailboxStream(DataSourceStreamReader):
+    """An offset names the messages of its batch. Offsets of another start of the stream differ, so that one begun anew goes on where
+    nothing was marked yet; a message may then come twice, as from a mailbox."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.box, self.run, self.given = MailboxReader(options), uuid.uuid4().hex, None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"run": "", "names": []}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        waiting = self.box.waiting()
+        out = set(self.given["names"]) if self.given else set()
+        fresh = [n for n in waiting if n not in out][: self.box.limit]
+        if fresh or not self.given or self.given["names"]:  # with none left, an empty batch lets the last one be marked
+            self.given = {"run": self.run, "names": fresh}
+        return self.given
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.given = self.given or end  # a batch that is run again
+        names = end["names"]
+        return [Letters(names[i : i + 5]) for i in range(0, len(names), 5)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.box.read(partition)
+
+    def commit(self, end: dict) -> None:
+        system, path = self.box.files()
+        system.create_dir(f"{path}/seen")
+        for name in end["names"]:
+            if system.get_file_info(f"{path}/{name}").is_file:
+                system.move(f"{path}/{name}", f"{path}/seen/{name}")
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format "mailbox" known to a session."""
+    spark.dataSource.register(Mailbox)

@@ -62,9 +62,9 @@ def test_intake_stream_adds_each_key_once(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "id long, x string").write.parquet(source)
     for run in ("a", "b"):
         stream = spark.readStream.schema("id long, x string").parquet(source)
-        start_intake(stream, target, str(tmp_path / f"checkpoint-{run}"), "id", "long", {"availableNow": True}).awaitTermination()
+        start_intake(stream, target, str(tmp_path / f"checkpoint-{run}"), "id", trigger={"availableNow": True}).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2]
-    append_new(spark.createDataFrame([(2, "b"), (3, "c")], "id long, x string"), target, "id", "long")
+    append_new(spark.createDataFrame([(2, "b"), (3, "c")], "id long, x string"), target, "id")
     assert spark.read.parquet(target).count() == 3
 
 
