@@ -31,6 +31,8 @@ MISS = 0.004
 DEVIATIONS = 4.4
 #: A bucket of so many texts at most is looked at in one row; in larger ones a few meet all others at a time.
 SMALL = 32
+#: A node that meets more others than this in small buckets of several groups meets those like it by rare shingles.
+BUSY = 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Eight lanes of a byte each, holding the bits of a byte.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
@@ -119,10 +121,10 @@ def tables_for(percent: int, segments: int) -> int:
     return 1 if met == 1 else math.ceil(math.log(MISS) / math.log(1 - met))
 
 
-def apart_at_most(percent: int) -> int:
-    """Differing bits of two 128-bit fingerprints up to which a pair is checked."""
+def apart_at_most(percent: int, bits: int = 128) -> int:
+    """Differing bits of two fingerprints of so many bits up to which a pair is checked."""
     share = math.acos(_cosine(percent)) / math.pi
-    return math.ceil(128 * share + DEVIATIONS * math.sqrt(128 * share * (1 - share)))
+    return math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
 def distinct_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,24 +208,29 @@ def _near(a: Column, b: Column, limit: int) -> Column:
     return F.bit_count(a["high"].bitwiseXOR(b["high"])) + F.bit_count(a["low"].bitwiseXOR(b["low"])) <= limit
 
 
-def _shared(nodes: DataFrame, limit: int) -> DataFrame:
+def _shared(nodes: DataFrame, percent: int) -> DataFrame:
     """key, size and x (a struct of place, node, high, low) of the nodes that may have a link in the bucket of a key.
 
-    Only keys and nodes are gathered, of each key SMALL + 1 at most, to which each task cuts before the shuffle; fingerprints follow for the
-    few keys that more than one node has. A bucket that is whole in that keeps the nodes that have another one near; so what goes on
-    doesn't grow with chance meetings. Larger ones are joined again, whole."""
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    Keys, nodes and half of a fingerprint are gathered, of each key SMALL + 1 at most, to which each task cuts before the shuffle. A bucket
+    that is whole in that keeps the nodes that have another one near by that half, and of these, by whole fingerprints that follow, those
+    that still have; so what goes on doesn't grow with chance meetings. Larger buckets are joined again, whole."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "high")
     first = Window.partitionBy("key").orderBy("node")
-    lists = keyed.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SMALL + 1).groupBy("key").agg(F.collect_list("node").alias("nodes"))
-    met = stage(lists.filter(F.size("nodes") > 1).select("key", F.size("nodes").alias("size"), F.explode("nodes").alias("node")), "met")
+    lists = keyed.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SMALL + 1)
+    lists = lists.groupBy("key").agg(F.collect_list(F.struct("node", "high")).alias("xs")).filter(F.size("xs") > 1)
+    half = apart_at_most(percent, 64)
+    alike = F.filter("xs", lambda a: F.exists("xs", lambda b: (a["node"] != b["node"]) & (F.bit_count(a["high"].bitwiseXOR(b["high"])) <= half)))
+    lists = lists.select("key", F.size("xs").alias("size"), F.when(F.size("xs") <= SMALL, alike).otherwise(F.slice("xs", 1, 1)).alias("xs"))
+    met = stage(lists.select("key", "size", F.explode("xs").alias("x")).select("key", "size", "x.node"), "met")
     who = nodes.select("node", F.struct("place", "node", "high", "low").alias("x"))
+    limit = apart_at_most(percent)
     meets = F.filter("xs", lambda a: F.exists("xs", lambda b: (a["node"] != b["node"]) & _near(a, b, limit)))
     small = met.filter(F.col("size") <= SMALL).join(who, "node").groupBy("key").agg(F.collect_list("x").alias("xs"))
     small = small.select("key", F.size("xs").alias("size"), F.explode(meets).alias("x"))
     large = met.filter(F.col("size") > SMALL).select("key").distinct()
     if large.isEmpty():
         return stage(small, "shared")
-    whole = stage(keyed.join(large, "key"), "large")
+    whole = stage(keyed.select("key", "node").join(large, "key"), "large")
     counts = whole.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size"))
     return stage(small.unionByName(whole.join(counts, "key").join(who, "node").select("key", "size", "x")), "shared")
 
@@ -269,7 +276,7 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent:
     buckets whose nodes are of several groups, those with the next places, eight or so, meet all nodes of other groups, then 512,
     and so on until all have: every pair of a bucket is compared, unless a chain of links already joins it. Pairs whose fingerprints are far apart aren't checked."""
     limit = apart_at_most(percent)
-    shared = _shared(nodes, limit)
+    shared = _shared(nodes, percent)
     lead = shared.groupBy("key").agg(F.min("x").alias("lead"))
     asked = shared.select("x.node").distinct()  # all that is checked from here on: other texts move no more
     texts = stage(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
@@ -317,18 +324,22 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent:
         of = roots.select(F.col("node").alias("lead_node"), F.col("root").alias("lead_root"))
         every = every.withColumn("lead_node", F.col("lead.node")).join(of, "lead_node", "left").filter(F.coalesce("lead_root", F.col("lead.node")) != F.col("root"))
     grouped(every.filter(star).select(F.col("lead.node").alias("a"), F.col("node").alias("b")), "stars")
-    rows = shared.filter(F.col("size") <= SMALL)
-    hard = mixed(shared.filter(F.col("size") > SMALL)).select("node").distinct()
+    rows = shared.filter(F.col("size") <= SMALL).withColumn("hard", F.lit(False))
+    crowded = mixed(shared.filter(F.col("size") > SMALL)).select("node")
+    busy = mixed(rows).groupBy("node").agg(F.sum(F.col("size") - 1).alias("others")).filter(F.col("others") > BUSY).select("node")
+    hard = stage(crowded.unionByName(busy).distinct(), "hard")
     if not hard.isEmpty():
-        rows = rows.unionByName(_rare(shared, texts, hard, words, percent))
+        rows = rows.drop("hard").withColumn("node", F.col("x.node")).join(hard.withColumn("hard", F.lit(True)), "node", "left").drop("node")
+        rows = rows.withColumn("hard", F.coalesce("hard", F.lit(False)))
+        rows = stage(rows.unionByName(_rare(shared, texts, hard, words, percent).withColumn("hard", F.lit(False))), "rows")
     met, leads = 0, 8
     while True:
         now = mixed(rows.filter(F.col("size") > met))
         if now.isEmpty():
             break
         nth = F.col("x.place") * F.col("size")
-        drawn = now.filter((nth >= met) & (nth < leads)).select("key", F.col("x").alias("y"), F.col("root").alias("other"))
-        pairs = now.join(drawn, "key").filter((F.col("root") != F.col("other")) & (F.col("x") > F.col("y")) & _near(F.col("x"), F.col("y"), limit))
+        drawn = now.filter((nth >= met) & (nth < leads)).select("key", F.col("x").alias("y"), F.col("root").alias("other"), F.col("hard").alias("both"))
+        pairs = now.join(drawn, "key").filter(~(F.col("hard") & F.col("both")) & (F.col("root") != F.col("other")) & (F.col("x") > F.col("y")) & _near(F.col("x"), F.col("y"), limit))
         grouped(pairs.select(F.col("y.node").alias("a"), F.col("node").alias("b")), "more")
         met, leads = leads, leads * 64
     return roots if roots is not None else shared.select(F.col("x.node").alias("node"), F.col("x.node").alias("root")).limit(0)
