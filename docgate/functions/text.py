@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -94,6 +95,42 @@ def hits(text: Column, terms: tuple[str, ...]) -> Column:
     return F.filter(F.array(*[F.lit(fold_text(t)) for t in terms]), lambda t: F.contains(text, t))
 
 
+#: Vocabularies by the name of what they tell.
+VOCABULARY = {"strong": fixed.STRONG, "supporting": fixed.SUPPORTING, "invoice": fixed.INVOICE}
+
+
+@lru_cache(1)
+def _automaton():
+    """One automaton over the folded terms of all vocabularies; a term says where it stands in which of them."""
+    import ahocorasick
+
+    places: dict[str, list[tuple[str, int]]] = {}
+    for name, terms in VOCABULARY.items():
+        for i, term in enumerate(terms):
+            places.setdefault(fold_text(term), []).append((name, i))
+    automaton = ahocorasick.Automaton()
+    for term, where in places.items():
+        automaton.add_word(term, (term, where))
+    automaton.make_automaton()
+    return automaton
+
+
+def found_text(text: str) -> dict[str, list[str]]:
+    """Of each vocabulary the folded terms that a text contains once folded, in the vocabulary's order."""
+    met = {term: where for _, (term, where) in _automaton().iter(fold_text(text))}
+    out: dict[str, list[tuple[int, str]]] = {name: [] for name in VOCABULARY}
+    for term, where in met.items():
+        for name, i in where:
+            out[name].append((i, term))
+    return {name: [term for _, term in sorted(hits)] for name, hits in out.items()}
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, T.ArrayType(T.StringType())) for name in VOCABULARY]))
+def found(texts: pd.Series) -> pd.DataFrame:
+    """found_text() of each text, folded and read once; null has no terms."""
+    return pd.DataFrame([found_text(t or "") for t in texts], columns=list(VOCABULARY))
+
+
 def company_form(name: Column) -> Column:
     """A company name without case, punctuation, legal forms and single letters; what is left of it if that is all."""
     text = F.replace(F.lower(name), F.lit("ß"), F.lit("ss"))

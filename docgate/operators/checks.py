@@ -137,3 +137,8 @@ def recorded(findings_: DataFrame, agents: DataFrame) -> DataFrame:
 
 def cited_sections(checks: DataFrame) -> DataFrame:
     return checks.select("section").distinct()
+
+
+def cited(found: DataFrame) -> DataFrame:
+    """section and n: how many findings cite each section; those that cite none aren't counted."""
+    return found.filter(F.coalesce("citation", F.lit("")) != "").groupBy(F.col("citation").alias("section")).agg(F.count(F.lit(1)).alias("n"))

@@ -70,3 +70,15 @@ def schema_difference(df: DataFrame, wanted) -> dict[str, list[str]]:
 
 def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def data_differences(df: DataFrame, required: list[str], keys: list[list[str]]) -> DataFrame:
+    """kind, name, n: what rows break: `null`, the rows without a value in a column that needs one, and `repeated`, the values of a key that
+    more than one row has (rows with a null in the key aren't compared). What no row breaks isn't named."""
+    nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in required])
+    pairs = F.explode(F.array(*[F.struct(F.lit("null").alias("kind"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in required]))
+    out = nulls.select(pairs.alias("d")).select("d.*")
+    for key in keys:
+        again = repeated_keys(df.dropna(subset=key), key).agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(again.select(F.lit("repeated").alias("kind"), F.lit(", ".join(key)).alias("name"), "n"))
+    return out.filter("n > 0")

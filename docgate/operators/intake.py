@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,23 +89,28 @@ def new_attachments(messages: DataFrame, seen: DataFrame) -> DataFrame:
 
 def store(files: DataFrame, folder: str, named: bool = False) -> None:
     """Write the content of each file (filename, content) below a folder that all executors see, under its digest and safe suffix, or
-    under its own name. A file that is there already is left; one appears only when it is whole, so a task that is run again
-    does no harm."""
-    keyed = files if named else with_content_key(files)
+    under its own name. The folder's address may be of any file system that Arrow knows (a path, file:, hdfs:, s3:); one that it doesn't
+    know fails. A file that is there already is left; one appears only when it is whole, so a task that is run again does no harm. Of
+    contents under one name that with the smallest digest is written."""
+    keyed = with_content_key(files)
     name = F.col("filename") if named else F.concat("sha256", F.coalesce(suffix(F.col("filename")), F.lit("")))
-    rows = keyed.select(name.alias("name"), "content").dropDuplicates(["name"])
-    path = folder.removeprefix("file:")
-
-    def write(rows: Iterator) -> None:
-        Path(path).mkdir(parents=True, exist_ok=True)
-        for row in rows:
-            target = Path(path) / row["name"]
-            if not target.exists():
-                part = target.with_name(f".{row['name']}-{uuid.uuid4().hex}")
-                part.write_bytes(bytes(row["content"]))
-                part.rename(target)
-
-    rows.foreachPartition(write)
+    rows = first_of_each(keyed.select(name.alias("name"), "sha256", "content"), ["name"], [F.col("sha256")])
+    system, path = pafs.FileSystem.from_uri(folder)
+    system.create_dir(path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch["name"].to_pylist(), batch["content"], strict=True):
+                if name is None or system.get_file_info(f"{path}/{name}").is_file:
+                    continue
+                part = f"{path}/.{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                system.move(part, f"{path}/{name}")
+            yield batch.select(["name"])
+
+    rows.select("name", "content").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgate import fixed
 from docgate.functions.amounts import cache_hit_ratio, cost_usd
+from docgate.plans.store import Store
 
 CALL = (
     "id long, attachment_id long, purpose string, model string, effort string, input_tokens long, output_tokens long, "
@@ -73,3 +74,37 @@ def append(calls: DataFrame, path: str) -> None:
 def newest(calls: DataFrame) -> DataFrame:
     """The last call; a limit of one is the operator."""
     return calls.orderBy(F.desc("id")).limit(1)
+
+
+#: What is kept of a ledger by purpose: everything else that by_purpose() reports follows from it.
+SUMS = ("calls", "usd", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
+
+
+def partial_sums(calls: DataFrame) -> DataFrame:
+    """purpose and SUMS of some calls; dollars as decimals, whose sum doesn't depend on the order."""
+    counted_ = F.count(F.lit(1)).cast("decimal(38,9)").alias("calls")
+    return calls.groupBy("purpose").agg(counted_, *[F.sum(F.coalesce(F.col(c).cast("decimal(38,9)"), F.lit(0).cast("decimal(38,9)"))).cast("decimal(38,9)").alias(c) for c in SUMS[1:]])
+
+
+def add_batch(store: Store, calls: DataFrame, batch: int, name: str = "by_purpose") -> bool:
+    """Add a batch of calls to the sums that a store keeps by purpose, and say whether it was new.
+
+    The new sums and the batch's number are published together, so a batch that comes again, or whose writer died at any point, counts
+    once. The calls are read once; what is merged is a row per purpose."""
+    if f"{name}_batches" in store.tables() and not store.read(f"{name}_batches").filter(F.col("batch") == batch).isEmpty():
+        return False
+    with store.transaction() as own:
+        sums = partial_sums(calls)
+        if name in own.entries:
+            sums = sums.unionByName(store.read(name, version=own.version))
+        merged = sums.groupBy("purpose").agg(*[F.sum(c).cast("decimal(38,9)").alias(c) for c in SUMS])
+        own.replace(name, merged)
+        own.append(f"{name}_batches", calls.sparkSession.range(1).select(F.lit(batch).cast("long").alias("batch")))
+    return True
+
+
+def kept_by_purpose(store: Store, name: str = "by_purpose") -> DataFrame:
+    """by_purpose() of all batches that were added, from the sums alone."""
+    sums = store.read(name).select("purpose", F.col("calls").cast("long").alias("calls"), F.round(F.col("usd").cast("double"), 6).alias("usd"), *[F.col(c).cast("long").alias(c) for c in SUMS[2:]])
+    ratio = cache_hit_ratio(F.col("input_tokens"), F.col("cache_write_tokens"), F.col("cache_read_tokens"))
+    return sums.withColumn("hit_ratio", F.round(ratio, 3))

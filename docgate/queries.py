@@ -9,12 +9,14 @@ from docgate import fixed
 from docgate.functions import amounts, personal, text
 from docgate.operators import checks, deliver, evaluate, intake, ledger, pages, retrieval, review, rules, triage, verify
 from docgate.plans import batch
+from docgate.plans.store import Store
 from docgate.plans.tables import new_folder
 from docgate.registered import ORACLE_SQL, QUERIES, query
 from docgate.registered import table as _t
 from docgate.streaming.intake import start_intake
 from docgate.streaming.retries import followed
 
+
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a ledger: purpose, dollars, and tokens from the number in props."""
     k = F.get_json_object("props", "$.k").cast("long")
@@ -46,6 +48,15 @@ def ledger_by_purpose(spark, sf_dir):
     return ledger.by_purpose(_calls(spark, sf_dir))
 
 
+@query(ORACLE_SQL["ledger_by_purpose"])
+def ledger_in_batches(spark, sf_dir):
+    """The report by purpose from sums that batches were merged into one after the other, some of them twice."""
+    calls, store = _calls(spark, sf_dir), Store(spark, new_folder(spark, "sums"))
+    for batch in (2, 0, 2, 1, 3, 0):
+        ledger.add_batch(store, calls.filter(F.col("id") % 4 == batch), batch)
+    return ledger.kept_by_purpose(store)
+
+
 def _attachments(spark, sf_dir):
     status = F.when(F.col("c_mktsegment") == "BUILDING", "delivered").otherwise("received")
     return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), status.alias("status"))
@@ -365,6 +376,12 @@ def threshold_findings(spark, sf_dir):
     return _order_docs(spark, sf_dir).select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.field", "f.citation", "f.severity")
 
 
+@query(f"WITH {_FINDINGS_SQL} SELECT citation AS section, count(*) AS n FROM found GROUP BY 1")
+def cited_sections(spark, sf_dir):
+    """The sections that findings on orders cite, and how often."""
+    return checks.cited(_order_docs(spark, sf_dir).select(F.explode("findings").alias("f")).select("f.citation"))
+
+
 @query(
     f"""WITH {_FINDINGS_SQL}, n AS (SELECT doc_id, count(*) AS n FROM found GROUP BY 1),
   r AS (SELECT o_orderkey AS doc_id, coalesce(n, 0)

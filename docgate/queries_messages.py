@@ -541,11 +541,6 @@ def check_messages(spark, sf_dir):
     return checks.findings(fields, fields.select("doc_id", none.cast("string").alias("category")).distinct(), policy).select("doc_id", "field", "explanation")
 
 
-@query("SELECT DISTINCT section FROM (VALUES ('§1.1'), ('§1.2'), ('§2.1'), ('§2.2'), ('§2.3'), ('§3.1'), ('§3.2'), ('§4.1'), ('§5.1')) t(section)")
-def cited_sections(spark, sf_dir):
-    return checks.cited_sections(checks.load_checks(spark))
-
-
 @query(
     """SELECT c_custkey AS doc_id, 'Payment terms: 30 (page 2) "pay in ' || c_custkey || ' days"' || chr(10) || 'Signatories: not stated' AS request, CASE WHEN c_custkey % 2 = 0 THEN true ELSE false END AS ran,
   c_custkey % 4 = 0 AS looked FROM customer"""

@@ -182,12 +182,21 @@ def judged_fields(spark, sf_dir):
     return evaluate.judged_fields(expected, found).select("doc_id", "name", "correct")
 
 
-@query("SELECT 'extra' AS kind, 'c_name' AS name UNION ALL SELECT 'extra', 'c_mktsegment' UNION ALL SELECT 'missing', 'c_comment' UNION ALL SELECT 'changed', 'c_nationkey'")
+@query(
+    """WITH e AS (SELECT user_id, event_type, CASE WHEN value >= 5 THEN value END AS value, json_extract_string(props, '$.k') AS k FROM events)
+  SELECT 'null' AS kind, 'value' AS name, count(*) FILTER (value IS NULL) AS n FROM e HAVING count(*) FILTER (value IS NULL) > 0
+  UNION ALL SELECT 'repeated', 'user_id', count(*) FROM (SELECT 1 FROM e GROUP BY user_id HAVING count(*) > 1) HAVING count(*) > 0
+  UNION ALL SELECT 'repeated', 'user_id, event_type, k', count(*) FROM (SELECT 1 FROM e GROUP BY user_id, event_type, k HAVING count(*) > 1) HAVING count(*) > 0
+  UNION ALL SELECT 'changed', 'k', count(*) FROM e UNION ALL SELECT 'missing', 'latency', count(*) FROM e"""
+)
 def schema_differences(spark, sf_dir):
-    """Columns that customer has too many, too few, or of another type than wanted."""
-    wanted = spark.createDataFrame([], "c_custkey long, c_acctbal double, c_nationkey string, c_comment string").schema
-    found = evaluate.schema_difference(_t(spark, sf_dir, "customer"), wanted)
-    return spark.createDataFrame([(kind, name) for kind, names in found.items() for name in names], "kind string, name string")
+    """Events against what is wanted of them: columns by their types, and rows by values that must be there or be there once."""
+    rows = _t(spark, sf_dir, "events").select("user_id", "event_type", F.when(F.col("value") >= 5, F.col("value")).alias("value"), F.get_json_object("props", "$.k").alias("k"))
+    wanted = spark.createDataFrame([], "user_id long, event_type string, value double, k long, latency double").schema
+    named = [(kind, name) for kind, names in evaluate.schema_difference(rows, wanted).items() for name in names]
+    columns = rows.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name")) for k, n in named])).alias("d"), "n")
+    broken = evaluate.data_differences(rows, ["user_id", "value"], [["user_id"], ["user_id", "event_type", "k"]])
+    return broken.unionByName(columns.select("d.kind", "d.name", "n"))
 
 
 @query("SELECT count(*) AS transitions, count(*) FILTER (o_orderkey % 4 = 0) AS ended FROM orders WHERE o_orderkey % 2 = 0")

@@ -1,3 +1,4 @@
+import random
 import unicodedata
 from datetime import datetime
 
@@ -148,3 +149,16 @@ def test_retry_times(spark):
 
 def test_no_invoice_term_holds_another():
     assert not [(a, b) for a in fixed.INVOICE for b in fixed.INVOICE if a != b and a in b]
+
+
+def test_one_automaton_finds_what_term_by_term_does(spark):
+    """Terms inside of words, of several vocabularies, overlapping, and with accents and case."""
+    rng = random.Random(11)
+    terms = [*fixed.STRONG, *fixed.SUPPORTING, *fixed.INVOICE]
+    texts = [" ".join(rng.choice([rng.choice(terms).upper(), rng.choice(terms)[1:], "word", "Ünïcode"]) for _ in range(rng.randint(0, 12))) for _ in range(200)] + ["", "".join(terms)]
+    folded = [text.fold_text(t) for t in texts]
+    for t, f in zip(texts, folded, strict=True):
+        want = {name: [x for x in map(text.fold_text, own) if x in f] for name, own in text.VOCABULARY.items()}
+        assert text.found_text(t) == want
+    rows = spark.createDataFrame([(t,) for t in [*texts[:3], None]], "t string").select(text.found(F.col("t")).alias("f")).collect()
+    assert [r.f.strong for r in rows][-1] == []

@@ -1,9 +1,13 @@
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from docgate import fixed
-from docgate.operators import checks, deliver, evaluate, intake, ledger, pages, resolve, retrieval, review, rules, triage, verify
+from docgate.operators import checks, deliver, evaluate, intake, ledger, pages, resolve, retrieval, review, rules, traces, triage, verify
 from docgate.plans import batch
+from docgate.plans.store import Store
 from tests.test_functions import ratio
 
 
@@ -383,3 +387,50 @@ def test_state_transitions(spark):
     assert done.first().status == "delivered"
     assert batch.replay(after, spark.createDataFrame([(2,)], "id int"), _stage(2, "t", "received", "triaged"), now).count() == 0
     assert batch.replay(after, spark.createDataFrame([(2,)], "id int"), _stage(2, "t", "received", "triaged"), now, force=True).count() == 1
+
+
+def test_sums_of_batches_in_any_order_and_twice(spark, tmp_path):
+    """A batch counts once, also where its writer died before the commit."""
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([0.1, 0.25, None]), i, None, 3, 1) for i in range(60)]
+    calls = spark.createDataFrame(rows, "id long, purpose string, usd double, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long")
+    store, seen = Store(spark, str(tmp_path)), []
+
+    def crash(step):
+        seen.append(step)
+        if step == "rename" and seen.count(step) == 1:
+            raise InterruptedError(step)
+
+    part = lambda b: calls.filter(F.col("id") % 3 == b)
+    with pytest.raises(InterruptedError):
+        ledger.add_batch(Store(spark, str(tmp_path), crash), part(1), 1)
+    assert [ledger.add_batch(store, part(b), b) for b in (1, 0, 1, 2, 0)] == [True, True, False, True, False]
+    whole = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert whole(ledger.kept_by_purpose(store)) == whole(ledger.by_purpose(calls))
+
+
+def test_contents_under_one_name(spark, tmp_path):
+    files = spark.createDataFrame([("x", b"b"), ("x", b"a"), (None, b"c"), ("y", b"")], "filename string, content binary")
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/uri"):
+        intake.store(files, folder, named=True)
+        path = tmp_path / folder.rpartition("/")[2]
+        kept = min((b"a", b"b"), key=lambda c: hashlib.sha256(c).hexdigest())
+        assert {p.name: p.read_bytes() for p in path.iterdir() if not p.name.startswith(".")} == {"x": kept, "y": b""}
+    with pytest.raises(Exception):
+        intake.store(files, "nosuch://host/folder")
+
+
+TRACE = """[{"tool": "record_finding", "input": {"citation": "§1", "kind": "k"}, "output": {"recorded": true}},
+  {"tool": "search_policy", "input": {"question": "q"}, "output": [{"section": "§1", "score": 0.4}, {"section": "§2"}]},
+  {"tool": "record_finding", "input": {"citation": "§2", "severity": "low"}, "output": null}, {"input": 3},
+  {"tool": "record_finding", "input": {"citation": "§9"}}]"""
+
+
+def test_traces(spark):
+    rows = spark.createDataFrame([(1, TRACE), (2, "[]"), (3, None), (4, "no json"), (5, '{"tool": "x"}'), (6, '[{"tool": "resolve_counterparty", "input": {"name": "n"}}]')], "id long, trace string")
+    made = {(r.id, r.place): r.tool for r in traces.calls(rows).select("id", "place", "tool").collect()}
+    assert made == {(1, 0): "record_finding", (1, 1): "search_policy", (1, 2): "record_finding", (1, 3): None, (1, 4): "record_finding", (6, 0): "resolve_counterparty"}
+    found = [(r.place, r.citation, r.severity, r.looked_up, r.seen) for r in traces.found(traces.calls(rows)).orderBy("place").collect()]
+    assert found == [(0, "§1", None, False, False), (2, "§2", "low", True, True), (4, "§9", None, True, False)]
+    said = {r.id: tuple(r)[1:] for r in traces.summary(rows).collect()}
+    assert said == {1: (True, True, 5, 3, 1), 6: (True, True, 1, 0, 0)} | dict.fromkeys((2, 3, 4, 5), (False, False, 0, 0, 0))
