@@ -226,7 +226,7 @@ def _shared(nodes: DataFrame, percent: int) -> DataFrame:
     limit = apart_at_most(percent)
     meets = F.filter("xs", lambda a: F.exists("xs", lambda b: (a["node"] != b["node"]) & _near(a, b, limit)))
     small = met.filter(F.col("size") <= SMALL).join(who, "node").groupBy("key").agg(F.collect_list("x").alias("xs"))
-    small = small.select("key", F.size("xs").alias("size"), F.explode(meets).alias("x"))
+    small = small.select("key", meets.alias("xs")).select("key", F.size("xs").alias("size"), F.explode("xs").alias("x"))
     large = met.filter(F.col("size") > SMALL).select("key").distinct()
     if large.isEmpty():
         return stage(small, "shared")
