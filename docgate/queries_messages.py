@@ -419,8 +419,8 @@ def cited_clauses(spark, sf_dir):
 def resolve_parties(spark, sf_dir):
     """Counterparties by number, by number of another owner, by name, and none at all."""
     c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
-    coded = F.translate(F.lpad(k.cast("string"), 6, "0"), "0123456789", "abcdefghij")
-    name = F.concat(coded, F.lit(" "), F.reverse(coded), F.lit(" works"))
+    coded = F.translate(F.when(k < 1_000_000, F.lpad(k.cast("string"), 6, "0")).otherwise(k.cast("string")), "0123456789", "abcdefghij")
+    name = F.concat(coded, F.lit(" x"), F.reverse(coded), F.lit(" work"))  # of two numbers that mirror each other the words differ
     registry = c.select(k.cast("int").alias("ordinal"), F.format_string("v%d", k).alias("id"), name.alias("legal_name"), F.array().cast("array<string>").alias("aliases"), F.format_string("HRB %d", k).alias("registration_id"))
     said = F.when(k % 4 == 1, "zzz zzz").when(k % 4 == 3, "  ").otherwise(F.concat(name, F.lit(" GmbH")))
     asked = c.select(k.alias("query_id"), said.alias("name"), F.when(k % 4 < 2, F.format_string("hrb-%d", k)).alias("registration_id"))

@@ -254,3 +254,27 @@ def test_a_file_is_stored_once_and_whole(spark, tmp_path):
         intake.store(files, str(tmp_path / "f"))
     assert sorted(r["size"] for r in intake.stored(spark, str(tmp_path / "f")).collect()) == [3, 3]
     assert sorted(p.suffix for p in (tmp_path / "f").iterdir() if not p.name.startswith(".")) == ["", ".pdf"]
+
+
+def test_names_that_a_number_decides_or_that_equal_a_label_meet_no_other(spark, monkeypatch):
+    def fail(*_):
+        raise AssertionError("names are compared")
+
+    monkeypatch.setattr(resolve, "near_names", fail)
+    monkeypatch.setattr(resolve, "_in_cells", fail)
+    registry = spark.createDataFrame([(0, "a", "Alpha Works", None, "R1"), (1, "b", "Beta Works", None, "R2")], "ordinal int, id string, legal_name string, aliases array<string>, registration_id string")
+    asked = [(1, "Alpha Works", "r-1"), (2, "Other", "R2"), (3, "works BETA", None), (4, " ", None)]
+    got = resolve.resolve(spark.createDataFrame(asked, "query_id int, name string, registration_id string"), registry, k=1)
+    assert {r.query_id: (r.vendor_id, r.matched_on) for r in got.collect()} == {1: ("a", "registration_id"), 2: (None, "conflict"), 3: ("b", "name"), 4: (None, "none")}
+
+
+@pytest.mark.parametrize("most", [0, 20, 256])
+def test_short_names_of_few_letters_meet_hardly_more_than_similar_ones(spark, monkeypatch, most):
+    monkeypatch.setattr(resolve, "SUBSEQUENCES", most)
+    texts = [f"{w} {w[::-1]} works" for w in (str(i).zfill(5).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(0, 40_000, 97))] + ["", "a", "ab"]
+    grams = resolve._bigrams(spark.createDataFrame([(x,) for x in texts], "words string"))
+    want = {(a, b): round(ratio(a, b) / 100, 9) for a in texts for b in texts if ratio(a, b) >= 85}
+    assert {(r.words, r.other): round(r.score, 9) for r in resolve.near_names(grams, grams, 0.85).collect()} == want
+    if most == 256:  # before: all that share a rare bigram
+        monkeypatch.setattr(resolve, "similarity", lambda a, b: F.lit(100.0))
+        assert resolve.near_names(grams, grams, 0.85).count() == len(want)
