@@ -46,7 +46,9 @@ def append_new(rows: DataFrame, target: str, key: str, day: str | None = None) -
     with another day is another row."""
     placed = _placed(rows, key, day)
     seen = seen_near(placed, target, key).select(key)
-    first_of_each(placed.join(seen, key, "left_anti"), [key], [F.col(key)]).write.mode("append").partitionBy("_day", "_bucket").parquet(target)
+    new = first_of_each(placed.join(seen, key, "left_anti"), [key], [F.col(key)])
+    new = new.repartition("_day", "_bucket")  # a file for each folder, not one for each folder and task
+    new.write.mode("append").partitionBy("_day", "_bucket").parquet(target)
 
 
 def start_intake(stream: DataFrame, target: str, checkpoint: str, key: str, day: str | None = None, within: str = "1 hour", trigger: dict | None = None):

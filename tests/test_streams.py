@@ -131,3 +131,14 @@ def test_a_mailbox_read_at_once(spark, tmp_path):
         (inbox / f"{i}.eml").write_bytes(b"x")
     with pytest.raises(Exception, match="personal mailbox"):
         spark.read.format("mailbox").option("path", str(inbox)).load().count()
+
+
+def test_a_batch_writes_a_file_for_each_folder(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(2000).select("id", F.lit(datetime(2024, 1, 1)).alias("at"))
+        intake.append_new(rows, str(tmp_path / "t"), "id", "at")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folders = [f for f in (tmp_path / "t").glob("*/*") if f.is_dir()]
+    assert len(folders) == len(list((tmp_path / "t").glob("*/*/*.parquet"))) and spark.read.parquet(str(tmp_path / "t")).count() == 2000
