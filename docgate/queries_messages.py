@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docgate import fixed
 from docgate.functions import amounts, personal, text
 from docgate.operators import checks, intake, pages, resolve, retrieval, review, rules, triage, verify
-from docgate.plans.tables import new_folder
+from docgate.plans.tables import new_folder, spread
 from docgate.registered import query
 from docgate.registered import table as _t
 from docgate.sources import mail, reference
@@ -35,7 +35,7 @@ def _mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.lit(f"--XX{line}Content-Type: text/plain{line}{line}hello{line}")
     raw = F.concat(head, F.lit(line * 2), body, F.when(k % 11 != 0, F.concat(first, second)).otherwise(""), F.lit(f"--XX--{line}"))
     files = c.select(F.format_string("f%d.eml", k).alias("path"), F.to_timestamp(F.lit("2024-02-02")).alias("modificationTime"), raw.cast("binary").alias("content"))
-    return mail.messages(files)
+    return mail.messages(spread(files, "path"))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docgate.functions.similarity import common_length, ratio
 from docgate.functions.text import company_form
 from docgate.operators import checks, intake, pages, resolve, retrieval
+from docgate import queries_documents, queries_messages  # noqa: I001
 from docgate.plans import documents
 from docgate.plans.store import Store
 from docgate.queries_documents import _inputs
@@ -278,3 +279,11 @@ def test_short_names_of_few_letters_meet_hardly_more_than_similar_ones(spark, mo
     if most == 256:  # before: all that share a rare bigram
         monkeypatch.setattr(resolve, "similarity", lambda a, b: F.lit(100.0))
         assert resolve.near_names(grams, grams, 0.85).count() == len(want)
+
+
+def test_what_is_slow_a_row_is_dealt_to_all_cores(spark):
+    """The tables are files of one row group, so a scan is one task."""
+    small, cores = "/root/testdata/sf0.001", spark.sparkContext.defaultParallelism
+    _, inputs = queries_documents._inputs(spark, small)
+    assert queries_messages._mail(spark, small).rdd.getNumPartitions() > cores
+    assert documents.load(inputs, inputs.files.select("id")).rdd.getNumPartitions() > cores
