@@ -10,7 +10,7 @@ from docgate.functions import amounts, personal, text
 from docgate.operators import checks, deliver, evaluate, intake, ledger, pages, retrieval, review, rules, triage, verify
 from docgate.plans import batch
 from docgate.plans.store import Store
-from docgate.plans.tables import new_folder
+from docgate.plans.tables import new_folder, spread
 from docgate.registered import ORACLE_SQL, QUERIES, query
 from docgate.registered import table as _t
 from docgate.streaming.intake import start_intake
@@ -597,14 +597,11 @@ def flagship_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: first of each content, classified, masked, and counted by kind and what was masked. Texts that are null are one content.
 
-    Which document of a content is the first is found on digests; texts move to be dealt evenly where the scan has fewer tasks than cores."""
+    Which document of a content is the first is found on digests; texts move to be dealt evenly, as few row groups make few tasks."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), "text")
     first = docs.groupBy("sha256").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("sha256", "first_sha256")
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("sha256").eqNullSafe(F.col("first_sha256"))
-    texts = docs.join(first, same, "left_semi")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # a file of few row groups
-        texts = texts.repartition(4 * cores, "doc_id")
+    texts = spread(docs.join(first, same, "left_semi"), "doc_id")
     kinds = triage.classify(texts).withColumn("m", personal.mask("text"))
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("m.counts")).alias("masked_categories"))
 
