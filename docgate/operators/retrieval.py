@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docgate.functions.text import fold, shorten
 from docgate.plans.tables import kept
 
 #: Bytes of clauses' vectors that go to every task at a time.
 CLAUSE_BYTES = 32 << 20
+#: Bytes of clauses' text up to which their postings go to every task.
+PLAYBOOK_BYTES = 4 << 20
+#: Of queries with all clauses, of terms, and of products of weights, how many are held at a time.
+CELLS, TERMS, PRODUCTS = 2_000_000, 500_000, 2_000_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -94,14 +102,94 @@ def nearest_by_terms(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
     return _top(scored, "query_id", F.desc("near"), k, "section").drop("rank")
 
 
+def _pieces(batch: pa.RecordBatch, clauses: int):
+    """Parts of a batch of few queries and few terms; a query of more terms is a part of its own."""
+    lengths = pc.list_value_length(batch.column("terms")).to_numpy()
+    before, start = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while start < len(lengths):
+        end = int(np.searchsorted(before, before[start] + TERMS, "right")) - 1
+        end = max(start + 1, min(end, start + max(1, CELLS // clauses)))
+        yield batch.slice(start, end - start), lengths[start:end]
+        start = end
+
+
+def _nearest_of_all(queries: DataFrame, said: DataFrame, idf: DataFrame, total: int, k: int) -> DataFrame:
+    """search_text() against clauses that every task holds the postings of: a query's terms are weighed, multiplied and ranked in its own
+    row, so no term moves. Only rows of a query_id that stands on several are brought together."""
+    known = postings(said, "section", idf, total).join(idf, "term").toArrow()
+    sections = sorted({r.section for r in said.select("section").distinct().collect()}, key=lambda s: (s is not None, (s or "").encode()))
+    terms_ = pc.unique(known["term"])
+    term = pc.index_in(known["term"], value_set=terms_).to_numpy()
+    order = np.argsort(term, kind="stable")
+    clause = pc.index_in(known["section"], value_set=pa.array(sections, pa.string())).to_numpy()[order]
+    weight, own_idf = known["weight"].to_numpy()[order], np.zeros(len(terms_))
+    own_idf[term] = known["idf"].to_numpy()
+    first = np.searchsorted(term[order], np.arange(len(terms_) + 1))
+    wordy = np.zeros(len(sections), bool)
+    wordy[clause] = True
+    playbook = queries.sparkSession.sparkContext.broadcast((sections, terms_, own_idf, first, clause, weight, wordy))
+    unknown = math.log(1 + total) + 1
+
+    def run(batches):
+        sections, terms_, own_idf, first, clause, weight, wordy = playbook.value
+        names, width = pa.array(sections, pa.string()), len(sections)
+        for batch in batches:
+            for part, lengths in _pieces(batch, width):
+                n = len(lengths)
+                coded = part.column("terms").flatten().dictionary_encode()
+                found = pc.index_in(coded.dictionary, value_set=terms_).fill_null(-1).to_numpy()
+                place, times = np.unique(np.repeat(np.arange(n), lengths) * max(1, len(found)) + coded.indices.to_numpy(), return_counts=True)
+                query, at = place // max(1, len(found)), found[place % max(1, len(found))] if len(found) else np.zeros(0, np.int64)
+                hit = at >= 0
+                raw = np.full(len(at), unknown)
+                raw[hit] = own_idf[at[hit]]
+                raw *= times
+                length = np.sqrt(np.bincount(query, raw * raw, minlength=n))
+                query, at, raw = query[hit], at[hit], raw[hit]
+                raw /= length[query]
+                many = first[at + 1] - first[at]
+                ends, near, start = np.cumsum(many), np.zeros(n * width), 0
+                while start < len(many):
+                    done = ends[start - 1] if start else 0
+                    end = max(start + 1, int(np.searchsorted(ends, done + PRODUCTS, "right")))
+                    m = many[start:end]
+                    nth = np.arange(ends[end - 1] - done) + np.repeat(first[at[start:end]] - (ends[start:end] - m - done), m)
+                    near += np.bincount(np.repeat(query[start:end] * width, m) + clause[nth], np.repeat(raw[start:end], m) * weight[nth], minlength=n * width)
+                    start = end
+                asks = (lengths > 0)[:, None]
+                apart = np.where(asks & wordy, 2 - 2 * np.round(near.reshape(n, width), 9), asks * 1.0 + wordy)
+                rows, best, d = np.arange(n), [], []
+                for _ in range(min(k, width)):  # of equal ones the first, which is the smaller section
+                    best.append(apart.argmin(axis=1))
+                    d.append(apart[rows, best[-1]])
+                    apart[rows, best[-1]] = np.inf
+                of = pa.array(np.repeat(rows, len(best)))
+                rank = pa.array(np.tile(np.arange(1, len(best) + 1, dtype=np.int32), n))
+                score = 1 / (1 + np.column_stack(d).reshape(-1))
+                yield pa.RecordBatch.from_arrays([part.column("query_id").take(of), rank, names.take(pa.array(np.column_stack(best).reshape(-1))), pa.array(score)], ["query_id", "rank", "section", "score"])
+
+    asked = queries.select("query_id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    several = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("query_id")
+    if not several.isEmpty():
+        whole = asked.join(several, "query_id").groupBy("query_id").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+        asked = asked.join(several, "query_id", "left_anti").unionByName(whole)
+    schema = T.StructType([queries.schema["query_id"], T.StructField("rank", T.IntegerType()), T.StructField("section", T.StringType()), T.StructField("score", T.DoubleType())])
+    return asked.mapInArrow(run, schema)
+
+
 def search_text(queries: DataFrame, clauses: DataFrame, k: int = 3) -> DataFrame:
     """search() by what is asked in words, where no embedding is at hand: queries has query_id and text, clauses section, title and body.
 
     Texts are compared by TF-IDF of their words and pairs of words, weighed over the clauses. Clauses that share no term with a query are
     as far from it as any text can be; they come after the others by section, one without a term before those that have some. A query
-    without a term (or null) is next to clauses without one. Sections are distinct. No clauses or no queries give no rows."""
+    without a term (or null) is next to clauses without one. Sections are distinct. No clauses or no queries give no rows.
+
+    A playbook of up to PLAYBOOK_BYTES goes to the tasks, and queries don't move; a larger one is joined with them by terms."""
     said = clauses.select("section", F.concat_ws(" ", "title", "body").alias("text"))
     idf, total = weights(said)
+    size = said.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if total and size <= PLAYBOOK_BYTES:
+        return _nearest_of_all(queries, said, idf, total, k)
     idf = kept(idf, "idf")
     known = kept(postings(said, "section", idf, total), "postings")
     asked = kept(postings(queries.select("query_id", "text"), "query_id", idf, total), "asked")

@@ -434,3 +434,17 @@ def test_traces(spark):
     assert found == [(0, "§1", None, False, False), (2, "§2", "low", True, True), (4, "§9", None, True, False)]
     said = {r.id: tuple(r)[1:] for r in traces.summary(rows).collect()}
     assert said == {1: (True, True, 5, 3, 1), 6: (True, True, 1, 0, 0)} | dict.fromkeys((2, 3, 4, 5), (False, False, 0, 0, 0))
+
+
+def test_a_playbook_is_searched_without_moving_queries(spark, monkeypatch):
+    said = ["pay in days", "the law of the land and the law of the sea", "the pay", "Ä", "", "law law", "nothing alike"]
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate([*said, None, "the pay in the land, the law", "zzz zzz the"])], "query_id long, text string")
+    clauses = spark.createDataFrame([(f"s{i}", "", t) for i, t in enumerate(said)], "section string, title string, body string")
+    got = lambda q: sorted((r.query_id, r["rank"], r.section, round(r.score, 8)) for r in retrieval.search_text(q, clauses, k=3).collect())
+    assert "Exchange" not in retrieval.search_text(queries, clauses, k=3)._jdf.queryExecution().toString()
+    twice = queries.unionByName(queries.filter("query_id in (0, 8)")).unionByName(spark.createDataFrame([(1, "pay pay")], queries.schema))
+    whole, again = got(queries), got(twice)
+    monkeypatch.setattr(retrieval, "PRODUCTS", 2)
+    assert got(queries) == whole
+    monkeypatch.setattr(retrieval, "PLAYBOOK_BYTES", -1)  # joined by terms
+    assert got(queries) == whole and got(twice) == again and len(whole) == 30
