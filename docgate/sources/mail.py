@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from docgate.operators.intake import listed
+
 MESSAGE = (
     "message_id string, sender string, subject string, received_at timestamp, source string, "
     "attachments array<struct<filename:string,content:binary,declared_mime:string>>"
@@ -75,8 +77,8 @@ def messages(files: DataFrame) -> DataFrame:
 
 def probe(spark: SparkSession, folder: str) -> DataFrame:
     """One row: the folder's name and how many messages wait in it. No message is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(folder)
-    return files.select("path").agg(F.lit(folder.rstrip("/").rpartition("/")[2]).alias("folder"), F.count(F.lit(1)).alias("unseen"))
+    files = listed(spark, folder).filter(F.endswith("name", F.lit(".eml")))
+    return files.agg(F.lit(folder.rstrip("/").rpartition("/")[2]).alias("folder"), F.count(F.lit(1)).alias("unseen"))
 
 
 def read_mailbox(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from docgate import fixed
 from docgate.operators import checks, deliver, evaluate, intake, ledger, pages, resolve, retrieval, review, rules, traces, triage, verify
 from docgate.plans import batch
 from docgate.plans.store import Store
+from docgate.sources import mail
 from tests.test_functions import ratio
 
 
@@ -448,3 +449,25 @@ def test_a_playbook_is_searched_without_moving_queries(spark, monkeypatch):
     assert got(queries) == whole
     monkeypatch.setattr(retrieval, "PLAYBOOK_BYTES", -1)  # joined by terms
     assert got(queries) == whole and got(twice) == again and len(whole) == 30
+
+
+def test_a_folder_is_listed_by_a_task(spark, tmp_path, monkeypatch):
+    """The driver plans no task for every few files, and a file that is being written or was left isn't seen."""
+    files = spark.createDataFrame([(f"{i}.eml" if i % 2 else f"{i}", bytes([i]) * (i * 30)) for i in range(90)], "filename string, content binary")
+    folder = f"file://{tmp_path}/many"
+    for _ in range(2):
+        intake.store(files, folder, named=True)
+    intake.store(spark.createDataFrame([("z.gz", b"zip")], files.schema), folder, named=True)
+    assert (tmp_path / "many" / "z.gz").read_bytes() == b"zip" and not [p for p in (tmp_path / "many").iterdir() if p.is_dir()]
+    (tmp_path / "many" / "z.gz").unlink()
+    (tmp_path / "many" / ".left").mkdir()
+    (tmp_path / "many" / "_part").write_bytes(b"x")
+    monkeypatch.setattr(intake, "NAMES", 7)
+    assert {r["name"]: r["size"] for r in intake.stored(spark, folder).collect()} == {f"{i}.eml" if i % 2 else f"{i}": i * 30 for i in range(90)}
+    heads = {r.path.rpartition("/")[2]: bytes(r["head"]) for r in intake.read_heads(spark, folder).collect()}
+    assert len(heads) == 90 and heads["80"] == bytes([80]) * fixed.HEAD_BYTES and heads["0"] == b""
+    assert [tuple(r) for r in mail.probe(spark, folder).collect()] == [("many", 45)]
+    for found in (intake.stored(spark, folder), intake.read_heads(spark, folder)):
+        assert "binaryFile" not in found._jdf.queryExecution().toString()
+    (tmp_path / "none").mkdir()
+    assert intake.stored(spark, f"file://{tmp_path}/none").count() == 0
