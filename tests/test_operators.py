@@ -8,6 +8,7 @@ from docgate import fixed
 from docgate.operators import checks, deliver, evaluate, intake, ledger, pages, resolve, retrieval, review, rules, traces, triage, verify
 from docgate.plans import batch
 from docgate.plans.store import Store
+from docgate.queries import QUERIES
 from docgate.sources import mail
 from tests.test_functions import ratio
 
@@ -471,3 +472,11 @@ def test_a_folder_is_listed_by_a_task(spark, tmp_path, monkeypatch):
         assert "binaryFile" not in found._jdf.queryExecution().toString()
     (tmp_path / "none").mkdir()
     assert intake.stored(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["threshold_findings", "cited_sections"])
+def test_documents_are_judged_once_and_on_all_cores(spark, name):
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Repartition" in plan
+    assert checks.each_finding(spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "doc_id long, findings array<string>"), "doc_id").count() == 2
