@@ -480,3 +480,13 @@ def test_documents_are_judged_once_and_on_all_cores(spark, name):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Repartition" in plan
     assert checks.each_finding(spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "doc_id long, findings array<string>"), "doc_id").count() == 2
+
+
+def test_an_insert_deals_rows_before_it_sorts_them(spark):
+    rows = spark.createDataFrame([(i % 7, f"v{i % 3}") for i in range(60)] + [(None, "n"), (None, "m")], "id long, v string")
+    seen = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long")
+    new = intake.not_seen(rows, seen, ["id"], [F.col("v")])
+    assert sorted(map(str, new.collect())) == sorted(f"Row(id={i}, v='{v}')" for i, v in [(None, "m"), *((k, "v0") for k in (0, 3, 4, 5, 6))])
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("WindowGroupLimit") :]  # the partial one
+    assert "REPARTITION_BY_NUM" in below and "HashAggregate" not in plan
