@@ -18,8 +18,8 @@ from docgate.plans.tables import kept
 CLAUSE_BYTES = 32 << 20
 #: Bytes of clauses' text up to which their postings go to every task.
 PLAYBOOK_BYTES = 4 << 20
-#: Of queries with all clauses, of terms, and of products of weights, how many are held at a time.
-CELLS, TERMS, PRODUCTS = 2_000_000, 500_000, 2_000_000
+#: Of queries with all clauses, of words, and of products of weights, how many are held at a time.
+CELLS, WORDS, PRODUCTS = 2_000_000, 250_000, 2_000_000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -46,9 +46,14 @@ def search(queries: DataFrame, clauses: DataFrame, k: int = 3) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "section", (1 / (1 + F.col("d"))).alias("score"))
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, without accents and case."""
+    return F.filter(F.split(fold(text), r"(?U)[^\p{L}\p{N}§]+"), lambda w: w != "")
+
+
 def terms(text: Column) -> Column:
     """The words of a text, without accents and case, with their neighbours as pairs."""
-    words = F.filter(F.split(fold(text), r"(?U)[^\p{L}\p{N}§]+"), lambda w: w != "")
+    words = words_of(text)
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
 
@@ -103,11 +108,11 @@ def nearest_by_terms(asked: DataFrame, known: DataFrame, k: int) -> DataFrame:
 
 
 def _pieces(batch: pa.RecordBatch, clauses: int):
-    """Parts of a batch of few queries and few terms; a query of more terms is a part of its own."""
-    lengths = pc.list_value_length(batch.column("terms")).to_numpy()
+    """Parts of a batch of few queries and few words; a query of more words is a part of its own."""
+    lengths = pc.list_value_length(batch.column("words")).to_numpy()
     before, start = np.concatenate([[0], np.cumsum(lengths)]), 0
     while start < len(lengths):
-        end = int(np.searchsorted(before, before[start] + TERMS, "right")) - 1
+        end = int(np.searchsorted(before, before[start] + WORDS, "right")) - 1
         end = max(start + 1, min(end, start + max(1, CELLS // clauses)))
         yield batch.slice(start, end - start), lengths[start:end]
         start = end
@@ -127,19 +132,39 @@ def _nearest_of_all(queries: DataFrame, said: DataFrame, idf: DataFrame, total:
     first = np.searchsorted(term[order], np.arange(len(terms_) + 1))
     wordy = np.zeros(len(sections), bool)
     wordy[clause] = True
-    playbook = queries.sparkSession.sparkContext.broadcast((sections, terms_, own_idf, first, clause, weight, wordy))
+    # A pair of words is a number; a term without a blank is a word followed by none
+    two = [t.partition(" ")[::2] for t in terms_.to_pylist()]
+    words = pa.array(sorted({w for pair in two for w in pair if w}), pa.string())
+    ids = [pc.index_in(pa.array([t[i] for t in two], pa.string()), value_set=words).fill_null(-1).to_numpy().astype(np.int64) for i in (0, 1)]
+    numbers = ids[0] * (len(words) + 1) + ids[1] + 1
+    by_number = np.argsort(numbers)
+    playbook = queries.sparkSession.sparkContext.broadcast((sections, words, numbers[by_number], by_number, own_idf, first, clause, weight, wordy))
     unknown = math.log(1 + total) + 1
 
     def run(batches):
-        sections, terms_, own_idf, first, clause, weight, wordy = playbook.value
+        sections, words, numbers, by_number, own_idf, first, clause, weight, wordy = playbook.value
         names, width = pa.array(sections, pa.string()), len(sections)
         for batch in batches:
             for part, lengths in _pieces(batch, width):
                 n = len(lengths)
-                coded = part.column("terms").flatten().dictionary_encode()
-                found = pc.index_in(coded.dictionary, value_set=terms_).fill_null(-1).to_numpy()
-                place, times = np.unique(np.repeat(np.arange(n), lengths) * max(1, len(found)) + coded.indices.to_numpy(), return_counts=True)
-                query, at = place // max(1, len(found)), found[place % max(1, len(found))] if len(found) else np.zeros(0, np.int64)
+                coded = part.column("words").flatten().dictionary_encode()
+                code, many_words = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+                own = pc.index_in(coded.dictionary, value_set=words).fill_null(-1).to_numpy().astype(np.int64)
+                gap = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)  # between texts of one query
+                of = np.repeat(np.arange(n), lengths)
+                says = ~gap[code]
+                beside = np.flatnonzero(says[:-1] & says[1:] & (of[:-1] == of[1:]))
+                said_ = np.concatenate([code[says] * (many_words + 1), code[beside] * (many_words + 1) + code[beside + 1] + 1])
+                span = many_words * (many_words + 1) + 1
+                place, times = np.unique(np.concatenate([of[says], of[beside]]) * span + said_, return_counts=True)
+                query, (one, other) = place // span, np.divmod(place % span, many_words + 1)
+                own = np.concatenate([own, [-1]])
+                known_ = (own[one] >= 0) & ((other == 0) | (own[other - 1] >= 0))
+                number = np.where(known_, own[one] * (len(words) + 1) + np.where(other == 0, 0, own[other - 1] + 1), -1)
+                at = np.full(len(place), -1)
+                if len(numbers):
+                    near_by = np.minimum(np.searchsorted(numbers, number), len(numbers) - 1)
+                    at = np.where(numbers[near_by] == number, by_number[near_by], -1)
                 hit = at >= 0
                 raw = np.full(len(at), unknown)
                 raw[hit] = own_idf[at[hit]]
@@ -156,22 +181,22 @@ def _nearest_of_all(queries: DataFrame, said: DataFrame, idf: DataFrame, total:
                     nth = np.arange(ends[end - 1] - done) + np.repeat(first[at[start:end]] - (ends[start:end] - m - done), m)
                     near += np.bincount(np.repeat(query[start:end] * width, m) + clause[nth], np.repeat(raw[start:end], m) * weight[nth], minlength=n * width)
                     start = end
-                asks = (lengths > 0)[:, None]
+                asks = (np.bincount(of[says], minlength=n) > 0)[:, None]
                 apart = np.where(asks & wordy, 2 - 2 * np.round(near.reshape(n, width), 9), asks * 1.0 + wordy)
                 rows, best, d = np.arange(n), [], []
                 for _ in range(min(k, width)):  # of equal ones the first, which is the smaller section
                     best.append(apart.argmin(axis=1))
                     d.append(apart[rows, best[-1]])
                     apart[rows, best[-1]] = np.inf
-                of = pa.array(np.repeat(rows, len(best)))
+                from_ = pa.array(np.repeat(rows, len(best)))
                 rank = pa.array(np.tile(np.arange(1, len(best) + 1, dtype=np.int32), n))
                 score = 1 / (1 + np.column_stack(d).reshape(-1))
-                yield pa.RecordBatch.from_arrays([part.column("query_id").take(of), rank, names.take(pa.array(np.column_stack(best).reshape(-1))), pa.array(score)], ["query_id", "rank", "section", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("query_id").take(from_), rank, names.take(pa.array(np.column_stack(best).reshape(-1))), pa.array(score)], ["query_id", "rank", "section", "score"])
 
-    asked = queries.select("query_id", terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    asked = queries.select("query_id", words_of(F.coalesce("text", F.lit(""))).alias("words"))
     several = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("query_id")
     if not several.isEmpty():
-        whole = asked.join(several, "query_id").groupBy("query_id").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+        whole = asked.join(several, "query_id").groupBy("query_id").agg(F.flatten(F.collect_list(F.concat("words", F.array(F.lit(""))))).alias("words"))
         asked = asked.join(several, "query_id", "left_anti").unionByName(whole)
     schema = T.StructType([queries.schema["query_id"], T.StructField("rank", T.IntegerType()), T.StructField("section", T.StringType()), T.StructField("score", T.DoubleType())])
     return asked.mapInArrow(run, schema)
