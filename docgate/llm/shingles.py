@@ -33,6 +33,8 @@ DEVIATIONS = 4.4
 SMALL = 32
 #: A node that meets more others than this in small buckets of several groups meets those like it by rare shingles.
 BUSY = 24
+#: Parts (a power of two) of all rare shingles by which two nodes are compared before their texts are.
+PARTS = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Eight lanes of a byte each, holding the bits of a byte.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
@@ -148,8 +150,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _marked(docs: DataFrame, names: tuple[str, str, str, str], words: int, percent: int, segments: int, named) -> DataFrame:
-    """docs with its node and a check of it (names_of its text), fingerprint (two numbers of 64 bits) and keys, each once; no keys for
-    a text without words. No shuffle."""
+    """docs with its node and a check of it (names_of its text), fingerprint (two numbers of 64 bits, and how many shingles it is of) and
+    keys, each once; no keys for a text without words. No shuffle."""
     tables = tables_for(percent, segments)
 
     def run(batches):
@@ -158,10 +160,11 @@ def _marked(docs: DataFrame, names: tuple[str, str, str, str], words: int, perce
                 data, offsets = flat(part.column("text"))
                 hashes, many = distinct_hashes(data, offsets, words)
                 full = np.flatnonzero(many)
-                prints, ends, keys = np.zeros((len(many), 2), np.int64), np.zeros(len(many) + 1, np.int32), np.zeros(0, np.int64)
+                prints, ends, keys = np.zeros((len(many), 3), np.int64), np.zeros(len(many) + 1, np.int32), np.zeros(0, np.int64)
+                prints[:, 2] = many
                 if len(full):
                     sums = sums_of(hashes, many[full], 128 + 23 * segments * tables)
-                    prints[full] = np.packbits(sums[:, :128] > 0, axis=1, bitorder="little").view("<i8")
+                    prints[full, :2] = np.packbits(sums[:, :128] > 0, axis=1, bitorder="little").view("<i8")
                     own = np.sort(keys_of(sums[:, 128:], segments), axis=1)
                     new = np.column_stack([np.ones(len(own), bool), own[:, 1:] != own[:, :-1]])
                     keys, held = own[new], np.zeros(len(many), np.int64)
@@ -170,8 +173,8 @@ def _marked(docs: DataFrame, names: tuple[str, str, str, str], words: int, perce
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))
                 own = named(data, offsets).view(np.int64)
                 node, check = (pa.array(np.ascontiguousarray(own[:, i])) for i in (0, 1))
-                two = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), 2).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, node, check, two, lists], [*part.schema.names, *names])
+                print_ = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1)), 3).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, node, check, print_, lists], [*part.schema.names, *names])
 
     kinds = [T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
@@ -203,13 +206,15 @@ def _place(node: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(4), F.col(node)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _near(a: Column, b: Column, limit: int) -> Column:
-    """Whether the fingerprints of two structs differ in `limit` bits at most."""
-    return F.bit_count(a["high"].bitwiseXOR(b["high"])) + F.bit_count(a["low"].bitwiseXOR(b["low"])) <= limit
+def _near(a: Column, b: Column, percent: int) -> Column:
+    """Whether two structs of node, high, low and n may be similar, by their numbers of shingles and their fingerprints."""
+    sizes = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+    limit = apart_at_most(percent)
+    return sizes & (F.bit_count(a["high"].bitwiseXOR(b["high"])) + F.bit_count(a["low"].bitwiseXOR(b["low"])) <= limit)
 
 
 def _shared(nodes: DataFrame, percent: int) -> DataFrame:
-    """key, size and x (a struct of place, node, high, low) of the nodes that may have a link in the bucket of a key.
+    """key, size and x (a struct of place, node, high, low, n) of the nodes that may have a link in the bucket of a key.
 
     Keys, nodes and half of a fingerprint are gathered, of each key SMALL + 1 at most, to which each task cuts before the shuffle. A bucket
     that is whole in that keeps the nodes that have another one near by that half, and of these, by whole fingerprints that follow, those
@@ -222,9 +227,8 @@ def _shared(nodes: DataFrame, percent: int) -> DataFrame:
     alike = F.filter("xs", lambda a: F.exists("xs", lambda b: (a["node"] != b["node"]) & (F.bit_count(a["high"].bitwiseXOR(b["high"])) <= half)))
     lists = lists.select("key", F.size("xs").alias("size"), F.when(F.size("xs") <= SMALL, alike).otherwise(F.slice("xs", 1, 1)).alias("xs"))
     met = stage(lists.select("key", "size", F.explode("xs").alias("x")).select("key", "size", "x.node"), "met")
-    who = nodes.select("node", F.struct("place", "node", "high", "low").alias("x"))
-    limit = apart_at_most(percent)
-    meets = F.filter("xs", lambda a: F.exists("xs", lambda b: (a["node"] != b["node"]) & _near(a, b, limit)))
+    who = nodes.select("node", F.struct("place", "node", "high", "low", "n").alias("x"))
+    meets = F.filter("xs", lambda a: F.exists("xs", lambda b: (a["node"] != b["node"]) & _near(a, b, percent)))
     small = met.filter(F.col("size") <= SMALL).join(who, "node").groupBy("key").agg(F.collect_list("x").alias("xs"))
     small = small.select("key", meets.alias("xs")).select("key", F.size("xs").alias("size"), F.explode("xs").alias("x"))
     large = met.filter(F.col("size") > SMALL).select("key").distinct()
@@ -237,12 +241,15 @@ def _shared(nodes: DataFrame, percent: int) -> DataFrame:
 
 def _rare(shared: DataFrame, texts: DataFrame, hard: DataFrame, words: int, percent: int) -> DataFrame:
     """key, size and x like _shared(), for the nodes `hard`, with rare shingles as keys: of all pairs of similar nodes both have a key in
-    common, whereas nodes that share nothing but what many have, such as a long passage, have none.
-
-    A node's shingles are put in one order, the rarest among these nodes first. Of two sets of sizes m <= n whose similarity is s
-    or more, the overlap is at least 2 s m / (1 + s), so the first common shingle stands in the first
-    m - 2 s m / (1 + s) + 1 of the smaller one, and in the first n - s n + 1 of the larger one. A key that is among the
-    former of no node joins nobody."""
+    common whose caps allow the pair, whereas nodes that share nothing but what many have, such as a long passage, have none.
+
+    A node's shingles are put in one order, the rarest among these nodes first. Two sets have no more in common than what is left of
+    either from their first common shingle on. Let a set of size n have i before it and the overlap that a similarity s takes be
+    s (n + m) / (1 + s): what is left of it, n - i, is enough if m <= (n - (1 + s) i) / s, its cap. So each size is the other one's cap at
+    most; the smaller set's cap is its own size or more there, and a key with a cap below s n, the least size of a partner, joins nobody.
+    A key leaves the nodes whose cap is below the sizes of all that can be the smaller set in it; the others get it with their
+    cap and with `parts`: how many shingles that other nodes have, too, they have in each of PARTS parts of all. Two sets
+    have no more in common than the lesser number of each part, so sets that lack different shingles of one passage are told apart."""
     chosen = texts.join(hard, "node").groupBy("node").agg(F.min("text").alias("text"))
 
     def run(batches):
@@ -255,27 +262,28 @@ def _rare(shared: DataFrame, texts: DataFrame, hard: DataFrame, words: int, perc
     sets = stage(chosen.mapInArrow(run, "node long, n long, key long"), "sets")
     common = sets.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     known = sets.join(common, "key")  # shingles of one node alone come first and need no rows of their own
+    part = F.col("key").bitwiseAND(PARTS - 1)
+    parts = known.groupBy("node").agg(F.array(*(F.count_if(part == i).cast("int") for i in range(PARTS))).alias("parts"))
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))
     rank = alone + F.row_number().over(Window.partitionBy("node").orderBy("held", "key"))
-    least = F.ceil(percent * F.col("n") / 100)
-    inner = F.ceil(2 * percent * F.col("n") / (100 + percent))
-    known = known.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - least + 1)
-    known = known.select("key", "node", (F.col("rank") <= F.col("n") - inner + 1).alias("inner"))
-    size = known.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size"), F.max("inner").alias("joins")).filter("joins and size > 1")
-    who = shared.select(F.col("x.node").alias("node"), "x").distinct()
-    return stage(known.join(size, "key").join(who, "node").select("key", "size", "x"), "rare")
+    known = known.withColumn("before", rank - 1).withColumn("cap", F.floor((100 * F.col("n") - (100 + percent) * F.col("before")) / percent))
+    known = stage(known.filter(100 * F.col("cap") >= percent * F.col("n")).select("key", "node", "n", "cap"), "known")
+    least = known.filter("cap >= n").groupBy("key").agg(F.min("n").alias("least"))
+    known = known.join(least, "key").filter("cap >= least").drop("least")
+    size = known.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("size")).filter("size > 1")
+    who = shared.select(F.col("x.node").alias("node"), "x").distinct().join(parts, "node")
+    return stage(known.join(size, "key").join(who, "node").select("key", "size", "x", "cap", "parts"), "rare")
 
 
 def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """node and root of each node that is linked to another one, over links of a similarity of `percent` or more.
 
-    `nodes` has node, place, high, low (its fingerprint) and keys, a row per node; `texts` node and text. In the buckets of the
+    `nodes` has node, place, high, low (its fingerprint), n (its shingles) and keys, a row per node; `texts` node and text. In the buckets of the
     first table all nodes meet the one with the smallest place, then in those of all tables, nodes of other groups than its
     own alone; so a group of near copies costs a few pairs a copy. Nodes of large buckets that are of several groups still get
     their rare shingles as keys instead, since those of a bucket may share no more than a passage that many have. Then, in
     buckets whose nodes are of several groups, those with the next places, eight or so, meet all nodes of other groups, then 512,
     and so on until all have: every pair of a bucket is compared, unless a chain of links already joins it. Pairs whose fingerprints are far apart aren't checked."""
-    limit = apart_at_most(percent)
     shared = _shared(nodes, percent)
     lead = shared.groupBy("key").agg(F.min("x").alias("lead"))
     asked = shared.select("x.node").distinct()  # all that is checked from here on: other texts move no more
@@ -316,7 +324,7 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent:
         several = now.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("key")
         return stage(now.join(several, "key"), "mixed")
 
-    star = (F.col("node") != F.col("lead.node")) & _near(F.col("x"), F.col("lead"), limit)
+    star = (F.col("node") != F.col("lead.node")) & _near(F.col("x"), F.col("lead"), percent)
     one = shared.filter(F.shiftright("key", KEY_BITS) == 0).withColumn("node", F.col("x.node")).join(lead, "key").filter(star)
     grouped(one.select(F.col("lead.node").alias("a"), F.col("node").alias("b")), "first")
     every = mixed(shared).join(lead, "key")
@@ -324,7 +332,8 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent:
         of = roots.select(F.col("node").alias("lead_node"), F.col("root").alias("lead_root"))
         every = every.withColumn("lead_node", F.col("lead.node")).join(of, "lead_node", "left").filter(F.coalesce("lead_root", F.col("lead.node")) != F.col("root"))
     grouped(every.filter(star).select(F.col("lead.node").alias("a"), F.col("node").alias("b")), "stars")
-    rows = shared.filter(F.col("size") <= SMALL).withColumn("hard", F.lit(False))
+    rows = shared.filter(F.col("size") <= SMALL)
+    rows = rows.withColumns({"cap": F.lit(None).cast("long"), "parts": F.lit(None).cast("array<int>"), "hard": F.lit(False)})
     crowded = mixed(shared.filter(F.col("size") > SMALL)).select("node")
     busy = mixed(rows).groupBy("node").agg(F.sum(F.col("size") - 1).alias("others")).filter(F.col("others") > BUSY).select("node")
     hard = stage(crowded.unionByName(busy).distinct(), "hard")
@@ -338,8 +347,13 @@ def similar_groups(nodes: DataFrame, texts: DataFrame, words: int = 5, percent:
         if now.isEmpty():
             break
         nth = F.col("x.place") * F.col("size")
-        drawn = now.filter((nth >= met) & (nth < leads)).select("key", F.col("x").alias("y"), F.col("root").alias("other"), F.col("hard").alias("both"))
-        pairs = now.join(drawn, "key").filter(~(F.col("hard") & F.col("both")) & (F.col("root") != F.col("other")) & (F.col("x") > F.col("y")) & _near(F.col("x"), F.col("y"), limit))
+        other = {"y": F.col("x"), "other": F.col("root"), "both": F.col("hard"), "their_cap": F.col("cap"), "their_parts": F.col("parts")}
+        drawn = now.filter((nth >= met) & (nth < leads)).select("key", *(c.alias(name) for name, c in other.items()))
+        apart = (F.col("hard") & F.col("both")) | (F.col("root") == F.col("other"))
+        common = F.aggregate(F.zip_with("parts", "their_parts", lambda a, b: F.least(a, b)), F.lit(0), lambda total, n: total + n)
+        enough = (100 + percent) * common >= percent * (F.col("x.n") + F.col("y.n"))
+        fits = F.col("cap").isNull() | ((F.col("x.n") <= F.col("their_cap")) & (F.col("y.n") <= F.col("cap")) & enough)
+        pairs = now.join(drawn, "key").filter(~apart & (F.col("x") > F.col("y")) & _near(F.col("x"), F.col("y"), percent) & fits)
         grouped(pairs.select(F.col("y.node").alias("a"), F.col("node").alias("b")), "more")
         met, leads = leads, leads * 64
     return roots if roots is not None else shared.select(F.col("x.node").alias("node"), F.col("x.node").alias("root")).limit(0)
@@ -368,7 +382,7 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, named=names
         marked = stage(marked.withColumn(node, F.when(other, F.xxhash64(node, check)).otherwise(F.col(node))).drop("_node", "_least"), "marked")
     with scratch(docs.sparkSession) as temporary:
         nodes = marked.groupBy(F.col(node).alias("node")).agg(F.first(print_).alias("print"), F.first(keys).alias("keys"))
-        nodes = stage(nodes.select(_place("node").alias("place"), "node", F.get("print", 0).alias("high"), F.get("print", 1).alias("low"), "keys"), "nodes")
+        nodes = stage(nodes.select(_place("node").alias("place"), "node", F.get("print", 0).alias("high"), F.get("print", 1).alias("low"), F.get("print", 2).alias("n"), "keys"), "nodes")
         groups = similar_groups(nodes, marked.select(F.col(node).alias("node"), "text"), words, percent)
         rows = marked.groupBy(F.col(node).alias("node"), identifier).agg(F.count(F.lit(1)).alias("many"))
         rows = rows.join(groups, "node", "left").select("node", "doc_id", "many", F.coalesce("root", "node").alias("root"))

@@ -105,6 +105,33 @@ def test_large_buckets_of_several_groups(spark, monkeypatch):
     assert sorted(r.doc_id for r in drop_similar(docs).collect()) == kept
 
 
+def test_near_copies_that_arent_similar_are_not_all_compared(spark, monkeypatch):
+    """Of one text's copies, each with other changes (some in common), few pairs a copy are left to rare shingles, and all links found."""
+    from docgate.llm import shingles as module
+
+    asked, checked = [], module._checked
+
+    def counted(pairs, docs, words, percent, name):
+        asked.append((name, pairs.count()))
+        return checked(pairs, docs, words, percent, name)
+
+    monkeypatch.setattr(module, "_checked", counted)
+    rng = random.Random(11)
+    base, rows = [f"p{i}" for i in range(150)], []
+    for i in range(300):
+        own = list(base)
+        for j in rng.sample(range(5, 145, 7), 4):
+            own[j] = f"c{j}x{rng.randint(0, 2)}" if i % 3 else f"o{i}x{j}"
+        rows.append((i, " ".join(own)))
+        if i % 50 == 0:
+            rows.append((1000 + i, " ".join([*own, "end"])))
+    kept = sorted(rows[i][0] for i in brute_kept(rows))
+    assert 100 < len(kept) < 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_similar(docs).collect()) == kept
+    assert sum(n for name, n in asked if name == "more_links") < 8 * len(rows)
+
+
 def test_pipeline_stage_on_the_small_table(spark):
     import corpus_pipeline
 
