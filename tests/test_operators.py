@@ -54,6 +54,19 @@ def test_classification(spark):
     assert [r.text for r in rows if r.kind != r.want] == []
 
 
+def test_titles(spark):
+    line = "x" * (fixed.TITLE_CHARS - len("Déclaration"))
+    cases = [
+        ("\u2028 \x1c\r\n\t\nDéclaration of\nan agreement", "its title says declaration of"), ("\n" * 300_000 + "Bescheinigung", "its title says bescheinigung"),
+        (line + "Déclaration", "its title says declaration"), (line + "x" + "Déclaration", "0 markers, 0 supporting, 0 invoice terms"),
+        ("a\nBescheinigung", "0 markers, 0 supporting, 0 invoice terms"), (" " * 300_000, "0 markers, 0 supporting, 0 invoice terms"), (None, "0 markers, 0 supporting, 0 invoice terms"),
+    ]
+    classified = triage.classify(spark.createDataFrame(cases, "text string, want string"))
+    assert [(r.want, r.evidence) for r in classified.collect() if r.evidence != r.want] == []
+    plan = classified.groupBy("kind").count()._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("regexp_extract(") == 1  # a text's line is looked for once, not once for every term of a title
+
+
 def test_triage_order(spark):
     schema = "size_bytes long, file_kind string, encrypted boolean, readable boolean, page_count int, first_page_text string"
     good = "This agreement is entered into; the supplier shall be governed by the clauses."
